@@ -235,3 +235,13 @@ def connected_components(edges: DataFrame) -> DataFrame:
         state = tuple(now)
     roots = e.select(F.col("v").alias("node")).distinct().select("node", F.col("node").alias("component"))
     return e.select(F.col("u").alias("node"), F.col("v").alias("component")).unionAll(roots)
+
+
+def slices(batch: pa.RecordBatch, column: str = "text", most: int = 4 << 20):
+    """Slices of a batch with about `most` bytes of text each, one row at least."""
+    _, off = text_buffers(batch.column(batch.schema.get_field_index(column)))
+    at, n = 0, batch.num_rows
+    while at < n:
+        to = max(at + 1, int(np.searchsorted(off, off[at] + most, "right")) - 1)
+        yield batch.slice(at, min(to, n) - at)
+        at = min(to, n)
