@@ -10,18 +10,38 @@ from pyspark.sql import functions as F
 from . import common as c
 
 
+def tokenizer_file(name: str) -> str:
+    """Place of a public tokenizer's file on the driver; it is broadcast from there."""
+    import public_tokenizers
+
+    return public_tokenizers.path(name)
+
+
 def op1_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .ngram_lm import score
 
     return score(c.table(spark, sf_dir, "documents"), F.crc32(F.col("doc_id").cast("string")) % 10 != 0)
 
 
+def op3_bpe_encode_decode(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .bpe import encode_decode
+
+    found = encode_decode(c.table(spark, sf_dir, "documents"), tokenizer_file("word_bpe_49k.json"))
+    return found.select("doc_id", "n_tokens", F.sha2("ids", 256).alias("ids_sha256"), F.sha2(F.col("decoded").cast("binary"), 256).alias("decoded_sha256"))
+
+
 def op5_benchmark_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .decontaminate import contamination
 
     return contamination(c.table(spark, sf_dir, "documents"), c.table(spark, sf_dir, "benchmark"))
 
 
+def op7_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .token_counts import LIMIT, count_tokens
+
+    return count_tokens(c.table(spark, sf_dir, "documents"), tokenizer_file("byte_bpe_50k.json")).withColumn("over_limit", F.col("n_tokens") > LIMIT)
+
+
 def op8_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .jaccard import similarity_join
 
@@ -31,7 +51,9 @@ def op8_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_lm_scoring": op1_lm_scoring,
+        "op3_bpe_encode_decode": op3_bpe_encode_decode,
         "op5_benchmark_decontamination": op5_benchmark_decontamination,
+        "op7_token_counts": op7_token_counts,
         "op8_ngram_jaccard_join": op8_ngram_jaccard_join,
     }
 
