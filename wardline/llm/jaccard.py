@@ -9,7 +9,7 @@
    Tokens found in no other set are dropped at once.
 4. Groups: sets whose lowest shared prefix token agrees; an oversized group is dealt into chunks by a signature of
    more prefix tokens, which keeps similar sets together.  The matrix (token, group) holds each group's union of
-   prefix tokens; a set visits only groups of a smaller key whose union holds one of its own prefix tokens.
+   prefix tokens; the sets of a group visit only groups of a smaller key whose union meets their group's.
 5. A group's task bounds the overlap of each visitor with the group's union of whole sets; only groups that pass are
    opened, and an inverted list then gives all exact overlaps.  Links leave as one spanning edge per set.
 6. Components by alternating stars over those edges; classes are joined back to their rows.
@@ -243,10 +243,11 @@ def _links(found: DataFrame) -> DataFrame:
     meta = found.where("gkey is not null").select("doc_id", "n", "gkey", "sig", "prefix")
     sizes = meta.groupBy("gkey").agg(F.ceil(F.sum("n") / CHUNK_TOKENS).cast("long").alias("chunks"))
     meta = meta.join(sizes, "gkey").select("doc_id", "n", "gkey", F.pmod("sig", "chunks").alias("chunk"), "prefix")
-    tokens = meta.select("doc_id", "n", "gkey", "chunk", F.explode("prefix").alias("token"))
-    matrix = tokens.groupBy("token", F.col("gkey").alias("g"), F.col("chunk").alias("k")).agg(F.lit(1).alias("one")).drop("one")
+    matrix = meta.select(F.explode("prefix").alias("token"), "gkey", "chunk").distinct()
+    smaller = matrix.select("token", F.col("gkey").alias("g"), F.col("chunk").alias("k"))
     earlier = (F.col("g") < F.col("gkey")) | ((F.col("g") == F.col("gkey")) & (F.col("k") < F.col("chunk")))
-    visits = tokens.join(matrix, "token").where(earlier).select("doc_id", "n", "g", "k").distinct()
+    meets = matrix.join(smaller, "token").where(earlier).select("gkey", "chunk", "g", "k").distinct()
+    visits = meta.select("doc_id", "n", "gkey", "chunk").join(meets, ["gkey", "chunk"]).select("doc_id", "n", "g", "k")
     parts = visits.groupBy("g", "k").agg(F.ceil(F.sum("n") / TASK_TOKENS).cast("long").alias("parts"))
     members = meta.select("doc_id", "n", F.col("gkey").alias("g"), F.col("chunk").alias("k"))
     counted = members.groupBy("g", "k").agg(F.count("*").alias("m")).join(parts, ["g", "k"], "left")
