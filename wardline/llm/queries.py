@@ -36,6 +36,12 @@ def op5_benchmark_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame
     return contamination(c.table(spark, sf_dir, "documents"), c.table(spark, sf_dir, "benchmark"))
 
 
+def op6_media_columns(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .media import digests, media_columns
+
+    return digests(media_columns(c.table(spark, sf_dir, "documents")))
+
+
 def op7_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .token_counts import LIMIT, count_tokens
 
@@ -53,6 +59,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op1_lm_scoring": op1_lm_scoring,
         "op3_bpe_encode_decode": op3_bpe_encode_decode,
         "op5_benchmark_decontamination": op5_benchmark_decontamination,
+        "op6_media_columns": op6_media_columns,
         "op7_token_counts": op7_token_counts,
         "op8_ngram_jaccard_join": op8_ngram_jaccard_join,
     }
