@@ -54,6 +54,12 @@ def op8_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return similarity_join(c.table(spark, sf_dir, "documents"))
 
 
+def op10_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .pii import digests, find_pii
+
+    return digests(find_pii(c.table(spark, sf_dir, "documents").select("doc_id", "text")))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_lm_scoring": op1_lm_scoring,
@@ -62,6 +68,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op6_media_columns": op6_media_columns,
         "op7_token_counts": op7_token_counts,
         "op8_ngram_jaccard_join": op8_ngram_jaccard_join,
+        "op10_pii": op10_pii,
     }
 
 
