@@ -30,6 +30,15 @@ def op3_bpe_encode_decode(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", "n_tokens", F.sha2("ids", 256).alias("ids_sha256"), F.sha2(F.col("decoded").cast("binary"), 256).alias("decoded_sha256"))
 
 
+def op4_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .language_id import identify, train
+
+    docs = c.table(spark, sf_dir, "documents")
+    remainder = lambda: F.crc32(F.col("doc_id").cast("string")) % 5
+    found = identify(docs, train(docs, remainder() != 0))
+    return found.select("doc_id", (remainder() == 0).alias("held_out"), "lang_pred", "score")
+
+
 def op5_benchmark_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .decontaminate import contamination
 
@@ -64,6 +73,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_lm_scoring": op1_lm_scoring,
         "op3_bpe_encode_decode": op3_bpe_encode_decode,
+        "op4_language_id": op4_language_id,
         "op5_benchmark_decontamination": op5_benchmark_decontamination,
         "op6_media_columns": op6_media_columns,
         "op7_token_counts": op7_token_counts,
