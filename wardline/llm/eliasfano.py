@@ -94,9 +94,10 @@ class EliasFano:
         at, end = self._after_zeros(top), self._after_zeros(np.minimum(top + 1, last + 1))
         end = np.where(top == last, self.n, end)
         active = np.flatnonzero(~beyond & (at < end))
-        while len(active):
-            below = _bits_at(self.low, at[active] * self.low_bits, self.low_bits) < low[active]
-            active = active[below]
-            at[active] += 1
+        while len(active):  # halves what is left of each bucket
+            mid = (at[active] + end[active]) >> 1
+            below = _bits_at(self.low, mid * self.low_bits, self.low_bits) < low[active]
+            at[active[below]] = mid[below] + 1
+            end[active[~below]] = mid[~below]
             active = active[at[active] < end[active]]
         return np.where(beyond, self.n, at)
