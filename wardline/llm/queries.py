@@ -63,6 +63,15 @@ def op8_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return similarity_join(c.table(spark, sf_dir, "documents"))
 
 
+def op9_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .toxicity import THRESHOLD, toxicity, train
+
+    docs, labels = c.table(spark, sf_dir, "documents"), c.table(spark, sf_dir, "labels")
+    remainder = lambda: F.crc32(F.col("doc_id").cast("string")) % 3
+    found = toxicity(docs, train(docs, labels, remainder() != 1))
+    return found.select("doc_id", (remainder() == 1).alias("held_out"), "score", F.when(F.col("score") >= THRESHOLD, 1).otherwise(0).cast("int").alias("predicted"))
+
+
 def op10_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .pii import digests, find_pii
 
@@ -78,6 +87,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op6_media_columns": op6_media_columns,
         "op7_token_counts": op7_token_counts,
         "op8_ngram_jaccard_join": op8_ngram_jaccard_join,
+        "op9_toxicity": op9_toxicity,
         "op10_pii": op10_pii,
     }
 
