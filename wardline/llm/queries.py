@@ -23,6 +23,12 @@ def op1_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
     return score(c.table(spark, sf_dir, "documents"), F.crc32(F.col("doc_id").cast("string")) % 10 != 0)
 
 
+def op2_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .licenses import document_paths, scan_licenses
+
+    return scan_licenses(document_paths(c.table(spark, sf_dir, "documents")))
+
+
 def op3_bpe_encode_decode(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .bpe import encode_decode
 
@@ -81,6 +87,7 @@ def op10_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_lm_scoring": op1_lm_scoring,
+        "op2_license_scan": op2_license_scan,
         "op3_bpe_encode_decode": op3_bpe_encode_decode,
         "op4_language_id": op4_language_id,
         "op5_benchmark_decontamination": op5_benchmark_decontamination,
