@@ -7,7 +7,8 @@
 3. A set with a link of 0.8 shares one of its n - ceil(0.8 n) + 1 first tokens with its partner, under any
    order that all sets obey.  Rare tokens come first, so a passage that many texts share makes no candidates.
    Tokens found in no other set are dropped at once.
-4. Groups: sets whose lowest shared prefix token agrees; an oversized group is dealt into chunks by a signature of
+4. Groups: sets whose lowest core token agrees, a core token being about as frequent as the most frequent token of the
+   prefix (so neither a passage of many texts nor a change of one copy decides); an oversized group is dealt into chunks by a signature of
    more prefix tokens, which keeps similar sets together.  The matrix (token, group) holds each group's union of
    prefix tokens; the sets of a group visit only groups of a smaller key whose union meets their group's.
 5. A group's task bounds the overlap of each visitor with the group's union of whole sets; only groups that pass are
@@ -128,8 +129,11 @@ def _prefixes(shards: int):
             if p > len(low):
                 shared = np.concatenate([shared, t[len(low) : p]])
             if n and len(shared):
-                gkey.append(int(shared[:1].view(np.int64)[0]))
-                sig.append(int(c.mix(np.bitwise_xor.reduce(c.mix(shared[:3]), keepdims=True)).view(np.int64)[0]))
+                most = int(d[first].max()) if len(first) else 0
+                core = low[(d > 1) & (2 * d.astype(np.int64) >= most) & (d <= 2 * most)]
+                core = core if len(core) else shared
+                gkey.append(int(core[:1].view(np.int64)[0]))
+                sig.append(int(c.mix(np.bitwise_xor.reduce(c.mix(core[:3]), keepdims=True)).view(np.int64)[0]))
                 prefix.append(shared.view(np.int64))
                 full.append(c.pack(t))
             else:
