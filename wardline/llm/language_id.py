@@ -53,10 +53,14 @@ class Model:
         """rows: id, text, language."""
         self.langs = sorted({lang for _, _, lang in rows})
         rows = [r for r in rows if _LETTER.search(r[1])]
-        vectors = [counts(t) for _, t, _ in rows]
-        df = np.sum([v > 0 for v in vectors], axis=0) if rows else np.zeros(DIMS)
+        vectors, df = [], np.zeros(DIMS, np.int64)
+        for _, t, _ in rows:  # kept sparse: a dense vector for each row would fill the driver
+            v = counts(t)
+            at = np.flatnonzero(v)
+            df[at] += 1
+            vectors.append((at.astype(np.int32), v[at]))
         self.idf = np.log((1 + len(rows)) / (1 + df)) + 1
-        examples = [self.vector(v) for v in vectors]
+        examples = [self.weigh(at, n) for at, n in vectors]
         labels = np.array([self.langs.index(lang) for _, _, lang in rows], np.int64)
         held = np.array([i % HELD_BACK == 0 for i in range(len(rows))], bool)
         self.weights, self.bias, self.temperature = np.zeros((DIMS, len(self.langs))), np.zeros(len(self.langs)), 1.0
@@ -68,7 +72,10 @@ class Model:
 
     def vector(self, v: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         at = np.flatnonzero(v)
-        x = (1 + np.log(v[at])) * self.idf[at]
+        return self.weigh(at, v[at])
+
+    def weigh(self, at: np.ndarray, n: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        x = (1 + np.log(n)) * self.idf[at]
         return at, x / np.sqrt((x * x).sum())
 
     def predict(self, text: str | None) -> tuple[str, float]:
