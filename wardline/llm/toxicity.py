@@ -19,16 +19,17 @@ from __future__ import annotations
 
 import math
 import re
-from collections import Counter, defaultdict
+from collections import Counter
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from . import common as c
 from .features import Ftrl, softmax, temperature_of
 
-PER_CLASS = (6000, 3000)
+PER_CLASS = (4000, 2000)
 MIN_ROWS, MIN_RATIO, PREFIX = 3, 3.0, range(3, 9)
 EPOCHS, HELD_BACK, CACHED = 8, 5, 400_000
 THRESHOLD = 0.7
@@ -157,21 +158,33 @@ class Model:
         labels = np.array([y for _, _, y in rows], np.int64)
         if len(set(labels.tolist())) < 2:
             return
-        seen = [Counter(), Counter()]
-        for _, t, y in rows:
-            seen[y].update({f for w in self._words(t) for f in beginnings(w)})
+        held_by = [np.fromiter(map(hash, {f for w in self._words(t) for f in beginnings(w)}), np.int64) for _, t, _ in rows]  # hashes: the strings would fill the driver
         n = np.bincount(labels, minlength=2)
         shift = 0.0 if odds is None else odds - math.log(n[1] / n[0])
         odds = math.log(n[1] / n[0]) + shift
-        rate = lambda f: ((seen[1][f] + 0.5) / n[1]) / ((seen[0][f] + 0.5) / n[0])
-        self.index = {f: i for i, f in enumerate(sorted(f for f, k in seen[1].items() if k >= MIN_ROWS and rate(f) >= MIN_RATIO))}
+        none = np.zeros(0, np.int64)
+        keys, toxic = c.uniques_counts(np.concatenate([none, *(h for h, y in zip(held_by, labels, strict=True) if y == 1)]))
+        keys, toxic = keys[toxic >= MIN_ROWS], toxic[toxic >= MIN_ROWS]
+        clean = np.zeros(len(keys), np.int64)
+        for h in (h for h, y in zip(held_by, labels, strict=True) if y == 0 and len(keys)):
+            at = np.minimum(np.searchsorted(keys, h), len(keys) - 1)
+            clean[at[keys[at] == h]] += 1
+        del held_by
+        good = ((toxic + 0.5) / n[1]) / ((clean + 0.5) / n[0]) >= MIN_RATIO
+        facts = dict(zip(keys[good].tolist(), zip(toxic[good].tolist(), clean[good].tolist(), strict=True), strict=True))
+        found = {f for _, t, y in rows if y == 1 for w in self._words(t) for f in beginnings(w) if hash(f) in facts}
+        self.index = {f: i for i, f in enumerate(sorted(found))}
         self.table = _Tokens(self)
         examples = [self.features(t) for _, t, _ in rows]
         held = np.arange(len(rows)) % HELD_BACK == 0
         fitted = Ftrl(len(self.index) + 1, 2, alpha=0.3, l1=0.05, l2=0.05).fit([(at, np.ones(len(at))) for at, h in zip(examples, held, strict=True) if not h], labels[~held], EPOCHS)
         w = fitted.weights()
         self.weights, self.bias = w[:, 1] - w[:, 0], float(fitted.bias[1] - fitted.bias[0]) + shift
-        alone = {f: math.log((seen[1][f] + 0.5) / n[1]) - math.log((seen[0][f] + 0.5) / n[0]) - 2 * math.sqrt(1 / (seen[1][f] + 0.5) + 1 / (seen[0][f] + 0.5)) + odds for f in self.index if f[0] != "^"}
+        alone = {}
+        for f in self.index:
+            if f[0] != "^":
+                k1, k0 = facts[hash(f)]
+                alone[f] = math.log((k1 + 0.5) / n[1]) - math.log((k0 + 0.5) / n[0]) - 2 * math.sqrt(1 / (k1 + 0.5) + 1 / (k0 + 0.5)) + odds
         self.alone = np.array([alone.get(f, -50.0) for f in self.index] + [-50.0])
         raw = np.array([self.raw(at) for at, h in zip(examples, held, strict=True) if h])
         self.temperature = max(1.0, temperature_of(np.stack([np.zeros(len(raw)), raw], axis=1), labels[held]))
