@@ -21,7 +21,7 @@ from pyspark.sql import functions as F
 from .features import Ftrl, softmax, temperature_of
 
 DIMS, ORDERS = 1 << 15, (1, 2, 3)
-PER_LANGUAGE, EPOCHS, HELD_BACK = 600, 6, 5
+PER_LANGUAGE, MOST_LANGUAGES, EPOCHS, HELD_BACK = 600, 2000, 6, 5
 #: Characters of a text that are turned into features at a time.
 STEP = 1 << 18
 SCHEMA = "doc_id long, lang_pred string, score double"
@@ -90,9 +90,14 @@ class Model:
 def train(docs: DataFrame, learn: Column, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang") -> Model:
     """A model of about PER_LANGUAGE rows of each language among those where `learn` holds."""
     own = docs.where(learn & F.col(lang_col).isNotNull() & F.col(text_col).isNotNull()).select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"), F.col(lang_col).alias("lang"))
-    sizes = own.groupBy("lang").count()
+    sizes = {r["lang"]: r["count"] for r in own.groupBy("lang").count().limit(MOST_LANGUAGES + 1).collect()}
+    if len(sizes) > MOST_LANGUAGES:
+        raise ValueError(f"more than {MOST_LANGUAGES} languages")
+    if not sizes:
+        return Model([])
     chance = F.pmod(F.xxhash64(F.lit("sample"), "doc_id"), F.lit(1 << 30)) / (1 << 30)
-    sample = own.join(sizes, "lang").where(chance * F.col("count") < PER_LANGUAGE)
+    size = F.create_map(*[F.lit(x) for kv in sizes.items() for x in kv])[F.col("lang")]
+    sample = own.where(chance * size < PER_LANGUAGE)
     return Model(sorted((r["doc_id"], r["text"], r["lang"]) for r in sample.select("doc_id", "text", "lang").collect()))
 
 
