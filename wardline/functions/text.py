@@ -88,7 +88,7 @@ def char_ngrams(text: Column, low: int = 3, high: int = 5) -> Column:
 def luhn_valid(value: Column) -> Column:
     """Whether the digits of a value number 12 at least and pass the Luhn check."""
     digits = F.regexp_replace(value, "[^0-9]", "")
-    return (F.length(digits) >= 12) & F.luhn_check(digits)
+    return (F.length(digits) >= 12) & F.call_function("luhn_check", digits)
 
 
 def coerce_label(value: Column) -> Column:

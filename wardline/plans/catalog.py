@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
+from . import fixtures, tables
+
 
 def queries() -> dict:
-    return {}
+    return tables.QUERIES | fixtures.QUERIES
 
 
-def oracle_sql() -> dict:
-    return {}
+def oracle_sql() -> dict[str, str]:
+    return tables.ORACLES | fixtures.ORACLES
