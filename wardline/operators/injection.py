@@ -11,9 +11,20 @@ from pyspark.sql import functions as F
 
 from ..functions.patterns import BENIGN_MARKERS, RULES, TOPIC_MARKERS, Rule
 from ..functions.text import char_ngrams, match_spans
+from .spans import folded, holds_any
 
 WARN, BLOCK = 0.45, 0.75
 DIVERSITY = 0.08
+#: Case-folded literals one of which every match of a rule holds.
+ANCHORS = {
+    "ignore_previous_instructions": ["hướng", "chỉ", "quy", "lệnh", "nội", "system", "instruction", "rule", "prompt"], "prefer_user_instruction_over_system": ["developer", "system", "quy", "hệ"],
+    "reveal_hidden_prompt": ["system", "developer", "lời", "chỉ", "prompt", "nội", "quy", "internal"], "print_system_prompt": ["system", "developer", "hidden", "internal"],
+    "policy_bypass": ["chính", "bộ", "guardrail", "kiểm", "toàn", "hạn", "safety", "filter", "policy", "restriction"], "unsafe_roleplay": ["dan", "không", "chế", "unrestricted", "limit", "developer"],
+    "tool_permission_bypass": ["phép", "quyền", "xác", "hỏi", "permission", "confirmation", "approval"], "permission_bypass_before_tool": ["tool", "api", "database", "lệnh", "terminal", "shell", "command"],
+    "direct_shell_permission_bypass": ["shell", "terminal"], "secret_or_data_exfiltration": ["khẩu", "token", "api", "secret", "credential", "password", "thông", "dữ", "user", "lịch"], "production_config_secret_access": ["config", "cấu"],
+    "external_secret_exfiltration": ["webhook", "ngoài", "external"], "credential_dump": ["credential", "secret", "token"], "encoded_instruction": ["giải", "decode", "base64", "mã", "encoded"],
+    "retrieved_context_instruction": ["tài", "nội", "retrieved", "document"],
+}
 MATCH = "struct<rule:string,category:string,weight:double,start:int,end:int,text:string>"
 
 
@@ -31,8 +42,11 @@ def _as_match(r: Rule):
 def rule_matches(text: Column | str, rules: list[Rule] = RULES) -> Column:
     """All matches of all rules, distinct by rule and place; none where the guard holds."""
     text = F.col(text) if isinstance(text, str) else text
-    parts = [F.transform(match_spans(text, r.java, None), _as_match(r)).cast(f"array<{MATCH}>") for r in rules]
     none = F.array().cast(f"array<{MATCH}>")
+    parts = []
+    for r in rules:
+        found = F.transform(match_spans(text, r.java, None), _as_match(r)).cast(f"array<{MATCH}>")
+        parts.append(F.when(holds_any(folded(text), ANCHORS[r.name]), found).otherwise(none) if r.name in ANCHORS else found)
     return F.when(text.isNull() | benign_discussion(text), none).otherwise(F.array_distinct(F.concat(*parts)))
 
 

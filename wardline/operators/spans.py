@@ -14,8 +14,29 @@ from ..functions.patterns import BASE_BANK, RECALL_BANK, VIE_BANK, Pattern
 from ..functions.text import SPAN, match_spans, slice_text
 
 EMPTY = f"cast(array() as array<{SPAN}>)"
-#: Literals without which a pattern can't match: a cheap guard before the pattern runs.
-ANCHORS = {"email": "@", "url": ":|www.", "ipv4": ".", "ipv6": ":", "crypto_ethereum": "0x"}
+#: Case-folded literals one of which every match of a pattern holds: a cheap guard before the pattern runs.
+ANCHORS = {
+    "email": ["@"], "vn_cccd_cmnd": ["cccd", "cmnd", "cmtnd", "căn", "chứng"], "vn_cccd_loose_number": ["cccd"], "vn_tax_id": ["thuế"], "vn_employee_id": ["nhân"], "vn_passport_id": ["chiếu", "passport"],
+    "vn_transaction_id": ["giao"], "vn_context_date": ["ngày", "thời"], "vn_context_year": ["năm"], "vn_context_month_duration": ["tháng"], "vn_birth_year": ["sinh"], "vn_birth_month": ["sinh"], "vn_house_number": ["số"],
+    "vn_street_like_location": ["đường", "phố", "ngõ", "ấp", "buôn", "bản", "xóm", "thôn"], "vn_ward_location": ["phường", "xã"], "vn_district_location": ["huyện", "quận", "thị", "thành"],
+    "vn_province_location": ["tỉnh", "tp."], "country_after_vn_address": ["tỉnh", "tp."], "vn_person_labeled_name": ["họ", "tên", "bệnh", "bác", "người", "nhân"], "vn_person_split_surname": ["họ"],
+    "vn_person_split_given_name": ["tên"], "vn_person_honorific_narrative": ["ông", "bà"], "vn_person_honorific_surname": ["ông", "bà"], "vn_person_honorific_given_name": ["ông", "bà"],
+    "vn_organization_labeled": ["tên", "đơn", "ngân", "viện", "bank"], "vn_bank_account": ["khoản", "stk", "a/c"], "url": ["http", "www."], "ipv4": ["."], "ipv6": [":"], "mac_address": [":", "-"],
+    "crypto_ethereum": ["0x"], "credit_card_context": ["thẻ", "card"], "card_cvv_context": ["cvv", "cvc", "mật"],
+}
+
+
+def folded(text: Column) -> Column:
+    """Lower case, with the two letters that case-insensitive patterns take for s and i."""
+    return F.translate(F.lower(text), "ſı", "si")
+
+
+def holds_any(low: Column, literals: list[str]) -> Column:
+    cond = F.contains(low, F.lit(literals[0]))
+    for x in literals[1:]:
+        cond = cond | F.contains(low, F.lit(x))
+    return cond
+
 
 #: Named pipelines: which banks they use.
 PIPELINES: dict[str, list[Pattern]] = {
@@ -52,11 +73,7 @@ def find_spans(text: Column | str, bank: Iterable[Pattern], validators: dict | N
             found = F.filter(found, _on_text(validators[p.name]))
         spans = F.transform(found, _as_span(p, k))
         if p.name in ANCHORS:
-            any_of = [F.contains(F.lower(text), F.lit(a)) for a in ANCHORS[p.name].split("|")]
-            cond = any_of[0]
-            for c in any_of[1:]:
-                cond = cond | c
-            spans = F.when(cond, spans).otherwise(F.expr(EMPTY))
+            spans = F.when(holds_any(folded(text), ANCHORS[p.name]), spans).otherwise(F.expr(EMPTY))
         parts.append(spans.cast(f"array<{SPAN}>"))
     return F.concat(*parts)
 
@@ -76,8 +93,9 @@ def find_spans_arrow(docs: DataFrame, bank: list[Pattern], text_col: str = "text
             rows = []
             for text in batch.column(batch.schema.get_field_index(text_col)).to_pylist():
                 own = []
+                low = text.casefold().replace("ı", "i") if text else ""
                 for k, name, entity, score, rx in compiled if text else ():
-                    if name in ANCHORS and not any(a in text.lower() for a in ANCHORS[name].split("|")):
+                    if name in ANCHORS and not any(a in low for a in ANCHORS[name]):
                         continue
                     for m in rx.finditer(text):
                         a, b = m.span("value")
