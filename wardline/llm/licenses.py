@@ -60,7 +60,8 @@ def scan_licenses(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
     """Rows doc_id, path, license (null: none), method (header, file, inherited, none), score, evidence (a line or a directory)."""
     spark = docs.sparkSession
     weights, idf = _weights()
-    terms = spark.createDataFrame([(t, n, w, idf[t]) for t, n, w in weights], "term string, template string, weight double, idf double")
+    values = ", ".join(f"('{t}', '{n}', {w!r}D, {idf[t]!r}D)" for t, n, w in weights)
+    terms = spark.sql(f"SELECT * FROM VALUES {values} AS t(term, template, weight, idf)")
     unknown = math.log(1 + len(TEMPLATES)) + 1
     docs = docs.select(F.col(id_col).alias("doc_id"), F.col(path_col).alias("path"), F.col(text_col).alias("text"))
     lines = F.filter(F.transform(F.split("text", "\n"), lambda line: F.trim(line)), lambda line: line.rlike(CUE))
