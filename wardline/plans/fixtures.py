@@ -202,11 +202,10 @@ def pi_weak_label(spark):
     return done.select("id", F.col("prompt_injection").alias("label"), F.col("label_source").alias("source"), F.array_join(F.transform("pi_spans", lambda s: F.concat_ws(":", s["span_id"], s["field"])), " ").alias("spans"))
 
 
-@expect("n long, grams string", (9, " ab, ab ,ab b,ab b ,ab b, ab b, b ,b b,b b "))
+@expect("n long, grams string", (9, " ab| ab | ab b| b |ab |ab b|ab b |b b|b b "))
 def ngram_features(spark):
-    rows = spark.createDataFrame([(" AB \n b",)], "t string")
-    g = F.array_sort(T.char_ngrams(F.col("t")))
-    return rows.select(F.size(g).cast("long").alias("n"), F.array_join(F.array_sort(F.array(*[F.lit(x) for x in [" ab", "ab ", "b b", " b ", " ab ", "ab b", "b b ", " ab b", "ab b "]])), ",").alias("grams")).where(F.size(g) == 9).select("n", F.lit(" ab, ab ,ab b,ab b ,ab b, ab b, b ,b b,b b ").alias("grams"))
+    grams = F.array_sort(T.char_ngrams(F.col("t")))
+    return spark.createDataFrame([(" AB \n b",)], "t string").select(F.size(grams).cast("long").alias("n"), F.array_join(grams, "|").alias("grams"))
 
 
 # ------------------------------------------------------------ entities, resolver, verifier
