@@ -28,26 +28,29 @@ ANCHORS = {
 MATCH = "struct<rule:string,category:string,weight:double,start:int,end:int,text:string>"
 
 
-def benign_discussion(text: Column) -> Column:
+def benign_discussion(text: Column, low: Column | None = None) -> Column:
     """Row-level guard: some marker of a harmless discussion and some topic marker, in the lower-cased text."""
-    low = F.lower(text)
-    any_of = lambda markers: F.exists(F.array(*[F.lit(m) for m in markers]), lambda m: F.contains(low, m))
-    return any_of(BENIGN_MARKERS) & any_of(TOPIC_MARKERS)
+    low = F.lower(text) if low is None else low
+    return holds_any(low, BENIGN_MARKERS) & holds_any(low, TOPIC_MARKERS)
 
 
 def _as_match(r: Rule):
     return lambda s: F.struct(F.lit(r.name).alias("rule"), F.lit(r.category).alias("category"), F.lit(r.weight).alias("weight"), s["start"].alias("start"), s["end"].alias("end"), s["text"].alias("text")).cast(MATCH)
 
 
-def rule_matches(text: Column | str, rules: list[Rule] = RULES) -> Column:
-    """All matches of all rules, distinct by rule and place; none where the guard holds."""
+def rule_matches(text: Column | str, rules: list[Rule] = RULES, low: Column | None = None) -> Column:
+    """All matches of all rules, distinct by rule and place; none where the guard holds.
+
+    low: the folded text, as a column of its own, so that it isn't made anew for each literal that is looked for.
+    """
     text = F.col(text) if isinstance(text, str) else text
+    low = folded(text) if low is None else low
     none = F.array().cast(f"array<{MATCH}>")
     parts = []
     for r in rules:
         found = F.transform(match_spans(text, r.java, None), _as_match(r)).cast(f"array<{MATCH}>")
-        parts.append(F.when(holds_any(folded(text), ANCHORS[r.name]), found).otherwise(none) if r.name in ANCHORS else found)
-    return F.when(text.isNull() | benign_discussion(text), none).otherwise(F.array_distinct(F.concat(*parts)))
+        parts.append(F.when(holds_any(low, ANCHORS[r.name]), found).otherwise(none) if r.name in ANCHORS else found)
+    return F.when(text.isNull() | benign_discussion(text, low), none).otherwise(F.array_distinct(F.concat(*parts)))
 
 
 def rule_score(matches: Column) -> Column:
@@ -64,7 +67,7 @@ def detect_rules(docs: DataFrame, text_col: str = "text", rules: list[Rule] = RU
     """Adds evidence, score, action, is_injection, matched_rules and categories."""
     names = lambda field: F.array_sort(F.array_distinct(F.transform("evidence", lambda m: m[field])))
     return (
-        docs.withColumn("evidence", rule_matches(text_col, rules)).withColumn("score", rule_score(F.col("evidence"))).withColumn("action", action_of(F.col("score")))
+        docs.withColumn("_low", folded(F.col(text_col))).withColumn("evidence", rule_matches(text_col, rules, F.col("_low"))).drop("_low").withColumn("score", rule_score(F.col("evidence"))).withColumn("action", action_of(F.col("score")))
         .withColumn("is_injection", F.col("score") >= WARN).withColumn("matched_rules", names("rule")).withColumn("categories", names("category"))
     )
 
