@@ -74,15 +74,15 @@ def normalized(text: Column) -> Column:
 
 def char_ngrams(text: Column, low: int = 3, high: int = 5) -> Column:
     """All character n-grams of the normalized text, with repetition."""
-    t = normalized(text)
     empty = F.array().cast("array<string>")
 
-    def of(n: int) -> Column:
-        starts = F.sequence(F.lit(1), F.greatest(F.length(t) - n + 1, F.lit(1)))
-        return F.when(F.length(t) >= n, F.transform(starts, lambda i: F.substring(t, i, F.lit(n)))).otherwise(empty)
+    def of(chars: Column, n: int) -> Column:
+        starts = F.sequence(F.lit(0), F.greatest(F.size(chars) - n, F.lit(0)))
+        return F.when(F.size(chars) >= n, F.transform(starts, lambda i: F.concat(*[F.get(chars, i + k) for k in range(n)]))).otherwise(empty)
 
-    parts = [of(n) for n in range(low, high + 1)]
-    return F.concat(*parts)
+    # bound as a lambda's variable, the text is normalized and taken apart once and not for each n-gram
+    held = F.transform(F.array(F.split(F.coalesce(normalized(text), F.lit("")), "")), lambda chars: F.concat(*[of(chars, n) for n in range(low, high + 1)]))
+    return held[0]
 
 
 def luhn_valid(value: Column) -> Column:

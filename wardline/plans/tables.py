@@ -300,6 +300,31 @@ def nb_leave_one_out(spark, sf):
     return injection.predict_leave_one_out(_nb_docs(spark, sf), "doc_id").select("doc_id", "label", F.round("score", 4).alias("score"))
 
 
+# the same over whole texts: the oracles above, which stay as they are, end at 160 characters; DuckDB takes minutes over
+# whole texts, so tests hold these against plain Python
+
+
+def _nb_whole_docs(spark, sf):
+    return documents(spark, sf).select("doc_id", "text").join(read(spark, sf, "labels").select("doc_id", F.col("toxic").alias("label")), "doc_id")
+
+
+@query()
+def nb_fit_counts_whole(spark, sf):
+    return injection.fit(_nb_whole_docs(spark, sf))
+
+
+@query()
+def nb_predict_whole(spark, sf):
+    docs = _nb_whole_docs(spark, sf)
+    model = injection.fit(docs)
+    return injection.predict(docs, model, injection.class_facts(docs, model), "doc_id").select("doc_id", F.round("score", 4).alias("score"))
+
+
+@query()
+def nb_leave_one_out_whole(spark, sf):
+    return injection.predict_leave_one_out(_nb_whole_docs(spark, sf), "doc_id").select("doc_id", "label", F.round("score", 4).alias("score"))
+
+
 # ------------------------------------------------------------ confusion and sweeps
 
 _CELLS = "count(*) FILTER (WHERE y AND p) AS tp, count(*) FILTER (WHERE NOT y AND p) AS fp, count(*) FILTER (WHERE y AND NOT p) AS fn, count(*) FILTER (WHERE NOT y AND NOT p) AS tn"
