@@ -51,3 +51,20 @@ def test_grams_of_any_text(spark):
     df = spark.createDataFrame(list(enumerate(texts)), "i int, text string")
     have = {r.i: Counter(r.g) for r in df.select("i", T.char_ngrams(F.col("text")).alias("g")).collect()}
     assert have == {i: grams(t or "") for i, t in enumerate(texts)}
+
+
+def test_queries_cover_all_rows(spark, tmp_path):
+    sf = str(tmp_path)
+    spark.createDataFrame([(1, "no address"), (2, "to a.b@x.vn now"), (3, None)], "doc_id long, text string").write.parquet(f"{sf}/documents.parquet")
+    labels = [(1, 1, 1), (5, 1, 0), (301, 1, 1), (305, 0, 1), (307, 0, 0), (311, 1, 0), (313, 1, 0)]
+    spark.createDataFrame(labels, "doc_id long, quality int, toxic int").write.parquet(f"{sf}/labels.parquet")
+    spark.createDataFrame([(1, 1, "view"), (2, 1, "error"), (3, 5, "click"), (4, 5, "view"), (5, 307, "signup")], "event_id long, user_id long, event_type string").write.parquet(f"{sf}/events.parquet")
+    run = lambda name: tables.QUERIES[name](spark, sf).collect()
+    assert {r.doc_id for r in run("pii_redacted_right_all")} == {1, 2, 3}
+    picked = run("balanced_eval_all")
+    assert {(r.doc_id, r.y) for r in picked if r.gold} == {(1, True), (301, True), (305, True), (307, False)}
+    weak = {r.doc_id for r in picked if not r.gold}
+    assert len(weak) == 2 and weak < {5, 311, 313}
+    assert {r.doc_id: (r.action, r.source) for r in run("layer_merge_all")} == {
+        1: ("error", "api"), 5: ("click", "human"), 301: ("reject", "source"), 305: ("reject", "source"), 307: ("signup", "api"), 311: (None, None), 313: (None, None),
+    }

@@ -105,6 +105,12 @@ def pii_redacted_right(spark, sf):
     return docs.select("doc_id", F.md5(spans.anonymize_right(F.col("text"), spans.find_spans("text", [EMAIL])).cast("binary")).alias("redacted_md5"))
 
 
+@query(ORACLES["pii_redacted_emails"])
+def pii_redacted_right_all(spark, sf):
+    """pii_redacted_right over all documents."""
+    return documents(spark, sf).select("doc_id", F.md5(spans.anonymize_right(F.col("text"), spans.find_spans("text", [EMAIL])).cast("binary")).alias("redacted_md5"))
+
+
 @query(f"SELECT doc_id, count(*) AS n FROM (SELECT doc_id FROM ({EMAILS}) UNION ALL SELECT doc_id FROM ({IPS})) GROUP BY 1 HAVING count(*) > 0")
 def pii_span_threshold(spark, sf):
     kept = spans.at_least(spans.find_spans("text", [EMAIL, IPV4, CARD]), 0.85)
@@ -251,6 +257,16 @@ def balanced_eval(spark, sf):
     return profile.balanced_set(lab.where("doc_id < 300 and (y or doc_id % 40 = 0)"), lab.where("doc_id >= 300 and not y"), "doc_id", "y")
 
 
+@query(
+    f"""WITH g AS (SELECT doc_id, toxic = 1 AS y FROM labels WHERE toxic = 1 OR quality = 0), w AS (SELECT doc_id, FALSE AS y FROM labels WHERE NOT (toxic = 1 OR quality = 0))
+       SELECT doc_id, y, TRUE AS gold FROM g UNION ALL (SELECT doc_id, y, FALSE FROM w ORDER BY {_HASH}, doc_id LIMIT greatest(0, (SELECT count(*) FILTER (WHERE y) - count(*) FILTER (WHERE NOT y) FROM g)))"""
+)
+def balanced_eval_all(spark, sf):
+    """Gold: toxic or of low quality; weak: all others. Every labelled row is in one of the two."""
+    lab = read(spark, sf, "labels").select("doc_id", (F.col("toxic") == 1).alias("y"), (F.col("quality") == 0).alias("low"))
+    return profile.balanced_set(lab.where("y or low").drop("low"), lab.where("not (y or low)").drop("low"), "doc_id", "y")
+
+
 @query("SELECT CAST(doc_id AS VARCHAR) AS doc_id, lang, CAST(place AS INTEGER) AS place FROM documents JOIN (VALUES (7, 0), (3, 1), (11, 2)) AS v(i, place) ON doc_id = i")
 def manifest_order(spark, sf):
     docs = documents(spark, sf).select(F.col("doc_id").cast("string").alias("doc_id"), "lang")
@@ -419,6 +435,23 @@ def layer_merge(spark, sf):
     return done.select(F.col("input_id").alias("doc_id"), "labels.action", F.col("label_source.action").alias("source"))
 
 
+@query(
+    """SELECT doc_id, coalesce(h.event_type, a.event_type, CASE WHEN toxic = 1 THEN 'reject' END) AS action, CASE WHEN h.event_type IS NOT NULL THEN 'human' WHEN a.event_type IS NOT NULL THEN 'api' WHEN toxic = 1 THEN 'source' END AS source
+       FROM labels LEFT JOIN (SELECT user_id, arg_max(event_type, event_id) AS event_type FROM events WHERE event_type NOT IN ('click', 'purchase') GROUP BY 1) a ON a.user_id = doc_id
+       LEFT JOIN (SELECT user_id, arg_max(event_type, event_id) AS event_type FROM events WHERE event_type IN ('click', 'purchase') GROUP BY 1) h ON h.user_id = doc_id"""
+)
+def layer_merge_all(spark, sf):
+    """Events of all ids: clicks and purchases are the human layer, all other types the API's."""
+    null = [F.lit(None).cast("boolean").alias(r) for r in review.RISKS]
+    action = F.when(F.col("toxic") == 1, "reject")
+    source = F.struct(F.when(action.isNotNull(), "source").alias("action"), *[F.lit(None).cast("string").alias(r) for r in review.RISKS])
+    rows = read(spark, sf, "labels").select(F.col("doc_id").alias("input_id"), F.struct(action.alias("action"), *null).alias("labels"), source.alias("label_source"), F.lit(None).cast("string").alias("review"))
+    human = F.col("event_type").isin("click", "purchase")
+    layer = lambda own: read(spark, sf, "events").where(own).select(F.col("user_id").alias("input_id"), F.struct(F.col("event_type").alias("action"), *null).alias("labels"), F.col("event_id").alias("seq"))
+    done = review.layered(rows, layer(~human), layer(human))
+    return done.select(F.col("input_id").alias("doc_id"), "labels.action", F.col("label_source.action").alias("source"))
+
+
 @query("SELECT event_id, event_type, user_id FROM events ORDER BY event_id DESC LIMIT 20")
 def audit_recent(spark, sf):
     return governance.recent(read(spark, sf, "events").select("event_id", "event_type", "user_id"), 20, "event_id")
