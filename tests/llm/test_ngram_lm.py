@@ -71,3 +71,31 @@ def test_elias_fano(n, bits):
     e = EliasFano.build(v, bits)
     q = np.concatenate([v, rng.integers(0, 2**bits - 1, 99, dtype=np.uint64, endpoint=True)])
     assert (e.get(np.arange(n)) == v).all() and (e.successor(q) == np.searchsorted(v, q)).all()
+
+
+@pytest.mark.parametrize("hot", [5, 60])
+def test_many_hot_contexts(spark, monkeypatch, hot):
+    monkeypatch.setattr(lm, "BLOCK_BYTES", 2000)
+    monkeypatch.setattr(lm, "HOT_CONTEXT", hot)
+    rnd = random.Random(4)
+    vocab = [f"w{i}" for i in range(40)]
+    rows = [(i, " ".join(rnd.choices(vocab, weights=[1 / (k + 1) for k in range(40)], k=rnd.randrange(1, 80)))) for i in range(150)]
+    have = {r.doc_id: r for r in lm.score(spark.createDataFrame(rows, "doc_id long, text string"), F.crc32(F.col("doc_id").cast("string")) % 10 != 0).collect()}
+    assert max(abs(have[i].score - full) / n for i, (n, _, _, _, full) in brute(rows).items()) <= 0.02
+
+
+def test_successors_of_a_hot_context(spark, monkeypatch):
+    monkeypatch.setattr(lm, "BLOCK_BYTES", 2 << 20)
+    train, held = ([i for i in range(60) if (zlib.crc32(str(i).encode()) % 10 == 0) == h] for h in (False, True))
+    rows = [(train[0], "a b a c a d " * (lm.HOT_CONTEXT // 3 + 9)), (train[1], "e f"), (held[0], "a zzz"), (held[1], "a yyy"), (held[2], "a xxx")]
+    have = {r.doc_id: r.score for r in lm.score(spark.createDataFrame(rows, "doc_id long, text string"), F.crc32(F.col("doc_id").cast("string")) % 10 != 0).collect()}
+    want = brute(rows)
+    for i in held[:3]:
+        assert abs(have[i] - want[i][4]) <= 0.05
+
+
+def test_codes_widen_with_the_tokens():
+    for n in (0, 10, 10**8, 10**10, 10**12):
+        p = np.array([0.25 / max(1, n), 1.0])
+        assert np.allclose(np.log10(lm.decode(lm.decades_of(n))[lm.quantise(p, lm.decades_of(n))]), np.log10(p), atol=0.03)
+    assert lm.decades_of(10**8) == lm.DECADES

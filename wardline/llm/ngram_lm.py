@@ -12,8 +12,8 @@ never seen backs off to p0.  Texts are read in blocks (hash ranges of their rows
 3. The answers, again packed, go back to the blocks, which sum the scores.
 
 No step holds more than a block or a shard, whose number grows with the input; a word that is a context of many tokens is
-dealt over several shards by its successors (T(v) is then the shard's own count times the number of shards).
-Nothing is collected or broadcast but three sums.
+dealt over several shards by its successors.  Each successor is in one shard, so the shards' own counts sum to the exact T(v),
+which goes back to the blocks.  Nothing is collected or broadcast but three sums and these T(v), one number for HOT_CONTEXT tokens at most.
 
 A null text counts as empty: it has only the end token.  Rows with equal ids and texts give equal rows.  Without training rows
 every token has c = 0 and N = V = 0.  An empty table gives no rows.  Further columns are ignored.
@@ -21,6 +21,7 @@ every token has c = 0 and N = V = 0.  An empty table gives no rows.  Further col
 
 from __future__ import annotations
 
+import math
 import os
 import tempfile
 
@@ -37,7 +38,8 @@ BASE, DISCOUNT = 0.1, 0.75
 #: Tokens of a context beyond which its successors are dealt over several shards.
 HOT_CONTEXT = 1 << 20
 BLOCK_BYTES = 12 << 20
-#: Smoothed probabilities are stored as codes 1 to 255, evenly spaced in the logarithm over DECADES decades; 0: absent.
+#: Smoothed probabilities are stored as codes 1 to 255, evenly spaced in the logarithm over DECADES decades, or more where
+#: the number of tokens asks for them; 0: absent.
 DECADES = 9.0
 _U = np.uint64
 END, START = _U(0x454E44), _U(0x535441)
@@ -51,12 +53,18 @@ def _messages(rows: list[tuple]) -> pa.Table:
     return pa.table({n: pa.array([r[i] for r in rows], t) for i, (n, t) in enumerate(_FIELDS)})
 
 
-def quantise(p: np.ndarray) -> np.ndarray:
-    return np.clip(np.rint(255 + np.log10(np.maximum(p, 1e-300)) * (254 / DECADES)), 1, 255).astype(np.uint8)
+def decades_of(n_tokens: int) -> float:
+    """Decades that hold the smallest probability, of a pair seen once after a context of all tokens."""
+    return max(DECADES, math.ceil(math.log10(max(1, n_tokens) / (1 - DISCOUNT))))
 
 
-#: Probability of each code.
-DECODE = np.concatenate([[0.0], 10.0 ** ((np.arange(1, 256) - 255) * (DECADES / 254))])
+def quantise(p: np.ndarray, decades: float = DECADES) -> np.ndarray:
+    return np.clip(np.rint(255 + np.log10(np.maximum(p, 1e-300)) * (254 / decades)), 1, 255).astype(np.uint8)
+
+
+def decode(decades: float = DECADES) -> np.ndarray:
+    """Probability of each code."""
+    return np.concatenate([[0.0], 10.0 ** ((np.arange(1, 256) - 255) * (decades / 254))])
 
 
 def _tokens(left: pa.Table) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -106,7 +114,7 @@ def _answer_unigrams(group: pa.Table) -> pa.Table:
 class _Block:
     """Distinct words and word pairs of a block, in an order that asking and finishing share."""
 
-    def __init__(self, left: pa.Table, answers: pa.Table, shards: int):
+    def __init__(self, left: pa.Table, answers: pa.Table, shards: int, hot: int):
         h, self.to, self.train = _tokens(left)
         self.words, self.own = _unigrams(h, self.to, self.train)
         shard = (self.words % _U(shards)).astype(np.int32)
@@ -120,8 +128,8 @@ class _Block:
         self.pair = before.astype(_U) << _U(32) | self.word.astype(_U)
         self.pairs = c.uniques(self.pair)
         self.first, self.second = (self.pairs >> _U(32)).astype(np.int64), (self.pairs & _U(0xFFFFFFFF)).astype(np.int64)
-        parts = 1 + self.counts[self.first] // HOT_CONTEXT
-        self.parts = parts
+        parts = 1 + self.counts[self.first] // hot
+        self.hot = parts > 1
         v, w = self.words[self.first], self.words[self.second]
         self.shard = (c.mix(v + c.mix(w) % parts.astype(_U)) % _U(shards)).astype(np.int32)
 
@@ -139,11 +147,11 @@ def _unsmall(x: bytes, n: int) -> np.ndarray:
     return out
 
 
-def _ask_pairs(shards: int):
+def _ask_pairs(shards: int, hot: int):
     def ask(left: pa.Table, right: pa.Table) -> pa.Table:
         if not left.num_rows:
             return _messages([])
-        b = _Block(left, right, shards)
+        b = _Block(left, right, shards, hot)
         learn = np.repeat(b.train, np.diff(b.to))
         seen, n = c.uniques_counts(b.pair[learn])
         own = np.zeros(len(b.pairs), np.int64)
@@ -161,7 +169,7 @@ def _ask_pairs(shards: int):
             succ = np.diff(np.append(start, len(at)))
             key = b.words[b.second[at]] & _KEY
             head = np.array([len(ctx), len(at)], np.int64)
-            data = c.pack(head) + c.pack(b.words[ctx]) + c.pack(b.counts[ctx].astype(np.float32)) + c.pack(b.parts[at[start]].astype(np.uint16)) + c.pack(key.astype(np.uint32)) + c.pack((key >> _U(32)).astype(np.uint8))
+            data = c.pack(head) + c.pack(b.words[ctx]) + c.pack(b.counts[ctx].astype(np.float32)) + c.pack(b.hot[at[start]].astype(np.uint8)) + c.pack(key.astype(np.uint32)) + c.pack((key >> _U(32)).astype(np.uint8))
             rows.append((1, s, left["block"][0].as_py(), data, _small(succ) + _small(own[at]), None, None))
         return _messages(rows)
 
@@ -171,13 +179,13 @@ def _ask_pairs(shards: int):
 def _unpack(data: bytes, more: bytes) -> tuple[np.ndarray, ...]:
     n_ctx, n = np.frombuffer(data, np.int64, 2).tolist()
     at, out = 16, []
-    for kind, size in ((_U, n_ctx), (np.float32, n_ctx), (np.uint16, n_ctx), (np.uint32, n), (np.uint8, n)):
+    for kind, size in ((_U, n_ctx), (np.float32, n_ctx), (np.uint8, n_ctx), (np.uint32, n), (np.uint8, n)):
         out.append(np.frombuffer(data, kind, size, at))
         at += size * np.dtype(kind).itemsize
-    ctx, count, parts, low, high = out
+    ctx, count, hot, low, high = out
     succ = _unsmall(more, n_ctx)
     own = _unsmall(more[n_ctx + 4 * int((succ >= 255).sum()) :], n)
-    return ctx, count, parts, succ, low.astype(_U) | high.astype(_U) << _U(32), own
+    return ctx, count, hot, succ, low.astype(_U) | high.astype(_U) << _U(32), own
 
 
 class Trie:
@@ -221,8 +229,8 @@ class Trie:
         return out
 
 
-def build_trie(path: str, ctx: np.ndarray, total: np.ndarray, parts: np.ndarray, rank: np.ndarray, key: np.ndarray, n: np.ndarray) -> Trie:
-    """From contexts (sorted; their token counts and numbers of shards) and pair counts (context rank, word key, count)."""
+def build_trie(path: str, ctx: np.ndarray, total: np.ndarray, rank: np.ndarray, key: np.ndarray, n: np.ndarray, decades: float = DECADES) -> tuple[Trie, np.ndarray]:
+    """The trie and each context's number of successors in it, from contexts (sorted; their token counts) and pair counts (context rank, word key, count)."""
     x = rank.astype(_U) << _U(40) | key
     order = np.argsort(x)
     x, n = x[order], n[order]
@@ -231,43 +239,51 @@ def build_trie(path: str, ctx: np.ndarray, total: np.ndarray, parts: np.ndarray,
     r = (x >> _U(40)).astype(np.int64)
     types = np.bincount(r, minlength=len(ctx))
     pointers = np.concatenate([[0], np.cumsum(types)])
-    gamma = np.where(total > 0, np.minimum(1.0, DISCOUNT * types * parts / np.maximum(total, 1)), 1.0)
-    return Trie(path, ctx, quantise(gamma), pointers, x, quantise((n - DISCOUNT) / np.maximum(total[r], 1)))
-
-
-def _answer_pairs(group: pa.Table) -> pa.Table:
-    asked = [_unpack(d, m) for d, m in zip(group["data"].to_pylist(), group["more"].to_pylist(), strict=True)]
-    every = np.concatenate([a[0] for a in asked])
-    order = np.argsort(every)
-    at = np.flatnonzero(np.concatenate([[True], every[order][1:] != every[order][:-1]]))
-    ctx = every[order][at]
-    total, parts = (np.concatenate([a[i] for a in asked])[order][at].astype(np.float64) for i in (1, 2))
-    rank = np.searchsorted(ctx, np.concatenate([np.repeat(a[0], a[3]) for a in asked]))
-    key, n = np.concatenate([a[4] for a in asked]), np.concatenate([a[5] for a in asked])
-    learnt = n > 0
-    handle, path = tempfile.mkstemp(prefix="trie-")
-    os.close(handle)
-    try:
-        trie = build_trie(path, ctx, total, parts, rank[learnt], key[learnt], n[learnt])
-        del every, order, rank, key, n
-        rows = []
-        for b, a in zip(group["block"].to_pylist(), asked, strict=True):
-            r, known = trie.context(a[0])
-            codes = trie.codes(np.repeat(r, a[3]), np.repeat(known, a[3]), a[4])
-            rows.append((3, group["shard"][0].as_py(), b, c.pack(codes), c.pack(np.where(known, trie.gamma[r], np.uint8(255))), None, None))
-        return _messages(rows)
-    finally:
-        os.unlink(path)
-
-
-def _finish(shards: int, n_tokens: int, n_types: int):
+    gamma = np.where(total > 0, np.minimum(1.0, DISCOUNT * types / np.maximum(total, 1)), 1.0)
+    return Trie(path, ctx, quantise(gamma, decades), pointers, x, quantise((n - DISCOUNT) / np.maximum(total[r], 1), decades)), types
+
+
+def _answer_pairs(decades: float):
+    def answer(group: pa.Table) -> pa.Table:
+        asked = [_unpack(d, m) for d, m in zip(group["data"].to_pylist(), group["more"].to_pylist(), strict=True)]
+        every = np.concatenate([a[0] for a in asked])
+        order = np.argsort(every)
+        at = np.flatnonzero(np.concatenate([[True], every[order][1:] != every[order][:-1]]))
+        ctx = every[order][at]
+        total, hot = (np.concatenate([a[i] for a in asked])[order][at] for i in (1, 2))
+        rank = np.searchsorted(ctx, np.concatenate([np.repeat(a[0], a[3]) for a in asked]))
+        key, n = np.concatenate([a[4] for a in asked]), np.concatenate([a[5] for a in asked])
+        learnt = n > 0
+        handle, path = tempfile.mkstemp(prefix="trie-")
+        os.close(handle)
+        try:
+            trie, types = build_trie(path, ctx, total.astype(np.float64), rank[learnt], key[learnt], n[learnt], decades)
+            del every, order, rank, key, n
+            shard = group["shard"][0].as_py()
+            rows = [(4, shard, None, None, None, v, t) for v, t in zip(ctx[hot > 0].view(np.int64).tolist(), types[hot > 0].tolist(), strict=True)]
+            for b, a in zip(group["block"].to_pylist(), asked, strict=True):
+                r, known = trie.context(a[0])
+                codes = trie.codes(np.repeat(r, a[3]), np.repeat(known, a[3]), a[4])
+                rows.append((3, shard, b, c.pack(codes), c.pack(np.where(known, trie.gamma[r], np.uint8(255))), None, None))
+            return _messages(rows)
+        finally:
+            os.unlink(path)
+
+    return answer
+
+
+def _finish(shards: int, hot: int, n_tokens: int, n_types: int, hot_types: dict[int, int]):
+    """hot_types: T(v) of the contexts dealt over several shards."""
     z = n_tokens + BASE * (n_types + 1)
+    value = decode(decades_of(n_tokens))
+    hot_words = np.sort(np.fromiter(hot_types, np.int64, len(hot_types)).view(_U))
+    hot_counts = np.array([hot_types[v] for v in hot_words.view(np.int64).tolist()], np.float64)
 
     def finish(left: pa.Table, right: pa.Table) -> pa.Table:
         if not left.num_rows:
             return pa.table({k: pa.array([], t) for k, t in (("doc_id", pa.int64()), ("held_out", pa.bool_()), ("n_tokens", pa.int64()), ("n_known", pa.int64()), ("train_tokens", pa.int64()), ("base_score", pa.float64()), ("score", pa.float64()))})
         kind = np.array(right["kind"].to_pylist())
-        b = _Block(left, right.take(pa.array(np.flatnonzero(kind == 1))), shards)
+        b = _Block(left, right.take(pa.array(np.flatnonzero(kind == 1))), shards, hot)
         alpha, gamma = np.zeros(len(b.pairs), np.uint8), np.full(len(b.pairs), 255, np.uint8)
         answers = right.take(pa.array(np.flatnonzero(kind == 3)))
         order = np.argsort(b.shard, kind="stable")
@@ -279,7 +295,11 @@ def _finish(shards: int, n_tokens: int, n_types: int):
             start = np.concatenate([[True], first[1:] != first[:-1]])
             gamma[at] = np.frombuffer(g, np.uint8)[np.cumsum(start) - 1]
         base = np.log10((b.counts + BASE) / z)
-        log = np.log10(DECODE[alpha] + DECODE[gamma] * 10.0 ** base[b.second])
+        backoff = value[gamma]
+        v = b.first[b.hot]
+        if len(v):
+            backoff[b.hot] = np.minimum(1.0, DISCOUNT * hot_counts[np.searchsorted(hot_words, b.words[v])] / b.counts[v])
+        log = np.log10(value[alpha] + backoff * 10.0 ** base[b.second])
         add = lambda x: np.add.reduceat(x, b.to[:-1])  # noqa: E731  each text has one token at least
         return pa.table({
             "doc_id": left["doc_id"], "held_out": pa.array(~b.train), "n_tokens": pa.array(np.diff(b.to), pa.int64()), "n_known": pa.array(add((b.counts[b.word] > 0).astype(np.int64)), pa.int64()),
@@ -302,9 +322,10 @@ def score(docs: DataFrame, train: Column, id_col: str = "doc_id", text_col: str
     c.release(docs.sparkSession)
     n_tokens, n_types = (int(x or 0) for x in one.where("kind = 2").agg(F.sum("tokens"), F.sum("types")).first())
     one = one.where("kind = 1")
-    asked = placed.cogroup(one.groupBy("block")).applyInArrow(_ask_pairs(shards), MESSAGE)
-    two = c.materialize(asked.groupBy("shard").applyInArrow(_answer_pairs, MESSAGE), "pairs")
+    asked = placed.cogroup(one.groupBy("block")).applyInArrow(_ask_pairs(shards, HOT_CONTEXT), MESSAGE)
+    two = c.materialize(asked.groupBy("shard").applyInArrow(_answer_pairs(decades_of(n_tokens)), MESSAGE), "pairs")
     c.release(docs.sparkSession)
-    return placed.cogroup(one.unionAll(two).groupBy("block")).applyInArrow(
-        _finish(shards, n_tokens, n_types), "doc_id long, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double"
+    hot_types = {r["tokens"]: r["types"] for r in two.where("kind = 4").groupBy("tokens").agg(F.sum("types").alias("types")).collect()}
+    return placed.cogroup(one.unionAll(two.where("kind = 3")).groupBy("block")).applyInArrow(
+        _finish(shards, HOT_CONTEXT, n_tokens, n_types, hot_types), "doc_id long, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double"
     )
