@@ -1,3 +1,4 @@
+import itertools
 import os
 
 import pytest
@@ -44,3 +45,36 @@ def test_held_out_accuracy(spark):
     held = [(r.predicted, gold[r.doc_id]) for r in op9_toxicity(spark, SF).collect() if r.held_out and r.doc_id in gold]
     hit, said, real = held.count((1, 1)), sum(p for p, _ in held), sum(g for _, g in held)
     assert hit >= 0.98 * said and hit >= 0.8 * real
+
+
+def test_spaced_disguises_are_read():
+    long = "incomprehensiblenitwit"
+    rows = model_rows() + [(200 + i, f"what an {long} in the harbour", 1) for i in range(5)]
+    model = toxicity.Model(rows)
+    calm = model.score("the river and garden today")
+    for t in ("i. d. i. o. t.", "i - d - i - o - t", "m_ o_ r_ o_ n_"):
+        assert model.score(f"the river and {t} today") > 0.5 > calm, t
+    assert model.index[long] in model.features(" ".join(long))
+    assert model.readings.spaced("- - i - b".split()) == []
+
+
+def test_reading_is_the_most_probable():
+    model = toxicity.Model(model_rows()).readings.model
+
+    def score(outs, costs):
+        word = "".join(outs)
+        return sum(costs) + sum(model.log(f"^^{word}$"[i : i + 3]) for i in range(len(word) + 1))
+
+    def options(token):
+        last = before = ""
+        for ch in token:
+            own = [(ch, 0.0)] if ch.isalpha() else [(ch, toxicity.STAY), ("", toxicity.LOSE if ch in toxicity.LOOKS else toxicity.DROP)]
+            own += [(x, toxicity.IMITATE) for x in toxicity.LOOKS.get(ch, "")]
+            yield own + ([("", toxicity.REPEAT if ch == before else toxicity.DOUBLE)] if ch == last else [])
+            last, before = ch, last
+
+    for token in ("*1*(*", "m*|*n", "1d1*t", "**!*0"):
+        best = max(score(*zip(*way, strict=True)) for way in itertools.product(*options(token)))
+        have = model.restore(token)
+        ways = [score(*zip(*way, strict=True)) for way in itertools.product(*options(token)) if "".join(x for x, _ in way) == have]
+        assert max(ways) == pytest.approx(best), token

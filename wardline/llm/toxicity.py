@@ -91,8 +91,6 @@ class CharModel:
                     s = score + cost + (self.log(state + out) if out else 0.0)
                     if to not in step or s > step[to][0]:
                         step[to] = (s, state, out)
-            if len(step) > 64:
-                step = dict(sorted(step.items(), key=lambda x: -x[1][0])[:64])
             best, last, before_last = step, ch, last
             trail.append(step)
         state = max(best, key=lambda x: best[x][0] + self.log(x + "$"))
@@ -128,13 +126,15 @@ class Readings:
         return words
 
     def spaced(self, tokens: list[str]) -> list[str]:
-        """Restored runs of three or more letters that stand alone."""
+        """Restored runs of three or more letters that stand alone, perhaps with separators between them."""
         out, run = [], []
         for t in [*tokens, ""]:
             core = t.strip(".,-_*")
             if len(core) == 1 and (core.isalpha() or core in LOOKS):
                 run.append(core.lower())
                 continue
+            if t and not core:
+                continue
             if len(run) >= 3:
                 out.append(self.model.restore("".join(run)))
             run = []
@@ -153,6 +153,7 @@ class Model:
             words.update(w for w in (t or "").lower().split() if w.isalpha())
         self.readings = Readings(CharModel(words))
         self.index: dict[str, int] = {}
+        self.lengths: list[int] = []
         self.weights, self.alone, self.bias, self.temperature = np.zeros(0), np.zeros(0), -50.0, 1.0
         self.table = _Tokens(self)
         labels = np.array([y for _, _, y in rows], np.int64)
@@ -174,6 +175,7 @@ class Model:
         facts = dict(zip(keys[good].tolist(), zip(toxic[good].tolist(), clean[good].tolist(), strict=True), strict=True))
         found = {f for _, t, y in rows if y == 1 for w in self._words(t) for f in beginnings(w) if hash(f) in facts}
         self.index = {f: i for i, f in enumerate(sorted(found))}
+        self.lengths = sorted({len(f) for f in found if f[0] != "^" and len(f) >= 3})
         self.table = _Tokens(self)
         examples = [self.features(t) for _, t, _ in rows]
         held = np.arange(len(rows)) % HELD_BACK == 0
@@ -196,9 +198,8 @@ class Model:
     def features(self, text: str | None) -> np.ndarray:
         tokens = (text or "").split()
         found = set().union(*map(self.table.__getitem__, set(tokens)))
-        if sum(len(t) == 1 for t in tokens) >= 3:
-            for word in self.readings.spaced(tokens):  # a run may hold several words
-                found.update(self.index[word[i:j]] for i in range(len(word)) for j in range(i + 3, min(len(word), i + 16) + 1) if word[i:j] in self.index)
+        for word in self.readings.spaced(tokens):  # a run may hold several words
+            found.update(self.index[word[i : i + n]] for n in self.lengths for i in range(len(word) - n + 1) if word[i : i + n] in self.index)
         return np.array(sorted(found), np.int64)
 
     def raw(self, at: np.ndarray) -> float:
