@@ -31,3 +31,16 @@ def test_headers_files_and_inheritance(spark):
     want = cosine(GPL, licenses.TEMPLATES["GPL-3.0/short"], idf, math.log(1 + len(licenses.TEMPLATES)) + 1)
     assert abs(next(r.score for r in found if r.doc_id == 3) - want) < 1e-8
     assert licenses.scan_licenses(df.limit(0)).collect() == []
+
+
+def test_wrapped_headers_identifiers_and_long_files(spark):
+    mpl = "/* This Source Code Form is subject to the terms of the Mozilla Public\n * License, v. 2.0. If a copy of the MPL was not distributed with this\n * file, You can obtain one at http://mozilla.org/MPL/2.0/. */\n\nint main;"
+    prose = "Gardens and rivers say nothing about it. " * 20
+    names = ["MIT", "Apache-2.0", "GPL-3.0-only", "GPL-2.0-only", "ISC"]
+    rows = [(1, "a/x.c", mpl), (2, "b/y.txt", prose + GPL + " " + prose), (3, "c/LICENSE", (APACHE + "\n") * 100), (4, "c/z.txt", "prose"), (5, None, GPL)]
+    rows += [(10 + i, f"s/{i}.c", f"// SPDX-License-Identifier: {x}\nint x;") for i, x in enumerate(names)]
+    have = {r.doc_id: (r.license, r.method) for r in licenses.scan_licenses(spark.createDataFrame(rows, "doc_id long, path string, text string")).collect()}
+    assert have == {
+        1: ("MPL-2.0", "header"), 2: ("GPL-3.0", "header"), 3: ("Apache-2.0", "file"), 4: ("Apache-2.0", "inherited"), 5: ("GPL-3.0", "file"),
+        10: ("MIT", "header"), 11: ("Apache-2.0", "header"), 12: ("GPL-3.0", "header"), 13: (None, "none"), 14: (None, "none"),
+    }

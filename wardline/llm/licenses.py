@@ -1,10 +1,11 @@
 """Operator 2 (native): licences of documents by TF-IDF cosine to templates, inherited along directories.
 
-1. Passages: the whole text of a short document, and every line with a word that licence statements use.
+1. Passages: the whole text, and of what has a word that licence statements use every line, every paragraph and every sentence of
+   a paragraph (comment marks taken off, lines joined).  An SPDX identifier counts by itself, if SPDX has it.
 2. A passage's sparse TF-IDF vector meets the templates' by a join on the term; the best cosine of CUTOFF or more wins
    (ties: the template's name).  Terms that no template has only lengthen the passage's vector.
-3. A document whose whole text matches is a licence file and speaks for its directory; a matching line is a header and speaks for
-   its own document only.
+3. A document whose whole text matches is a licence file and speaks for its directory; another matching passage is a header and speaks
+   for its own document only.
 4. Documents without a licence of their own get that of the nearest ancestor directory with a licence file: the distinct
    directories are joined with all their ancestors, once for each directory and not for each document.
 
@@ -41,7 +42,12 @@ TEMPLATES = {
 }
 CUE = r"(?i)licen[cs]|copyright|spdx|public domain|permission is hereby|redistribution and use|free software"
 TERM = r"[a-z0-9]+(?:[.][0-9]+)?"
-CUTOFF, FILE_CUTOFF, FILE_CHARS = 0.55, 0.6, 4000
+CUTOFF, FILE_CUTOFF = 0.55, 0.6
+#: SPDX identifiers (lower case) and their licences; others, also other versions, have none.
+SPDX = {x.lower(): x for x in ("Apache-2.0", "MIT", "BSD-3-Clause", "MPL-2.0", "CC-BY-4.0", "CC-BY-NC-4.0", "CC0-1.0")} | {x: "GPL-3.0" for x in ("gpl-3.0", "gpl-3.0+", "gpl-3.0-only", "gpl-3.0-or-later")}
+_SPDX = r"(?i)(SPDX-License-Identifier:[ \t]*\(?([a-z0-9.+-]*[a-z0-9+]))"
+_MARKS = r"(?m)^[ \t]*(?:/\*+|\*+/?|//+|#+|;+|%+|--+|<!--)?[ \t]*|[ \t]*(?:\*+/|-->)?[ \t\r]*$"
+_SENTENCE = r"(?<=[.!?])\s+(?=[A-Z])"
 
 
 def _weights() -> tuple[list[tuple[str, str, float]], dict[str, float]]:
@@ -57,28 +63,36 @@ def _weights() -> tuple[list[tuple[str, str, float]], dict[str, float]]:
 
 
 def scan_licenses(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", path_col: str = "path") -> DataFrame:
-    """Rows doc_id, path, license (null: none), method (header, file, inherited, none), score, evidence (a line or a directory)."""
+    """Rows doc_id, path, license (null: none), method (header, file, inherited, none), score, evidence (a passage or a directory)."""
     spark = docs.sparkSession
     weights, idf = _weights()
     values = ", ".join(f"('{t}', '{n}', {w!r}D, {idf[t]!r}D)" for t, n, w in weights)
     terms = spark.sql(f"SELECT * FROM VALUES {values} AS t(term, template, weight, idf)")
     unknown = math.log(1 + len(TEMPLATES)) + 1
     docs = docs.select(F.col(id_col).alias("doc_id"), F.col(path_col).alias("path"), F.col(text_col).alias("text"))
-    lines = F.filter(F.transform(F.split("text", "\n"), lambda line: F.trim(line)), lambda line: line.rlike(CUE))
-    lines = F.transform(lines, lambda line: F.struct(F.lit("header").alias("method"), line.alias("passage")))
-    whole = F.when(F.length("text") <= FILE_CHARS, F.array(F.struct(F.lit("file").alias("method"), F.col("text").alias("passage")))).otherwise(F.array().cast("array<struct<method:string,passage:string>>"))
-    passages = docs.where(F.col("text").rlike(CUE)).select("doc_id", "path", F.explode(F.array_distinct(F.concat(whole, lines))).alias("p")).select("doc_id", "path", "p.*").distinct()
+    cued = lambda parts: F.filter(F.transform(parts, lambda part: F.trim(part)), lambda part: part.rlike(CUE))
+    lines = cued(F.split("text", "\n"))
+    paragraphs = cued(F.transform(F.split(F.regexp_replace("text", _MARKS, ""), r"\n\s*\n"), lambda part: F.regexp_replace(part, r"\s+", " ")))
+    sentences = cued(F.flatten(F.transform(paragraphs, lambda part: F.split(part, _SENTENCE))))
+    headers = F.transform(F.concat(lines, paragraphs, sentences), lambda part: F.struct(F.lit("header").alias("method"), part.alias("passage")))
+    whole = F.array(F.struct(F.lit("file").alias("method"), F.col("text").alias("passage")))
+    passages = docs.where(F.col("text").rlike(CUE)).select("doc_id", "path", F.explode(F.array_distinct(F.concat(whole, headers))).alias("p")).select("doc_id", "path", "p.*")
+    # passages may be long: their terms go by a key; repeated rows scale a vector, which leaves its cosine
+    key = F.md5(F.concat_ws("\x00", "method", F.col("doc_id").cast("string"), F.coalesce("path", F.lit("\x01")), "passage").cast("binary"))
+    passages = passages.select(key.alias("key"), "*")
     counted = (
-        passages.select("doc_id", "path", "method", "passage", F.explode(F.regexp_extract_all(F.lower("passage"), F.lit(TERM), F.lit(0))).alias("term"))
-        .groupBy("doc_id", "path", "method", "passage", "term").agg(F.count("*").alias("tf"))
+        passages.select("key", F.explode(F.regexp_extract_all(F.lower("passage"), F.lit(TERM), F.lit(0))).alias("term")).groupBy("key", "term").agg(F.count("*").alias("tf"))
     )
     known = F.broadcast(terms.groupBy("term").agg(F.first("idf").alias("idf"), F.collect_list(F.struct("template", "weight")).alias("in_templates")))
-    weighted = counted.join(known, "term", "left").select("doc_id", "path", "method", "passage", (F.col("tf") * F.coalesce("idf", F.lit(unknown))).alias("q"), "in_templates")
-    keys = ["doc_id", "path", "method", "passage"]
+    weighted = counted.join(known, "term", "left").select("key", (F.col("tf") * F.coalesce("idf", F.lit(unknown))).alias("q"), "in_templates")
     norms = F.sqrt(F.sum(F.col("q") * F.col("q")))
-    dots = weighted.select(*keys, "q", F.explode("in_templates").alias("t")).groupBy(*keys, "t.template").agg(F.sum(F.col("q") * F.col("t.weight")).alias("dot"))
-    cosines = dots.join(weighted.groupBy(*keys).agg(norms.alias("norm")), keys).select(*keys, F.substring_index("template", "/", 1).alias("license"), F.round(F.col("dot") / F.col("norm"), 9).alias("score"))
-    strong = cosines.where(F.col("score") >= F.when(F.col("method") == "file", FILE_CUTOFF).otherwise(CUTOFF))
+    dots = weighted.select("key", "q", F.explode("in_templates").alias("t")).groupBy("key", "t.template").agg(F.sum(F.col("q") * F.col("t.weight")).alias("dot"))
+    cosines = dots.join(weighted.groupBy("key").agg(norms.alias("norm")), "key").select("key", F.substring_index("template", "/", 1).alias("license"), F.round(F.col("dot") / F.col("norm"), 9).alias("score"))
+    near = cosines.where(F.col("score") >= min(CUTOFF, FILE_CUTOFF)).join(passages, "key").select("doc_id", "path", "method", "passage", "license", "score")
+    strong = near.where(F.col("score") >= F.when(F.col("method") == "file", FILE_CUTOFF).otherwise(CUTOFF))
+    said = docs.where(F.col("text").rlike(_SPDX)).select("doc_id", "path", F.explode(F.regexp_extract_all("text", F.lit(_SPDX), F.lit(1))).alias("passage"))
+    named = F.create_map(*[F.lit(x) for pair in SPDX.items() for x in pair])[F.lower(F.regexp_extract("passage", _SPDX, 2))]
+    strong = strong.unionByName(said.select("doc_id", "path", F.lit("header").alias("method"), "passage", named.alias("license"), F.lit(1.0).alias("score")).where("license is not null"))
     best = F.min_by(F.struct("license", "method", "score", "passage"), F.struct(-F.col("score"), "method", "license", "passage")).alias("b")
     own = strong.groupBy("doc_id", "path").agg(best).select("doc_id", "path", "b.license", F.col("b.method").alias("method"), "b.score", F.col("b.passage").alias("evidence"))
     folder = F.regexp_replace("path", "/?[^/]*$", "")
