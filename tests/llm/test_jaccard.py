@@ -60,7 +60,7 @@ def test_against_brute_force(spark, monkeypatch, seed, chunk):
     monkeypatch.setattr(jaccard, "TASK_TOKENS", chunk)
     monkeypatch.setattr(jaccard, "BLOCK_BYTES", 20_000)
     rows = rows_of(seed)
-    df = spark.createDataFrame(rows, "doc_id long, text string").selectExpr("*", "1 as n", "'x' as th", "2 as block")
+    df = spark.createDataFrame(rows, "doc_id long, text string").selectExpr("*", "1 as n", "'x' as th", "2 as block", "'z' as TEXT", "7 as k")
     have = {r.doc_id: (r.n_shingles, r.component_id, r.n_links) for r in jaccard.similarity_join(df).collect()}
     assert have == brute(rows)
 
@@ -69,3 +69,29 @@ def test_repeated_rows_and_no_rows(spark):
     df = spark.createDataFrame([(5, "a b c d e f"), (5, "a b c d e f"), (4, "x")], "doc_id long, text string")
     assert sorted(map(tuple, jaccard.similarity_join(df).collect())) == [(4, 1, 4, 0), (5, 2, 5, 1), (5, 2, 5, 1)]
     assert jaccard.similarity_join(df.limit(0)).collect() == []
+
+
+def test_null_and_recurring_ids(spark):
+    base = " ".join(f"w{i}" for i in range(40))
+    rows = [(5, "a b c d e f"), (5, "q r s t u v w"), (5, "q r s t u v w"), (6, "zz"), (None, "one two three four five six"), (None, base), (9, base + " x"), (7, base), (None, "k l m n o p"), (None, "k l m n o p q"), (None, None), (8, "zz")]
+    out = jaccard.similarity_join(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    want = [(5, 2, 5, 0), (5, 3, 5, 1), (5, 3, 5, 1), (6, 1, 6, 1), (8, 1, 6, 1), (None, 2, None, 0), (None, 36, 7, 2), (7, 36, 7, 2), (9, 37, 7, 2), (None, 2, None, 0), (None, 3, None, 0), (None, 0, None, 0)]
+    assert sorted(map(tuple, out), key=str) == sorted(want, key=str)
+
+
+def test_words_that_collide_under_a_polynomial(spark):
+    """Thue-Morse words and their complements have one polynomial hash modulo 2**64, whatever the base."""
+    rows, other = [], str.maketrans("ab", "ba")
+    for n in (1024, 2048, 4096):
+        word = "a"
+        while len(word) < n:
+            word += word.translate(other)
+        rows += [(n, word), (n + 1, word.translate(other))]
+    out = jaccard.similarity_join(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    assert all(r.component_id == r.doc_id and r.n_links == 0 for r in out) and len(out) == 6
+
+
+def test_repeated_rows_fill_no_block(spark):
+    rows = [(1, "a b c d e f g")] * 500 + [(None, "h i j k l m")] * 300
+    out = jaccard.similarity_join(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    assert {tuple(r) for r in out} == {(1, 3, 1, 499), (None, 2, None, 299)} and len(out) == 800

@@ -1,15 +1,15 @@
 """Shared pieces of the training-data operators: tables, the shared folder, tokens as numpy arrays.
 
 Texts are processed as whole Arrow buffers: one pass finds every word of a batch and gives it a 64-bit
-hash (a polynomial in per-byte random values, finalised by an avalanche step), so the per-word work of
-the operators stays in numpy.  Two different words get one hash with a probability near 2**-64 per pair.
+hash (eight bytes at a time, an avalanche step after each, BLAKE2b for long words), so the per-word work of the
+operators stays in numpy.  Two different words get one hash with a probability near 2**-64 per pair; no family of words that collide
+is known, but the hash has no secret key.
 """
 
 from __future__ import annotations
 
-import gc
+import hashlib
 import tempfile
-import time
 import uuid
 
 import numpy as np
@@ -24,6 +24,25 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def distinct_names(df: DataFrame, *names: str) -> DataFrame:
+    """df without the columns whose names clash with one of `names` (equal but for case, or repeated): of those the exact, first one stays."""
+    low, have = {n.lower() for n in names}, df.columns
+    keep = set()
+    for n in names:
+        exact = [i for i, x in enumerate(have) if x == n] or [i for i, x in enumerate(have) if x.lower() == n.lower()]
+        keep.update(exact[:1])
+    if all(i in keep or x.lower() not in low for i, x in enumerate(have)):
+        return df
+    flat = df.toDF(*[f"c{i}" for i in range(len(have))])
+    return flat.select(*[F.col(f"c{i}").alias(x) for i, x in enumerate(have) if i in keep or x.lower() not in low])
+
+
+def id_and_text(docs: DataFrame, id_col: str, text_col: str, *more) -> DataFrame:
+    """Columns doc_id (long) and text, and `more`; further columns are left out."""
+    docs = distinct_names(docs, id_col, text_col)
+    return docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"), *more)
+
+
 def shared_dir(spark: SparkSession) -> str:
     """The folder all executors share (spark.checkpoint.dir); a temporary one where it is unset, as in tests."""
     sc = spark.sparkContext
@@ -40,23 +59,44 @@ def shared_dir(spark: SparkSession) -> str:
     return folder
 
 
+#: Tables that materialize() has written and that still exist, oldest first.
+_tables: list[str] = []
+
+
 def materialize(df: DataFrame, name: str) -> DataFrame:
     """Writes df as Parquet into the shared folder and reads it back: cuts the lineage, survives lost executors."""
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
     df.write.parquet(path)
-    jvm = spark.sparkContext._jvm
-    place = jvm.org.apache.hadoop.fs.Path(path)
-    place.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).deleteOnExit(place)
+    _tables.append(path)
+    place, files = _on_disk(spark, path)
+    files.deleteOnExit(place)
     return spark.read.schema(df.schema).parquet(path)
 
 
-def release(spark: SparkSession) -> None:
-    """Lets Spark's cleaner drop the shuffle files of finished jobs now instead of at some later collection."""
-    for _ in range(2):  # the second round finds what the first one's finalisers let go
-        gc.collect()
-        spark.sparkContext._jvm.System.gc()
-        time.sleep(0.4)
+def _on_disk(spark: SparkSession, path: str):
+    place = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    return place, place.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+
+
+def mark() -> int:
+    """A point in the list of written tables, for discard() and settle()."""
+    return len(_tables)
+
+
+def discard(spark: SparkSession, since: int, until: int | None = None) -> None:
+    """Deletes the tables written after the mark `since` (and before `until`)."""
+    for path in _tables[since:until]:
+        place, files = _on_disk(spark, path)
+        files.delete(place, True)
+    del _tables[since:until]
+
+
+def settle(df: DataFrame, name: str, since: int) -> DataFrame:
+    """Writes df, then deletes what was written since the mark to compute it."""
+    out = materialize(df, name)
+    discard(df.sparkSession, since, mark() - 1)
+    return out
 
 
 def blocks_of(docs: DataFrame, text: str = "text", block_bytes: int = 12 << 20) -> int:
@@ -106,24 +146,38 @@ def _seeded(n: int, seed: int) -> np.ndarray:
     return mix((np.arange(1, n + 1, dtype=_U) + _U(seed)) * _U(0x9E3779B97F4A7C15))
 
 
-_BYTE = _seeded(256, 11)
 _LOWER = np.arange(256, dtype=np.uint8)
 _LOWER[65:91] += 32
-_BYTE_LOW = _BYTE[_LOWER]
-_P = 0xD6E8FEB86659FD93  # odd, so that it has an inverse modulo 2**64
-_PINV = pow(_P, -1, 1 << 64)
-_powers: dict[str, np.ndarray] = {}
-
-
-def _power(name: str, base: int, n: int) -> np.ndarray:
-    have = _powers.get(name)
-    if have is None or len(have) < n:
-        size = max(n, CHUNK + 64)
-        have = np.full(size, _U(base))
-        have[0] = _U(1)
-        have = np.multiply.accumulate(have)
-        _powers[name] = have
-    return have[:n]
+_STEP, _LENGTH = _U(0x9E3779B97F4A7C15), _U(0xD6E8FEB86659FD93)
+#: Bytes beyond which a word is hashed by BLAKE2b.
+LONG_WORD = 256
+_MASKS = np.array([(1 << 8 * n) - 1 for n in range(9)], _U)
+
+
+def hash_spans(buf: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
+    """64-bit hashes of the byte strings buf[start:end]: eight bytes at a time through an avalanche step each."""
+    size = ends - starts
+    h = mix(size.astype(_U) * _LENGTH)
+    if not len(size):
+        return h
+    padded = np.zeros(len(buf) + 16, np.uint8)
+    padded[: len(buf)] = buf
+    eight = np.lib.stride_tricks.as_strided(padded.view(), (len(buf) + 1, 8), (1, 1))
+    long = np.flatnonzero(size > LONG_WORD)
+    for i in long.tolist():
+        h[i] = int.from_bytes(hashlib.blake2b(buf[starts[i] : ends[i]].tobytes(), digest_size=8).digest(), "little")
+    live, done = np.flatnonzero(size <= LONG_WORD) if len(long) else slice(None), 0
+    while True:
+        left = size[live] - done
+        more = left > 0
+        if not more.all():
+            live = np.flatnonzero(more) if isinstance(live, slice) else live[more]
+            left = size[live] - done
+        if not len(left):
+            return h
+        block = np.ascontiguousarray(eight[starts[live] + done]).view(_U).ravel() & _MASKS[np.minimum(left, 8)]
+        h[live] = mix((h[live] + _STEP) ^ block)
+        done += 8
 
 
 #: Bytes of a word: everything but blank and tab to carriage return.
@@ -158,9 +212,7 @@ def words(buf: np.ndarray, offsets: np.ndarray, keep: np.ndarray) -> tuple[np.nd
         here = here[here > 0]
         last[here - 1] |= inside[here - 1]
         s, e = np.flatnonzero(first), np.flatnonzero(last) + 1
-        acc = np.zeros(len(part) + 1, _U)
-        np.cumsum(_BYTE_LOW.take(part) * _power("p", _P, len(part)), out=acc[1:])
-        hs.append(mix((acc[e] - acc[s]) * _power("i", _PINV, len(part) + 1)[s]))
+        hs.append(hash_spans(_LOWER.take(part), s, e))
         ss.append(s + pos)
         es.append(e + pos)
         pos = end
@@ -193,13 +245,6 @@ def ragged(starts: np.ndarray, lens: np.ndarray) -> np.ndarray:
     return np.repeat(starts - before, lens) + np.arange(total)
 
 
-def per_text_hash(texts: pa.Array) -> np.ndarray:
-    buf, off = text_buffers(texts)
-    acc = np.zeros(len(buf) + 1, _U)
-    np.cumsum(_BYTE.take(buf) * _power("p", _P, len(buf)), out=acc[1:])
-    return mix((acc[off[1:]] - acc[off[:-1]]) * _power("i", _PINV, len(buf) + 1)[off[:-1]] + (off[1:] - off[:-1]).astype(_U))
-
-
 def uniques(x: np.ndarray) -> np.ndarray:
     """Sorted distinct values (a plain sort, which numpy vectorises)."""
     x = np.sort(x)
@@ -212,6 +257,16 @@ def uniques_counts(x: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return x[at], np.diff(np.append(at, len(x)))
 
 
+def by_shard(shard: np.ndarray) -> list[tuple[int, np.ndarray]]:
+    """The shards that occur, each with the places of its elements in order."""
+    if not len(shard):
+        return []
+    order = np.argsort(shard, kind="stable")
+    own = shard[order]
+    at = np.flatnonzero(np.concatenate([[True], own[1:] != own[:-1]]))
+    return list(zip(own[at].tolist(), np.split(order, at[1:]), strict=True))
+
+
 def pack(x: np.ndarray) -> bytes:
     return np.ascontiguousarray(x).tobytes()
 
@@ -231,7 +286,8 @@ def connected_components(edges: DataFrame) -> DataFrame:
         large = both.where("v > u").join(low, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v").distinct()
         low = large.groupBy("u").agg(F.min("v").alias("m"))
         small = large.join(low, "u").select(F.when(F.col("v") == F.col("m"), F.col("u")).otherwise(F.col("v")).alias("u"), F.col("m").alias("v"))
-        e = materialize(small.where("u <> v").distinct(), "edges")
+        before, e = mark(), materialize(small.where("u <> v").distinct(), "edges")
+        discard(spark, before - 1, before)
         now = e.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
         if tuple(now) == state:
             break

@@ -5,11 +5,12 @@ every span of 10 words has its fingerprint chosen from its own words alone, so a
 item is never missed.  Document fingerprints are looked up among those of the benchmark, and a hit is extended to the
 whole 10-word window, which must occur in an item.  Items of fewer words are one window of their own length.
 
-The benchmark's index is broadcast only in parts of at most PART_BYTES of text; a larger benchmark takes several
-passes over the documents, whose hits are merged by document.
+The benchmark's index is broadcast only in parts of about PART_BYTES of text; a larger benchmark takes one pass over the numbered
+documents for each part, one part at a time on the driver and the executors, and the hits are merged by row.  The result is the same.
 
-Null and empty texts have no words and no hits.  Repeated documents give repeated rows, repeated items count once.
-An empty benchmark hits nothing; empty documents give no rows.  Further columns are ignored.
+Null and empty texts have no words and no hits.  Every row is looked at by itself, whatever its id: repeated documents give repeated
+rows, a null doc_id stays null.  Repeated items count once; an item with a null id hits words but is not among the items.  An empty
+benchmark hits nothing; empty documents give no rows.  Further columns are ignored, also those whose names differ only in case.
 """
 
 from __future__ import annotations
@@ -25,6 +26,8 @@ from . import common as c
 
 SPAN, GRAM = 10, 5
 PART_BYTES = 64 << 20
+#: Pairs (text, window) whose items are listed at a time.
+PAIRS = 1 << 16
 SCHEMA = "doc_id long, n_words long, n_hit long, n_items long, items_sha256 string, contaminated boolean"
 _U = np.uint64
 
@@ -45,7 +48,7 @@ class Index:
     """The benchmark's fingerprints, its windows by length, and the items that hold each window."""
 
     def __init__(self, items: list[tuple[str, str | None]]):
-        self.ids = sorted({i for i, _ in items})
+        self.ids = sorted({i for i, _ in items if i is not None})
         at = {x: k for k, x in enumerate(self.ids)}
         buf, off = c.text_buffers(pa.array([t for _, t in items], pa.string()))
         h, _, _, wo = c.words(buf, off, c.ALNUM)
@@ -53,7 +56,8 @@ class Index:
         for k, (a, b) in enumerate(zip(wo[:-1].tolist(), wo[1:].tolist(), strict=True)):
             if n := min(b - a, SPAN):
                 g = c.grams(h[a:b], n)
-                found.setdefault(n, []).append((g, np.full(len(g), at[items[k][0]], np.int64)))
+                g_ = c.uniques(g)
+                found.setdefault(n, []).append((g_, np.full(len(g_), at.get(items[k][0], -1), np.int64)))
                 if n == SPAN:
                     prints.append(fingerprints(h[a:b]))
         self.prints = c.uniques(np.concatenate(prints)) if prints else np.zeros(0, _U)
@@ -67,10 +71,10 @@ class Index:
             first = np.flatnonzero(np.concatenate([[True], g[1:] != g[:-1]]))
             self.windows[n] = (g[first], np.append(first, len(g)), owner)
 
-    def match(self, h: np.ndarray, wo: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """Over the words of many texts: which words are hit; pairs (word position, item) of windows that occur."""
+    def match(self, h: np.ndarray, wo: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Over the words of many texts: which words are hit; distinct pairs (text, item) as text * number of ids + item."""
         hit = np.zeros(len(h) + 1, np.int64)
-        places, owners = [], []
+        pairs = []
         for n, (keys, first, owner) in self.windows.items():
             if n == SPAN:
                 low = fingerprints(h)
@@ -95,11 +99,15 @@ class Index:
             start, pos = start[ok], pos[ok]
             np.add.at(hit, start, 1)
             np.add.at(hit, start + n, -1)
-            lens = first[pos + 1] - first[pos]
-            places.append(np.repeat(start, lens))
-            owners.append(owner[c.ragged(first[pos], lens)])
-        none = np.zeros(0, np.int64)
-        return np.cumsum(hit[:-1]) > 0, np.concatenate(places or [none]), np.concatenate(owners or [none])
+            # a window that a text repeats counts once before its items are listed
+            seen = c.uniques((np.searchsorted(wo, start, "right") - 1) * len(keys) + pos)
+            text, pos = seen // len(keys), seen % len(keys)
+            for lo in range(0, len(pos), PAIRS):
+                p, t = pos[lo : lo + PAIRS], text[lo : lo + PAIRS]
+                lens = first[p + 1] - first[p]
+                own = owner[c.ragged(first[p], lens)]
+                pairs.append(c.uniques((np.repeat(t, lens) * len(self.ids) + own)[own >= 0]))
+        return np.cumsum(hit[:-1]) > 0, c.uniques(np.concatenate(pairs)) if pairs else np.zeros(0, np.int64)
 
 
 def _digest(ids: list[str]) -> str:
@@ -110,9 +118,8 @@ def _marks(index: Index, texts) -> tuple[np.ndarray, np.ndarray, np.ndarray, dic
     """Word offsets, hit words, hit counts, and the items of each text that has any."""
     buf, off = c.text_buffers(texts)
     h, _, _, wo = c.words(buf, off, c.ALNUM)
-    hit, place, owner = index.match(h, wo)
+    hit, pairs = index.match(h, wo)
     items: dict[int, set[int]] = {}
-    pairs = c.uniques((np.searchsorted(wo, place, "right") - 1) * len(index.ids) + owner)
     for x in pairs.tolist():
         items.setdefault(x // len(index.ids), set()).add(x % len(index.ids))
     total = np.concatenate([[0], np.cumsum(hit)])
@@ -121,7 +128,7 @@ def _marks(index: Index, texts) -> tuple[np.ndarray, np.ndarray, np.ndarray, dic
 
 def _parts(benchmark: DataFrame, id_col: str, text_col: str) -> list[list[tuple[str, str | None]]]:
     """The items in parts of bounded size, one part at a time on the driver."""
-    items = benchmark.select(F.col(id_col).cast("string").alias("i"), F.col(text_col).alias("t")).where("i is not null")
+    items = benchmark.select(F.col(id_col).cast("string").alias("i"), F.col(text_col).alias("t"))
     n = max(1, -(-int(items.agg(F.sum(F.octet_length("t"))).first()[0] or 0) // PART_BYTES))
     for p in range(n):
         part = items if n == 1 else items.where(F.pmod(F.xxhash64("i", "t"), F.lit(n)) == p)
@@ -130,37 +137,54 @@ def _parts(benchmark: DataFrame, id_col: str, text_col: str) -> list[list[tuple[
 
 def contamination(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text: str = "text") -> DataFrame:
     """One row of SCHEMA for each document."""
-    docs = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
-    sc, merged = docs.sparkSession.sparkContext, None
-    for parts, items in _parts(benchmark, item_col, item_text):
-        index = sc.broadcast(Index(items))
-        if parts == 1:
-            return docs.mapInArrow(_whole(index), SCHEMA)
-        hits = docs.withColumn("th", F.md5(F.coalesce("text", F.lit("")).cast("binary"))).mapInArrow(_partial(index), "doc_id long, th string, hit binary, items array<string>")
-        merged = hits if merged is None else merged.unionAll(hits)
-    merged = merged.dropDuplicates(["doc_id", "th", "hit", "items"]).groupBy("doc_id", "th").applyInArrow(_merge, "doc_id long, th string, n_hit long, n_items long, items_sha256 string")
-    base = docs.withColumn("th", F.md5(F.coalesce("text", F.lit("")).cast("binary"))).mapInArrow(_lengths, "doc_id long, th string, n_words long")
+    docs = c.id_and_text(docs, id_col, text_col)
+    found = _found(docs, benchmark, item_col, item_text)
     zero = F.lit(0).cast("long")
-    return base.join(merged, ["doc_id", "th"], "left").select(
-        "doc_id", "n_words", F.coalesce("n_hit", zero).alias("n_hit"), F.coalesce("n_items", zero).alias("n_items"),
-        F.coalesce("items_sha256", F.lit(_digest([]))).alias("items_sha256"), (F.coalesce("n_hit", zero) > 0).alias("contaminated"),
-    )
+    n_hit = F.coalesce("n_hit", zero)
+    return found.select("doc_id", "n_words", n_hit.alias("n_hit"), F.coalesce("n_items", zero).alias("n_items"), F.coalesce("items_sha256", F.lit(_digest([]))).alias("items_sha256"), (n_hit > 0).alias("contaminated"))
+
+
+def without_contaminated(docs: DataFrame, benchmark: DataFrame, text_col: str = "text", item_col: str = "item_id", item_text: str = "text") -> DataFrame:
+    """The rows of docs, all columns as they are, that have no word in an occurring window; ids play no part."""
+    names = docs.columns
+    held = F.struct(*[f"c{i}" for i in range(len(names))]).alias("row")
+    flat = docs.toDF(*[f"c{i}" for i in range(len(names))]).select(held, F.col(f"c{names.index(text_col)}").alias("text"))
+    clean = _found(flat, benchmark, item_col, item_text, keep="row").where("coalesce(n_hit, 0) = 0")
+    return clean.select("row.*").toDF(*names)
 
 
-def _whole(index):
+def _found(docs: DataFrame, benchmark: DataFrame, item_col: str, item_text: str, keep: str = "doc_id") -> DataFrame:
+    """The column `keep` of docs with n_words, n_hit, n_items, items_sha256 (the last three may be null without hits)."""
+    spark, kind = docs.sparkSession, docs.schema[keep].dataType.simpleString()
+    number, hits, numbered = "n_words long, n_hit long, n_items long, items_sha256 string", [], None
+    for parts, items in _parts(c.distinct_names(benchmark, item_col, item_text), item_col, item_text):
+        index = spark.sparkContext.broadcast(Index(items))
+        if parts == 1:
+            return docs.mapInArrow(_whole(index, keep), f"`{keep}` {kind}, {number}")
+        if numbered is None:  # written once, so that every pass sees the same numbers
+            numbered = c.materialize(docs.select(keep, "text").withColumn("row_", F.monotonically_increasing_id()), "numbered")
+        hits.append(c.materialize(numbered.select("row_", "text").mapInArrow(_partial(index), "row_ long, hit binary, items array<string>"), "hits"))
+        index.destroy()
+    every = hits[0]
+    for more in hits[1:]:
+        every = every.unionAll(more)
+    merged = every.groupBy("row_").applyInArrow(_merge, "row_ long, n_hit long, n_items long, items_sha256 string")
+    return numbered.mapInArrow(_lengths(keep), f"row_ long, `{keep}` {kind}, n_words long").join(merged, "row_", "left").drop("row_")
+
+
+def _whole(index, keep: str):
     def run(batches):
+        none = _digest([])
         for batch in batches:
             for part in c.slices(batch):
                 wo, _, n_hit, items = _marks(index.value, part.column("text"))
-                none = _digest([])
                 ids = index.value.ids
-                yield pa.RecordBatch.from_arrays(
-                    [
-                        part.column("doc_id"), pa.array(np.diff(wo), pa.int64()), pa.array(n_hit, pa.int64()), pa.array([len(items.get(i, ())) for i in range(part.num_rows)], pa.int64()),
-                        pa.array([_digest([ids[x] for x in items[i]]) if i in items else none for i in range(part.num_rows)], pa.string()), pa.array(n_hit > 0),
-                    ],
-                    ["doc_id", "n_words", "n_hit", "n_items", "items_sha256", "contaminated"],
-                )
+                found = [sorted(ids[x] for x in items.get(i, ())) for i in range(part.num_rows)]
+                columns = [
+                    pa.array(np.diff(wo), pa.int64()), pa.array(n_hit, pa.int64()), pa.array([len(x) for x in found], pa.int64()),
+                    pa.array([_digest(x) if x else none for x in found], pa.string()),
+                ]
+                yield pa.RecordBatch.from_arrays([part.column(keep), *columns], [keep, "n_words", "n_hit", "n_items", "items_sha256"])
 
     return run
 
@@ -170,29 +194,29 @@ def _partial(index):
         for batch in batches:
             for part in c.slices(batch):
                 wo, hit, n_hit, items = _marks(index.value, part.column("text"))
-                rows = np.flatnonzero(n_hit).tolist()
-                yield pa.RecordBatch.from_arrays(
-                    [
-                        part.column("doc_id").take(pa.array(rows, pa.int64())), part.column("th").take(pa.array(rows, pa.int64())),
-                        pa.array([c.pack(np.packbits(hit[wo[i] : wo[i + 1]])) for i in rows], pa.binary()), pa.array([[index.value.ids[x] for x in items[i]] for i in rows], pa.list_(pa.string())),
-                    ],
-                    ["doc_id", "th", "hit", "items"],
-                )
+                rows, ids = np.flatnonzero(n_hit).tolist(), index.value.ids
+                bits = pa.array([c.pack(np.packbits(hit[wo[i] : wo[i + 1]])) for i in rows], pa.binary())
+                owners = pa.array([[ids[x] for x in items.get(i, ())] for i in rows], pa.list_(pa.string()))
+                yield pa.RecordBatch.from_arrays([part.column("row_").take(pa.array(rows, pa.int64())), bits, owners], ["row_", "hit", "items"])
 
     return run
 
 
 def _merge(group: pa.Table) -> pa.Table:
+    """One row's hits of all parts of the benchmark."""
     hit = np.bitwise_or.reduce([np.frombuffer(x, np.uint8) for x in group["hit"].to_pylist()])
     items = {x for row in group["items"].to_pylist() for x in row}
     return pa.table({
-        "doc_id": group["doc_id"].slice(0, 1), "th": group["th"].slice(0, 1), "n_hit": pa.array([int(np.unpackbits(hit).sum())], pa.int64()),
+        "row_": group["row_"].slice(0, 1), "n_hit": pa.array([int(np.unpackbits(hit).sum())], pa.int64()),
         "n_items": pa.array([len(items)], pa.int64()), "items_sha256": [_digest(list(items))],
     })
 
 
-def _lengths(batches):
-    for batch in batches:
-        for part in c.slices(batch):
-            buf, off = c.text_buffers(part.column("text"))
-            yield pa.RecordBatch.from_arrays([part.column("doc_id"), part.column("th"), pa.array(np.diff(c.words(buf, off, c.ALNUM)[3]), pa.int64())], ["doc_id", "th", "n_words"])
+def _lengths(keep: str):
+    def run(batches):
+        for batch in batches:
+            for part in c.slices(batch):
+                buf, off = c.text_buffers(part.column("text"))
+                yield pa.RecordBatch.from_arrays([part.column("row_"), part.column(keep), pa.array(np.diff(c.words(buf, off, c.ALNUM)[3]), pa.int64())], ["row_", keep, "n_words"])
+
+    return run

@@ -16,7 +16,12 @@
 6. Components by alternating stars over those edges; classes are joined back to their rows.
 
 Null or empty texts, and texts without words, have n_shingles 0, no links, and their own doc_id as component.
-Repeated rows are links of one class.  A table without rows gives no rows.  Further columns are ignored.
+Every row counts as a document of its own: repeated rows are links of one class, and rows that share an id but not the text are
+linked only if their texts are.  A null doc_id stays null; the component of a group is its smallest id that isn't null, and null if there
+is none.  A table without rows gives no rows.  Further columns are ignored, also those whose names differ only in case.
+
+A block sends a message only to the shards its tokens fall into, so the number of messages is at most the number of distinct tokens of
+all blocks, whatever the number of shards.
 """
 
 from __future__ import annotations
@@ -40,7 +45,7 @@ _U = np.uint64
 _LIMIT = _U(int(COUNTED * (1 << 64)))
 
 REQUEST = "kind int, shard int, block int, data binary, more binary"
-FOUND = "doc_id long, n long, mult long, gkey long, sig long, prefix array<long>, full binary"
+FOUND = "k long, n long, mult long, gkey long, sig long, prefix array<long>, full binary"
 
 
 def shingle_sets(texts: pa.ChunkedArray, k: int = WORDS) -> list[np.ndarray]:
@@ -59,16 +64,28 @@ def shingle_sets(texts: pa.ChunkedArray, k: int = WORDS) -> list[np.ndarray]:
     return out
 
 
+def _once(batches):
+    """Drops rows that a task has seen before with the same doc_id and text digest."""
+    seen: set = set()
+    for batch in batches:
+        fresh = []
+        for i, key in enumerate(zip(batch.column("doc_id").to_pylist(), batch.column("th").to_pylist(), strict=True)):
+            if key not in seen:
+                seen.add(key)
+                fresh.append(i)
+        yield batch if len(fresh) == batch.num_rows else batch.take(pa.array(fresh, pa.int64()))
+
+
 def _representatives(left: pa.Table, reps: pa.Table) -> tuple[list[int], list[int], list[np.ndarray]]:
-    """Doc ids, class sizes and sets of the rows that stand for a class (the first of repeated rows)."""
-    want = dict(zip(zip(reps["doc_id"].to_pylist(), reps["th"].to_pylist(), strict=True), reps["mult"].to_pylist(), strict=True))
-    at, mult = [], []
+    """Keys, sizes and sets of the classes of a block, from the rows that stand for them (the first of repeated rows)."""
+    want = {(i, th): (k, m) for i, th, k, m in zip(*(reps[x].to_pylist() for x in ("doc_id", "th", "k", "mult")), strict=True)}
+    at, keys, mult = [], [], []
     for i, key in enumerate(zip(left["doc_id"].to_pylist(), left["th"].to_pylist(), strict=True)):
-        if (m := want.pop(key, None)) is not None:
+        if (found := want.pop(key, None)) is not None:
             at.append(i)
-            mult.append(m)
-    rows = left.take(pa.array(at, pa.int64()))
-    return rows["doc_id"].to_pylist(), mult, shingle_sets(rows["text"])
+            keys.append(found[0])
+            mult.append(found[1])
+    return keys, mult, shingle_sets(left["text"].take(pa.array(at, pa.int64())))
 
 
 def _block_tokens(sets: list[np.ndarray]) -> np.ndarray:
@@ -81,12 +98,8 @@ def _ask(shards: int):
         tokens, df = c.uniques_counts(_block_tokens(sets))
         shard = (tokens % _U(shards)).astype(np.int32)
         block = left["block"][0].as_py() if left.num_rows else -1
-        rows = []
-        for s in range(shards) if len(tokens) else ():
-            own = shard == s
-            if own.any():
-                rows.append((1, s, block, c.pack(tokens[own]), c.pack(np.minimum(df[own], 65535).astype(np.uint16))))
-        return _requests(rows)
+        df = np.minimum(df, 65535).astype(np.uint16)
+        return _requests([(1, s, block, c.pack(tokens[own]), c.pack(df[own])) for s, own in c.by_shard(shard)])
 
     return ask
 
@@ -115,8 +128,9 @@ def _prefixes(shards: int):
         ids, mult, sets = _representatives(left, right.take(pa.array(np.flatnonzero(kind == 0))))
         tokens = c.uniques(_block_tokens(sets))
         shard, df = (tokens % _U(shards)).astype(np.int32), np.zeros(len(tokens), np.uint16)
+        own = dict(c.by_shard(shard))
         for s, x in zip(answers["shard"].to_pylist(), answers["data"].to_pylist(), strict=True):
-            df[shard == s] = np.frombuffer(x, np.uint16)
+            df[own[s]] = np.frombuffer(x, np.uint16)
         n_, gkey, sig, prefix, full = [], [], [], [], []
         for t in sets:
             n = len(t)
@@ -139,7 +153,7 @@ def _prefixes(shards: int):
             else:
                 gkey.append(None), sig.append(None), prefix.append(None), full.append(None)
         return pa.table({
-            "doc_id": pa.array(ids, pa.int64()), "n": pa.array(n_, pa.int64()), "mult": pa.array(mult, pa.int64()),
+            "k": pa.array(ids, pa.int64()), "n": pa.array(n_, pa.int64()), "mult": pa.array(mult, pa.int64()),
             "gkey": pa.array(gkey, pa.int64()), "sig": pa.array(sig, pa.int64()), "prefix": pa.array(prefix, pa.list_(pa.int64())), "full": pa.array(full, pa.binary()),
         })
 
@@ -188,7 +202,7 @@ def open_group(sets: list[np.ndarray], mult: list[int], n_members: int, among_me
 
 def _open_bucket(group: pa.Table) -> pa.Table:
     """Opens all groups of one task: rows of a group are its members (role 0) and its visitors (role 1)."""
-    keys = np.array([group["gkey"].to_numpy(), group["chunk"].to_numpy(), group["part"].to_numpy(), group["role"].to_numpy(), group["doc_id"].to_numpy()])
+    keys = np.array([group["gkey"].to_numpy(), group["chunk"].to_numpy(), group["part"].to_numpy(), group["role"].to_numpy(), group["k"].to_numpy()])
     order = np.lexsort(keys[::-1])
     keys = keys[:, order]
     change = np.flatnonzero(np.any(keys[:3, 1:] != keys[:3, :-1], axis=0)) + 1
@@ -209,58 +223,60 @@ def _open_bucket(group: pa.Table) -> pa.Table:
 
 def similarity_join(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Rows doc_id, n_shingles, component_id, n_links (rows linked directly, copies included), one for each row of docs."""
-    spark = docs.sparkSession
-    docs = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
+    since, docs = c.mark(), c.id_and_text(docs, id_col, text_col)
     blocks = c.blocks_of(docs, "text", BLOCK_BYTES)
     shards = max(1, -(-blocks * BLOCK_BYTES // SHARD_BYTES) * 2)
     digest = F.md5(F.coalesce("text", F.lit("")).cast("binary"))
     ids = c.materialize(docs.select("doc_id", digest.alias("th")), "ids")
     classes = ids.groupBy("th").agg(F.min("doc_id").alias("rep"), F.count("*").alias("mult"))
-    block = F.pmod(F.xxhash64("doc_id"), F.lit(blocks)).cast("int").alias("block")
-    placed = docs.select("doc_id", "text", digest.alias("th"), block)
-    reps = classes.select(F.col("rep").alias("doc_id"), "th", "mult").select("*", block)
+    classes = c.materialize(classes.withColumn("k", F.monotonically_increasing_id()), "classes")
+    # by id and text: neither a recurring or missing id nor a repeated text fills a block
+    block = F.pmod(F.xxhash64("doc_id", "th"), F.lit(blocks)).cast("int").alias("block")
+    texts = docs.select("doc_id", "text", digest.alias("th"))
+    placed = texts.mapInArrow(_once, texts.schema).select("*", block)
+    reps = classes.select(F.col("rep").alias("doc_id"), "th", "k", "mult").select("*", block)
     asked = placed.groupBy("block").cogroup(reps.groupBy("block")).applyInArrow(_ask(shards), REQUEST)
     answers = asked.groupBy("shard").applyInArrow(_answer, REQUEST)
     null = lambda name, kind: F.lit(None).cast(kind).alias(name)
-    back = reps.select(F.lit(0).alias("kind"), null("shard", "int"), "block", null("data", "binary"), "doc_id", "th", "mult").unionAll(
-        answers.select("kind", "shard", "block", "data", null("doc_id", "long"), null("th", "string"), null("mult", "long"))
+    back = reps.select(F.lit(0).alias("kind"), null("shard", "int"), "block", null("data", "binary"), "doc_id", "th", "k", "mult").unionAll(
+        answers.select("kind", "shard", "block", "data", null("doc_id", "long"), null("th", "string"), null("k", "long"), null("mult", "long"))
     )
     found = c.materialize(placed.groupBy("block").cogroup(back.groupBy("block")).applyInArrow(_prefixes(shards), FOUND), "sets")
-    c.release(spark)
     linked = c.materialize(_links(found), "links")
-    c.release(spark)
     components = c.connected_components(linked.select("a", "b"))
-    degrees = linked.groupBy(F.col("a").alias("rep")).agg(F.sum("links").alias("links"))
-    facts = (
-        classes.join(found.select(F.col("doc_id").alias("rep"), "n"), "rep").join(components.withColumnRenamed("node", "rep"), "rep", "left").join(degrees, "rep", "left")
-    )
+    # a component is named after its smallest doc_id; a class without any id has none
+    named = components.join(classes.select(F.col("k").alias("node"), "rep"), "node")
+    named = components.join(named.groupBy("component").agg(F.min("rep").alias("least")), "component").select(F.col("node").alias("k"), "least")
+    degrees = linked.groupBy(F.col("a").alias("k")).agg(F.sum("links").alias("links"))
+    facts = classes.join(found.select("k", "n"), "k").join(named, "k", "left").join(degrees, "k", "left")
     empty = F.col("n") == 0
-    return ids.join(facts, "th").select(
+    rows = ids.join(facts, "th").select(
         "doc_id",
         F.col("n").alias("n_shingles"),
-        F.when(empty, F.col("doc_id")).otherwise(F.coalesce("component", "rep")).alias("component_id"),
+        F.when(empty, F.col("doc_id")).otherwise(F.coalesce("least", "rep")).alias("component_id"),
         F.when(empty, F.lit(0)).otherwise(F.coalesce("links", F.lit(0)) + F.col("mult") - 1).cast("long").alias("n_links"),
     )
+    return c.settle(rows, "similar", since)
 
 
 def _links(found: DataFrame) -> DataFrame:
-    meta = found.where("gkey is not null").select("doc_id", "n", "gkey", "sig", "prefix")
+    meta = found.where("gkey is not null").select("k", "n", "gkey", "sig", "prefix")
     sizes = meta.groupBy("gkey").agg(F.ceil(F.sum("n") / CHUNK_TOKENS).cast("long").alias("chunks"))
-    meta = meta.join(sizes, "gkey").select("doc_id", "n", "gkey", F.pmod("sig", "chunks").alias("chunk"), "prefix")
+    meta = meta.join(sizes, "gkey").select("k", "n", "gkey", F.pmod("sig", "chunks").alias("chunk"), "prefix")
     matrix = meta.select(F.explode("prefix").alias("token"), "gkey", "chunk").distinct()
-    smaller = matrix.select("token", F.col("gkey").alias("g"), F.col("chunk").alias("k"))
-    earlier = (F.col("g") < F.col("gkey")) | ((F.col("g") == F.col("gkey")) & (F.col("k") < F.col("chunk")))
-    meets = matrix.join(smaller, "token").where(earlier).select("gkey", "chunk", "g", "k").distinct()
-    visits = meta.select("doc_id", "n", "gkey", "chunk").join(meets, ["gkey", "chunk"]).select("doc_id", "n", "g", "k")
-    parts = visits.groupBy("g", "k").agg(F.ceil(F.sum("n") / TASK_TOKENS).cast("long").alias("parts"))
-    members = meta.select("doc_id", "n", F.col("gkey").alias("g"), F.col("chunk").alias("k"))
-    counted = members.groupBy("g", "k").agg(F.count("*").alias("m")).join(parts, ["g", "k"], "left")
-    live = counted.where("m > 1 or parts is not null").select("g", "k", F.coalesce("parts", F.lit(1)).alias("parts"))
-    members = members.join(live, ["g", "k"]).select("doc_id", "n", "g", "k", F.lit(0).alias("role"), F.explode(F.sequence(F.lit(0).cast("long"), F.col("parts") - 1)).alias("part"))
-    visits = visits.join(live, ["g", "k"]).select("doc_id", "n", "g", "k", F.lit(1).alias("role"), F.pmod(F.xxhash64("doc_id"), F.col("parts")).alias("part"))
+    smaller = matrix.select("token", F.col("gkey").alias("g"), F.col("chunk").alias("c"))
+    earlier = (F.col("g") < F.col("gkey")) | ((F.col("g") == F.col("gkey")) & (F.col("c") < F.col("chunk")))
+    meets = matrix.join(smaller, "token").where(earlier).select("gkey", "chunk", "g", "c").distinct()
+    visits = meta.select("k", "n", "gkey", "chunk").join(meets, ["gkey", "chunk"]).select("k", "n", "g", "c")
+    parts = visits.groupBy("g", "c").agg(F.ceil(F.sum("n") / TASK_TOKENS).cast("long").alias("parts"))
+    members = meta.select("k", "n", F.col("gkey").alias("g"), F.col("chunk").alias("c"))
+    counted = members.groupBy("g", "c").agg(F.count("*").alias("m")).join(parts, ["g", "c"], "left")
+    live = counted.where("m > 1 or parts is not null").select("g", "c", F.coalesce("parts", F.lit(1)).alias("parts"))
+    members = members.join(live, ["g", "c"]).select("k", "n", "g", "c", F.lit(0).alias("role"), F.explode(F.sequence(F.lit(0).cast("long"), F.col("parts") - 1)).alias("part"))
+    visits = visits.join(live, ["g", "c"]).select("k", "n", "g", "c", F.lit(1).alias("role"), F.pmod(F.xxhash64("k"), F.col("parts")).alias("part"))
     routed = members.unionAll(visits)
     total = found.agg(F.sum(F.when(F.col("gkey").isNotNull(), F.col("n")))).first()[0] or 0
     buckets = max(1, -(-2 * int(total) // TASK_TOKENS))
-    routed = routed.select("doc_id", F.col("g").alias("gkey"), F.col("k").alias("chunk"), "part", "role").join(found.where("gkey is not null").select("doc_id", "mult", "full"), "doc_id")
+    routed = routed.select("k", F.col("g").alias("gkey"), F.col("c").alias("chunk"), "part", "role").join(found.where("gkey is not null").select("k", "mult", "full"), "k")
     bucket = F.pmod(F.xxhash64("gkey", "chunk", "part"), F.lit(buckets)).cast("int").alias("bucket")
     return routed.select("*", bucket).groupBy("bucket").applyInArrow(_open_bucket, "a long, b long, links long")

@@ -4,12 +4,13 @@ store() keeps a payload losslessly as the ancillary bytes of silent Layer III fr
 with the payload's length, a first frame with the variable-bitrate table (frames, bytes, 100 seek entries), and frames
 of the largest size but for the last one.  Each frame's ancillary part begins with the number of payload bytes in it.
 
-inspect() reads any byte string: it skips tags, resynchronises (a header that doesn't continue a chain counts only where another one
-or the end follows its frame), checks each frame's CRC, reads the variable-bitrate table, and returns exact durations (samples at a rate),
-frame seek offsets and the payload.
+inspect() reads any byte string: it parses ID3v2 and ID3v1 tags, resynchronises (a header that doesn't continue a chain counts only
+where another one or the end follows its frame), checks each frame's CRC, reads the variable-bitrate table (Xing, Info or VBRI) and
+compares its seek entries with the frames found, and returns exact durations (samples at a rate), frame seek offsets and the payload.
 
 media_columns() applies both to a text column.  The payload is the text in UTF-8 with bytes 0 up to a positive multiple of 64; null
-counts as empty.  Equal texts give equal values; a table without rows gives none; further columns are ignored.
+counts as empty.  Equal texts give equal values, whatever their ids; a null id stays null; repeated rows give repeated rows; a table
+without rows gives none; further columns are ignored, also those whose names differ only in case.
 """
 
 from __future__ import annotations
@@ -35,7 +36,10 @@ BITRATES = {
 RATES = [44100, 48000, 32000]
 CRC_POLY, CRC_INIT = 0x8005, 0xFFFF
 SIDE, LEAD = 17, 4 + 2 + 17 + 2  # bytes of mono side information; bytes before a stored frame's payload
-SCHEMA = "doc_id long, n_bytes long, media binary, payload binary, frames int, samples long, sample_rate int, variable boolean, crc_ok int, crc_bad int, toc_frames int, toc_bytes int, seek array<int>"
+SCHEMA = (
+    "doc_id long, n_bytes long, media binary, payload binary, frames long, samples long, sample_rate int, variable boolean, crc_ok long, crc_bad long, "
+    "table string, toc_frames long, toc_bytes long, toc_entries int, toc_right int, tags map<string,string>, seek array<long>"
+)
 
 
 def _crc_table() -> list[int]:
@@ -134,44 +138,136 @@ def store(payload: bytes) -> bytes:
     return _tag(len(payload)) + lead + sound
 
 
-def _tags_end(data: bytes) -> int:
-    """End of the leading ID3v2 tags."""
-    at = 0
+def _size(data: bytes, syncsafe: bool) -> int:
+    size = 0
+    for b in data:
+        size = size << 7 | b & 127 if syncsafe else size << 8 | b
+    return size
+
+
+def _text(raw: bytes) -> list[str]:
+    """The strings of a text frame: an encoding byte, then values with a zero between them."""
+    kind = raw[:1]
+    text = raw[1:].decode({b"\x01": "utf-16", b"\x02": "utf-16-be", b"\x03": "utf-8"}.get(kind, "latin-1"), "replace")
+    return text.rstrip("\0").split("\0")
+
+
+def _id3v2(data: bytes, at: int, end: int, version: int) -> dict[str, str]:
+    """Text frames of one tag's body: by frame id, user texts by TXXX:description."""
+    name, head = (3, 6) if version == 2 else (4, 10)
+    found = {}
+    while at + head <= end and data[at] != 0:
+        frame = data[at : at + name].decode("latin-1")
+        size = _size(data[at + name : at + 2 * name], version == 4)
+        body = data[at + head : min(end, at + head + size)]
+        if frame.startswith("T") and body:
+            values = _text(body)
+            if frame in ("TXXX", "TXX"):
+                found[f"{frame}:{values[0]}"] = "\0".join(values[1:])
+            else:
+                found[frame] = "\0".join(values)
+        at += head + size
+    return found
+
+
+def read_tags(data: bytes) -> tuple[int, dict[str, str]]:
+    """End of the leading ID3v2 tags, and their texts."""
+    at, found = 0, {}
     while data[at : at + 3] == b"ID3" and len(data) >= at + 10:
-        size = 0
-        for b in data[at + 6 : at + 10]:
-            size = size << 7 | b & 127
-        at += 10 + size + 10 * bool(data[at + 5] & 16)
-    return at
+        version, flags = data[at + 3], data[at + 5]
+        end = at + 10 + _size(data[at + 6 : at + 10], True)
+        body = at + 10
+        if flags & 64 and version > 2:  # an extended header
+            size = _size(data[body : body + 4], version == 4)
+            body += size if version == 4 else size + 4
+        found |= _id3v2(data, body, min(end, len(data)), version)
+        at = end + 10 * bool(flags & 16)
+    return min(at, len(data)), found
+
+
+def read_id3v1(block: bytes) -> dict[str, str]:
+    """Fields of the 128 bytes of an ID3v1 tag."""
+    places = {"title": (3, 33), "artist": (33, 63), "album": (63, 93), "year": (93, 97), "comment": (97, 127)}
+    values = {f"v1:{k}": block[a:b].split(b"\0")[0].decode("latin-1").rstrip() for k, (a, b) in places.items()}
+    return {k: v for k, v in values.items() if v}
+
+
+def read_table(data: bytes, at: int, h: Header) -> dict | None:
+    """The variable-bitrate table in the frame at `at`: its kind, frames, bytes, and seek entries as byte offsets from the frame.
+
+    A Xing or Info table has 100 entries in 256ths of the stream; a VBRI table has sizes of equally long parts.
+    """
+    spot = at + 4 + 2 * h.crc + h.side
+    kind = data[spot : spot + 4]
+    word = lambda i, n=4: int.from_bytes(data[i : i + n], "big")
+    if kind in (b"Xing", b"Info"):
+        flags = word(spot + 4)
+        spot += 8
+        out = {"kind": kind.decode(), "frames": None, "bytes": None, "entries": [], "every": None}
+        for bit, name in ((1, "frames"), (2, "bytes")):
+            if flags & bit:
+                out[name] = word(spot)
+                spot += 4
+        if flags & 4 and out["bytes"]:
+            out["entries"] = [x * out["bytes"] / 256 for x in data[spot : spot + 100]]
+        return out
+    spot = at + 36
+    if data[spot : spot + 4] == b"VBRI":
+        entries, scale, width, every = (word(spot + i, 2) for i in (18, 20, 22, 24))
+        sizes = [word(spot + 26 + width * i, width) * scale for i in range(entries)]
+        offsets = np.cumsum(sizes).tolist() if sizes else []
+        return {"kind": "VBRI", "frames": word(spot + 14), "bytes": word(spot + 10), "entries": offsets, "every": every}
+    return None
+
+
+def seek_entries_right(table: dict, first: int, seek: list[int], end: int) -> int:
+    """How many seek entries of the table agree with the frames that were found.
+
+    An entry of a Xing table may lie a 256th of the stream before its frame (it is rounded down); one of a VBRI table is exact.
+    """
+    if table["kind"] == "VBRI":
+        every = table["every"]
+        ends = [*seek, end]
+        base = seek[0] if seek else end
+        return sum(every * (i + 1) < len(ends) and ends[every * (i + 1)] - base == x for i, x in enumerate(table["entries"]))
+    step = (table["bytes"] or 0) / 256
+    return sum(bool(seek) and 0 <= seek[len(seek) * i // 100] - first - x < max(step, 1) for i, x in enumerate(table["entries"]))
 
 
 def inspect(data: bytes) -> dict:
-    """Facts of a stream: frames, samples, sample_rate, variable, crc_ok, crc_bad, the table's numbers, seek offsets, payload."""
-    at, end = _tags_end(data), len(data)
-    if data[-128:-125] == b"TAG":
-        end -= 128
+    """Facts of a stream: frames, samples, sample_rate, variable, crc_ok, crc_bad, tags, the table's numbers, seek offsets, payload.
+
+    An ID3v1 tag counts only where the chain of frames ends: the same bytes inside a frame are sound.
+    """
+    at, tags = read_tags(data)
+    end, tag_at = len(data), len(data) - 128
     seek, payload, crcs = [], [], {}
     samples = ok = bad = 0
-    rate, kbits, table, synced = None, set(), (None, None), False
+    rate, kbits, table, synced, first = None, set(), None, False, at
+    is_tag = lambda x: x == tag_at and data[x : x + 3] == b"TAG"
     while at + 4 <= end:
+        if is_tag(at):
+            tags |= read_id3v1(data[at:end])
+            end = at
+            break
         h = header(data[at : at + 4])
-        fits = h.valid and at + h.size <= end and rate in (None, h.rate)
-        if not fits or not (synced or at + h.size == end or header(data[at + h.size : at + h.size + 4]).valid):
+        after = at + h.size if h.valid else at
+        fits = h.valid and after <= end and rate in (None, h.rate)
+        if not fits or not (synced or after == end or is_tag(after) or header(data[after : after + 4]).valid):
             synced = False
-            at = data.find(b"\xff", at + 1, end)  # resynchronise
-            if at < 0:
+            at += 1  # resynchronise: at the next byte that may begin a header, or at a closing tag
+            found = data.find(b"\xff", at, end)
+            if at <= tag_at and is_tag(tag_at) and (found < 0 or found > tag_at):
+                found = tag_at
+            if found < 0:
                 break
+            at = found
             continue
         synced = True
         body = at + 4 + 2 * h.crc
-        if not seek and rate is None and data[body + h.side : body + h.side + 4] in (b"Xing", b"Info"):
-            flags = int.from_bytes(data[body + h.side + 4 : body + h.side + 8], "big")
-            spot = body + h.side + 8
-            frames = int.from_bytes(data[spot : spot + 4], "big") if flags & 1 else None
-            spot += 4 * (flags & 1)
-            table = frames, int.from_bytes(data[spot : spot + 4], "big") if flags & 2 else None
-            rate = h.rate
-            at += h.size
+        if not seek and rate is None and (table := read_table(data, at, h)) is not None:
+            rate, first = h.rate, at
+            at = after
             continue
         rate = h.rate
         seek.append(at)
@@ -190,36 +286,51 @@ def inspect(data: bytes) -> dict:
         if not any(data[body : body + h.side]):  # silent: what follows is ancillary
             lead = body + h.side
             n = int.from_bytes(data[lead : lead + 2], "big")
-            if n <= at + h.size - lead - 2:
+            if n <= after - lead - 2:
                 payload.append(data[lead + 2 : lead + 2 + n])
-        at += h.size
-    return {"frames": len(seek), "samples": samples, "sample_rate": rate, "variable": len(kbits) > 1, "crc_ok": ok, "crc_bad": bad, "toc_frames": table[0], "toc_bytes": table[1], "seek": seek, "payload": b"".join(payload)}
+        at = after
+    last = min(at, end)
+    return {
+        "frames": len(seek), "samples": samples, "sample_rate": rate, "variable": len(kbits) > 1, "crc_ok": ok, "crc_bad": bad,
+        "table": table and table["kind"], "toc_frames": table and table["frames"], "toc_bytes": table and table["bytes"],
+        "toc_entries": len(table["entries"]) if table else 0, "toc_right": seek_entries_right(table, first, seek, last) if table else 0,
+        "tags": tags, "seek": seek, "payload": b"".join(payload),
+    }
+
+
+#: Columns of inspect() besides the payload, and their Arrow types.
+FACTS = {
+    "frames": pa.int64(), "samples": pa.int64(), "sample_rate": pa.int32(), "variable": pa.bool_(), "crc_ok": pa.int64(), "crc_bad": pa.int64(),
+    "table": pa.string(), "toc_frames": pa.int64(), "toc_bytes": pa.int64(), "toc_entries": pa.int32(), "toc_right": pa.int32(),
+    "tags": pa.map_(pa.string(), pa.string()), "seek": pa.list_(pa.int64()),
+}
 
 
 def _rows(batches):
-    kinds = {"frames": pa.int32(), "samples": pa.int64(), "sample_rate": pa.int32(), "variable": pa.bool_(), "crc_ok": pa.int32(), "crc_bad": pa.int32(), "toc_frames": pa.int32(), "toc_bytes": pa.int32(), "seek": pa.list_(pa.int32())}
     for batch in batches:
         for part in c.slices(batch):
             texts = [(t or "").encode() for t in part.column("text").to_pylist()]
             media = [store(t + bytes(-len(t) % 64 if t else 64)) for t in texts]
             facts = [inspect(m) for m in media]
-            yield pa.RecordBatch.from_arrays(
-                [part.column("doc_id"), pa.array([len(t) for t in texts], pa.int64()), pa.array(media, pa.binary()), pa.array([f["payload"] for f in facts], pa.binary()), *[pa.array([f[k] for f in facts], t) for k, t in kinds.items()]],
-                ["doc_id", "n_bytes", "media", "payload", *kinds],
-            )
+            for f in facts:
+                f["tags"] = list(f["tags"].items())
+            lead = [part.column("doc_id"), pa.array([len(t) for t in texts], pa.int64()), pa.array(media, pa.binary()), pa.array([f["payload"] for f in facts], pa.binary())]
+            columns = [pa.array([f[k] for f in facts], t) for k, t in FACTS.items()]
+            yield pa.RecordBatch.from_arrays([*lead, *columns], ["doc_id", "n_bytes", "media", "payload", *FACTS])
 
 
 def media_columns(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Rows of SCHEMA: each text's stream, and what reading the stream back gives."""
-    return docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text")).mapInArrow(_rows, SCHEMA)
+    return c.id_and_text(docs, id_col, text_col).mapInArrow(_rows, SCHEMA)
 
 
 def digests(media: DataFrame) -> DataFrame:
     """Digest columns of media_columns()."""
     tail = F.expr("substring(payload, -64, 64)")
     feature = F.format_string(
-        "mpeg1-l3 rate=%d frames=%d samples=%d ms=%d vbr=%s crc=%d/%d toc=%d/%d last=%d", "sample_rate", "frames", "samples", F.expr("samples * 1000 div sample_rate"), F.col("variable").cast("string"),
-        "crc_ok", F.expr("crc_ok + crc_bad"), "toc_frames", "toc_bytes", F.element_at("seek", -1),
+        "mpeg1-l3 rate=%d frames=%d samples=%d ms=%d vbr=%s crc=%d/%d toc=%d/%d entries=%d/%d last=%d", "sample_rate", "frames", "samples",
+        F.expr("samples * 1000 div sample_rate"), F.col("variable").cast("string"), "crc_ok", F.expr("crc_ok + crc_bad"), "toc_frames", "toc_bytes",
+        "toc_right", "toc_entries", F.element_at("seek", -1),
     )
     return media.select(
         "doc_id", "n_bytes", F.octet_length("payload").cast("long").alias("payload_bytes"), F.sha2("payload", 256).alias("payload_sha256"), F.crc32(tail).alias("tail_crc32"),
