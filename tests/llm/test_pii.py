@@ -57,3 +57,30 @@ def test_added_kinds_context_and_redaction(spark):
     assert have[6][0] == "é mail <EMAIL>, <PHONE> end"
     assert have[7] == (None, []) and found.count() == len(rows)
     assert pii.find_pii(found.drop("pii").limit(0)).collect() == []
+
+
+def test_clashing_names_and_null_ids(spark):
+    df = spark.createDataFrame([(None, "a@b.cd"), (1, None)], "doc_id long, text string").selectExpr("*", "'TOP' as TEXT", "5 as pii", "'x' as _text", "2 as _m_ip", "3 as DOC_ID")
+    found = pii.find_pii(df)
+    assert found.columns == ["doc_id", "text", "TEXT", "pii_input", "_text", "_m_ip", "DOC_ID", "pii"]
+    assert sorted((r.doc_id, r.n_email) for r in pii.digests(found).collect() if r.doc_id is None) == [(None, 1)]
+    rows = sorted((tuple(r) for r in pii.redact(found).collect()), key=str)
+    assert [r[:7] for r in rows] == [(1, None, "TOP", 5, "x", 2, 3), (None, "<EMAIL>", "TOP", 5, "x", 2, 3)]
+
+
+def test_many_spans_in_one_text(spark):
+    import time
+
+    text = " ".join(f"u{i}@x.org or 10.0.{i % 256}.1, é🙂" for i in range(20000))
+    df = spark.createDataFrame([(1, text)], "doc_id long, text string")
+    began = time.time()
+    row = pii.digests(pii.find_pii(df)).first()
+    assert row.spans.split(",") == brute(text) and row.n_email == row.n_ip == 20000
+    plain = __import__("re").sub(r"u\d+@x\.org", "<EMAIL>", __import__("re").sub(r"10\.0\.\d+\.1", "<IP>", text))
+    assert pii.redact(pii.find_pii(df)).first().text == plain
+    assert time.time() - began < 60
+
+
+def test_overlapping_spans_over_runs(spark):
+    rows = [(1, "mail é a@1.2.3.4 " * 300 + "end")]
+    assert pii.redact(pii.find_pii(spark.createDataFrame(rows, "doc_id long, text string"))).first().text == "mail é <EMAIL> " * 300 + "end"
