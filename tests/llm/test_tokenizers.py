@@ -1,5 +1,6 @@
 import random
 import struct
+import time
 
 import public_tokenizers
 import pytest
@@ -22,7 +23,7 @@ def test_backtracking_equals_the_library(spark, name):
     path = public_tokenizers.path(name)
     ref = Tokenizer.from_file(path)
     rows = [*enumerate(texts()), (9000, None), (9001, ""), (9001, "")]
-    have = sorted(bpe.encode_decode(spark.createDataFrame(rows, "doc_id long, text string").selectExpr("*", "1 as ids"), path).collect())
+    have = sorted(bpe.encode_decode(spark.createDataFrame(rows, "doc_id long, text string").selectExpr("*", "1 as ids", "2 as TEXT"), path).collect())
     assert len(have) == len(rows)
     by = dict(rows)
     for r in have:
@@ -31,13 +32,35 @@ def test_backtracking_equals_the_library(spark, name):
         assert r.decoded == ref.decode(ids, skip_special_tokens=False)
 
 
-def test_rank_synchronous_counts_equal_the_library(spark, monkeypatch):
+def test_counts_with_a_small_table_and_short_sequences(monkeypatch):
+    """In this process, so that the constants reach the code: the table is started anew all the time, most sequences count as long."""
+    path = public_tokenizers.path("byte_bpe_50k.json")
+    ref = Tokenizer.from_file(path)
     monkeypatch.setattr(token_counts, "CACHED", 50)
+    monkeypatch.setattr(token_counts, "LONG", 3)
+    counter = token_counts.Counter(open(path, encoding="utf-8").read())
+    for t in texts():
+        assert counter.counts([t]) == [len(ref.encode(t, add_special_tokens=False).ids)]
+        assert len(counter.known) <= 50 + len(set(t.split(" "))) + 1
+
+
+def test_long_sequences(monkeypatch):
+    path = public_tokenizers.path("byte_bpe_50k.json")
+    ref = Tokenizer.from_file(path)
+    counter = token_counts.Counter(open(path, encoding="utf-8").read())
+    rnd = random.Random(5)
+    long = ["".join(rnd.choices("etaoinshrdlu", k=n)) for n in (255, 256, 257, 5000, 100_000)] + ["a" * 99_999, "ab" * 30_000, "é" * 20_000]
+    began = time.time()
+    assert counter.counts(long) == [len(ref.encode(t, add_special_tokens=False).ids) for t in long]
+    assert time.time() - began < 15 and not any(len(k) > token_counts.KEPT for k in counter.known)
+
+
+def test_rank_synchronous_counts_equal_the_library(spark):
     path = public_tokenizers.path("byte_bpe_50k.json")
     ref = Tokenizer.from_file(path)
     rows = [*enumerate(texts()), (9000, None), (9001, ""), (9001, "")]
     by = dict(rows)
-    have = token_counts.count_tokens(spark.createDataFrame(rows, "doc_id long, text string").selectExpr("*", "1 as n_tokens"), path).collect()
+    have = token_counts.count_tokens(spark.createDataFrame(rows, "doc_id long, text string").selectExpr("*", "1 as n_tokens", "2 as TEXT"), path).collect()
     assert len(have) == len(rows)
     for r in have:
         text = by[r.doc_id] or ""

@@ -10,7 +10,7 @@ Decoding gathers each id's bytes from one blob by a table of offsets, for a whol
 
 The operator understands tokenizer files of two layouts: word BPE with an end-of-word suffix (NFC, white space to blanks, lower
 case, a splitting pattern, byte alphabet) and byte-level BPE.  Null counts as empty and gives no tokens; equal texts give equal
-rows; a table without rows gives none; further columns are ignored.
+rows, a null id stays null; a table without rows gives none; further columns are ignored, also those whose names differ only in case.
 """
 
 from __future__ import annotations
@@ -23,14 +23,13 @@ import numpy as np
 import pyarrow as pa
 import regex
 from pyspark.sql import DataFrame
-from pyspark.sql import functions as F
 
 from . import common as c
 
 #: White space as the tokenizers' patterns see it (fixed values: the Unicode White_Space property).
 WHITE = "\\t-\\r \\x85\\xa0\\u1680\\u2000-\\u200a\\u2028\\u2029\\u202f\\u205f\\u3000"
-#: Entries of the word caches and of the compatibility table beyond which a worker starts them anew.
-CACHED = 400_000
+#: Entries of the word caches and of the compatibility table beyond which a worker starts them anew; characters of the longest key kept.
+CACHED, KEPT = 400_000, 200
 SCHEMA = "doc_id long, n_tokens long, ids binary, decoded string"
 _TAIL = "\x00"
 
@@ -155,7 +154,9 @@ class _Words(dict):
     def __missing__(self, chunk: str) -> bytes:
         if len(self) > CACHED:
             self.clear()
-        ids = self[chunk] = np.array(self.tokenizer.encode_chunk(chunk), "<u4").tobytes()
+        ids = np.array(self.tokenizer.encode_chunk(chunk), "<u4").tobytes()
+        if len(chunk) <= KEPT:
+            self[chunk] = ids
         return ids
 
 
@@ -191,7 +192,9 @@ class Tokenizer:
             if len(self.pieces) > CACHED // 2:
                 self.pieces.clear()
             alphabet = self.bytes
-            ids = self.pieces[piece] = self.encoder.encode("".join([alphabet[b] for b in piece.encode()]))
+            ids = self.encoder.encode("".join([alphabet[b] for b in piece.encode()]))
+            if len(piece) <= KEPT:
+                self.pieces[piece] = ids
         return ids
 
     def encode_chunk(self, chunk: str) -> list[int]:
@@ -269,4 +272,4 @@ def encode_decode(docs: DataFrame, path: str, id_col: str = "doc_id", text_col:
                     decoded = pa.array([raw[a:b].decode("utf-8", "replace") for a, b in zip(off[:-1].tolist(), off[1:].tolist(), strict=True)], pa.string())
                 yield pa.RecordBatch.from_arrays([part.column("doc_id"), pa.array(np.diff(np.concatenate([[0], ends])), pa.int64()), pa.array(packed, pa.binary()), decoded], ["doc_id", "n_tokens", "ids", "decoded"])
 
-    return docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text")).mapInArrow(run, SCHEMA)
+    return c.id_and_text(docs, id_col, text_col).mapInArrow(run, SCHEMA)

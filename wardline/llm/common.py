@@ -14,6 +14,7 @@ import uuid
 
 import numpy as np
 import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -271,6 +272,43 @@ def pack(x: np.ndarray) -> bytes:
     return np.ascontiguousarray(x).tobytes()
 
 
+#: Groups of the two levels in which partial counts are added up before the driver gets them.
+LEVELS = (1024, 32)
+
+
+def summed_counts(docs: DataFrame, count, size: int) -> np.ndarray:
+    """Sum of count(batch) (arrays of `size` integers) over all batches of docs.
+
+    A task adds up its own batches; what tasks give (their non-zero places) is added in two grouped steps, so that the driver gets at
+    most LEVELS[-1] arrays whatever the number of tasks.
+    """
+    kind = "part int, data binary"
+
+    def row(part: int, total: np.ndarray) -> dict:
+        at = np.flatnonzero(total)
+        return {"part": pa.array([part], pa.int32()), "data": pa.array([pack(at.astype(np.int32)) + pack(total[at])], pa.binary())}
+
+    def add(rows) -> np.ndarray:
+        total = np.zeros(size, np.int64)
+        for data in rows:
+            n = len(data) // 12
+            total[np.frombuffer(data, np.int32, n)] += np.frombuffer(data[4 * n :], np.int64)
+        return total
+
+    def task(batches):
+        total = np.zeros(size, np.int64)
+        for batch in batches:
+            total += count(batch)
+        number = TaskContext.get().partitionId()
+        yield pa.RecordBatch.from_pydict(row(number, total))
+
+    parts = docs.mapInArrow(task, kind)
+    for groups in LEVELS:
+        dealt = parts.withColumn("part", F.pmod("part", F.lit(groups)).cast("int"))
+        parts = dealt.groupBy("part").applyInArrow(lambda t: pa.table(row(t["part"][0].as_py(), add(t["data"].to_pylist()))), kind)
+    return add([bytes(r["data"]) for r in parts.collect()])
+
+
 def connected_components(edges: DataFrame) -> DataFrame:
     """Components of an undirected graph given as rows (a, b): returns (node, component), component the smallest node.
 

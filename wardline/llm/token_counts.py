@@ -2,14 +2,16 @@
 
 All pre-tokens of a batch that weren't counted before lie in one flat array of symbols with the ends of its sequences.  In each
 round every sequence finds its adjacent pair of the lowest merge rank, all occurrences of that pair in it are merged at
-once (from the left where they overlap), and sequences without a pair to merge leave with their number of symbols.
+once (from the left where they overlap), and sequences without a pair to merge leave with their number of symbols.  A sequence of more
+than LONG symbols goes through the same rounds by itself, with the places of each pair kept between them.
 Counts of pieces of text between single blanks are kept by each worker in a table of bounded size, started anew when full.
 
-Null counts as empty: 0 tokens.  Equal texts give equal rows; a table without rows gives none; further columns are ignored.
+Null counts as empty: 0 tokens.  Equal texts give equal rows, a null id stays null; a table without rows gives none; further columns are ignored, also those whose names differ only in case.
 """
 
 from __future__ import annotations
 
+import heapq
 import json
 import re
 
@@ -17,13 +19,15 @@ import numpy as np
 import pyarrow as pa
 import regex
 from pyspark.sql import DataFrame
-from pyspark.sql import functions as F
 
 from . import common as c
 from .bpe import WHITE, Merger, _Spec, byte_alphabet
 
-CACHED = 500_000
+#: Entries of a worker's table of counts, and characters of the longest key that it keeps.
+CACHED, KEPT = 500_000, 200
 LIMIT = 1024
+#: Symbols of a sequence beyond which it is merged by itself: one round over a long sequence for each rank would take too long.
+LONG = 256
 _EDGE = re.compile(r"\s\s|\A\s|\s\Z")
 SCHEMA = "doc_id long, n_bytes long, n_tokens long"
 
@@ -40,14 +44,17 @@ class MergeTable:
         key, rank, to = (np.array(x, np.int64) for x in zip(*sorted(pairs), strict=True))
         self.key, self.rank, self.to = key, rank, to
         self.never = int(rank.max()) + 1
+        self.ranks: dict[int, tuple[int, int]] = {}
 
     def count(self, pieces: list[bytes]) -> np.ndarray:
         """Number of symbols left of each piece once no pair can be merged."""
         size = np.array([len(p) for p in pieces], np.int64)
         out = np.minimum(size, 1)
         symbols = self.byte[np.frombuffer(b"".join(pieces), np.uint8)]
-        live = np.flatnonzero(size > 1)
-        symbols, size = symbols[np.repeat(size > 1, size)], size[size > 1]
+        for i in np.flatnonzero(size > LONG).tolist():
+            out[i] = self.count_long(pieces[i])
+        live = np.flatnonzero((size > 1) & (size <= LONG))
+        symbols, size = symbols[np.repeat((size > 1) & (size <= LONG), size)], size[live]
         while len(live):
             start = np.cumsum(size) - size
             pair = symbols[:-1] * self.n + symbols[1:]
@@ -79,6 +86,45 @@ class MergeTable:
         return out
 
 
+    def count_long(self, piece: bytes) -> int:
+        """The same for one long piece: the places of each rank's pair are kept, so a round looks at those places alone."""
+        if not self.ranks:
+            self.ranks = {k: (r, t) for k, r, t in zip(self.key.tolist(), self.rank.tolist(), self.to.tolist(), strict=True)}
+        symbol = self.byte[np.frombuffer(piece, np.uint8)].tolist()
+        size = len(symbol)
+        before, after = list(range(-1, size - 1)), list(range(1, size + 1))
+        places: dict[int, list[int]] = {}
+        queue: list[int] = []
+
+        def note(i: int, j: int) -> None:
+            found = self.ranks.get(symbol[i] * self.n + symbol[j])
+            if found is not None:
+                if found[0] not in places:
+                    places[found[0]] = []
+                    heapq.heappush(queue, found[0])
+                places[found[0]].append(i)
+
+        for i in range(size - 1):
+            note(i, i + 1)
+        left = size
+        while queue:
+            rank = heapq.heappop(queue)
+            for i in sorted(set(places.pop(rank))):
+                j = after[i] if symbol[i] >= 0 else size
+                found = self.ranks.get(symbol[i] * self.n + symbol[j]) if j < size else None
+                if found is None or found[0] != rank:
+                    continue  # an overlapping occurrence took one of the two
+                symbol[i], symbol[j] = found[1], -1
+                after[i] = after[j]
+                left -= 1
+                if after[j] < size:
+                    before[after[j]] = i
+                    note(i, after[j])
+                if before[i] >= 0:
+                    note(before[i], i)
+        return left
+
+
 class Counter:
     def __init__(self, spec: str):
         spec = json.loads(spec)
@@ -140,7 +186,11 @@ class Counter:
         if new:
             self._learn(list(new))
         look = self.known.__getitem__
-        return [sum(map(look, chunks)) + n for chunks, n in zip(split, extra, strict=True)]
+        total = [sum(map(look, chunks)) + n for chunks, n in zip(split, extra, strict=True)]
+        for x in new:
+            if len(x) > KEPT:
+                del self.known[x]
+        return total
 
 
 _loaded: dict[int, Counter] = {}
@@ -165,4 +215,4 @@ def count_tokens(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: s
                 n = counter.counts([t or "" for t in part.column("text").to_pylist()])
                 yield pa.RecordBatch.from_arrays([part.column("doc_id"), pa.array(np.diff(off), pa.int64()), pa.array(n, pa.int64())], ["doc_id", "n_bytes", "n_tokens"])
 
-    return docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text")).mapInArrow(run, SCHEMA)
+    return c.id_and_text(docs, id_col, text_col).mapInArrow(run, SCHEMA)
