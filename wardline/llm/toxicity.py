@@ -7,19 +7,21 @@ the channel's costs.  The restored text is scored: a logistic regression (follow
 presence of words and word beginnings, calibrated by a temperature; a single word that is strong
 enough by itself counts with a lower bound of its log-odds.
 
-Language model, vocabulary and weights are learned from about PER_CLASS labelled rows of each class at most, chosen by a hash
-of the id.  Features are words and beginnings that at least MIN_ROWS toxic rows of the sample hold, and hold more often
-than clean ones.  Every row is scored by its whole text and nothing else.
-
-Empty texts and null have no features and get the score of the intercept; without labelled rows every score is 0.  Repeated rows give
-equal rows; an empty table gives none; further columns are ignored.
+The character model counts the words of all texts that may be learned from (hashed to a table of fixed size).  Vocabulary and weights
+are fitted on about PER_CLASS labelled rows of each class at most, chosen by a hash of the id; they reach the driver as distinct tokens.
+Features are words and beginnings that at least MIN_ROWS toxic rows of the sample hold, and hold more often than clean ones.
+Every row is scored by its whole text and nothing else; tokens of any length are read, and the search keeps all states.  Of equally
+probable readings the one found first wins: a character that stands for itself, then for nothing, then for letters in the order of LOOKS.
+
+Empty texts and null have no features and get the score of the intercept; without labelled rows every score is 0.  A label with a null
+id is no label; of several texts with one labelled id the first in order is learned.  Repeated rows give equal rows, a null id stays null;
+an empty table gives none; further columns are ignored, also those whose names differ only in case.
 """
 
 from __future__ import annotations
 
 import math
 import re
-from collections import Counter
 
 import numpy as np
 import pyarrow as pa
@@ -31,7 +33,7 @@ from .features import Ftrl, softmax, temperature_of
 
 PER_CLASS = (4000, 2000)
 MIN_ROWS, MIN_RATIO, PREFIX = 3, 3.0, range(3, 9)
-EPOCHS, HELD_BACK, CACHED = 8, 5, 400_000
+EPOCHS, HELD_BACK, CACHED, KEPT = 8, 5, 400_000, 200
 THRESHOLD = 0.7
 SCHEMA = "doc_id long, score double"
 #: Letters that a character imitates (fixed values).
@@ -44,32 +46,59 @@ _EDGE = "".join(chr(i) for i in range(33, 127) if not chr(i).isalnum()) + "…«
 _THRICE = re.compile(r"(.)\1\1")
 
 
+#: Places of the counts of character trigrams and their contexts, bigrams and theirs, single characters; grams are hashed to them.
+TRIGRAMS, BIGRAMS, SINGLES = 1 << 18, 1 << 16, 1 << 12
+_PARTS = np.cumsum([0, TRIGRAMS, BIGRAMS, BIGRAMS, SINGLES, SINGLES])
+_BEGIN, _END = ord("^"), ord("$")
+_tables: list[np.ndarray] = []
+
+
+def _place(places: int, *chars):
+    """Place of a gram of code points (integers or arrays of 64-bit ones)."""
+    h = 0
+    for x in chars:
+        h = ((h ^ x) * 0x9E3779B1) & 0xFFFFFFFF
+        h = h ^ (h >> 15)
+    return h & (places - 1)
+
+
+def gram_counts(texts: list[str]) -> np.ndarray:
+    """Hashed counts of the character trigrams of all words that are letters only, in lower case."""
+    if not _tables:
+        _tables.append(np.array([chr(i).isspace() for i in range(0x110000)]))
+        _tables.append(np.array([chr(i).isalpha() for i in range(0x110000)]))
+    u = np.frombuffer((" " + " ".join(texts).lower() + " ").encode("utf-32-le", "surrogatepass"), np.uint32).astype(np.int64)
+    space = _tables[0][u]
+    start, end = np.flatnonzero(space[:-1] & ~space[1:]) + 1, np.flatnonzero(~space[:-1] & space[1:]) + 1
+    letters = np.concatenate([[0], np.cumsum(_tables[1][u])])
+    plain = letters[end] - letters[start] == end - start
+    start, end = start[plain], end[plain]
+    size = end - start
+    at = c.ragged(start, size)
+    pos = at - np.repeat(start, size)
+    last = np.concatenate([u[at], np.full(len(start), _END)])
+    one = np.concatenate([np.where(pos >= 1, u[at - 1], _BEGIN), u[end - 1]])
+    two = np.concatenate([np.where(pos >= 2, u[at - 2], _BEGIN), np.where(size >= 2, u[end - 2], _BEGIN)])
+    places = (_place(TRIGRAMS, two, one, last), _place(BIGRAMS, two, one), _place(BIGRAMS, one, last), _place(SINGLES, one), _place(SINGLES, last))
+    return np.concatenate([np.bincount(x, minlength=n) for x, n in zip(places, np.diff(_PARTS), strict=True)])
+
+
 class CharModel:
-    """Interpolated character trigrams over words; any character may follow any other."""
-
-    def __init__(self, words: Counter):
-        self.tri, self.bi, self.uni = Counter(), Counter(), Counter()
-        for w, n in words.items():
-            s = "^^" + w + "$"
-            for i in range(2, len(s)):
-                self.tri[s[i - 2 : i + 1]] += n
-                self.bi[s[i - 1 : i + 1]] += n
-                self.uni[s[i]] += n
-        self.tri_ctx, self.bi_ctx = Counter(), Counter()
-        for s, n in self.tri.items():
-            self.tri_ctx[s[:2]] += n
-        for s, n in self.bi.items():
-            self.bi_ctx[s[0]] += n
-        self.total = sum(self.uni.values())
+    """Interpolated character trigrams over words, from hashed counts; any character may follow any other."""
+
+    def __init__(self, counts: np.ndarray):
+        self.tri, self.tri_ctx, self.bi, self.bi_ctx, self.uni = np.split(counts, _PARTS[1:-1])
+        self.total = int(self.uni.sum())
         self.known: dict[str, float] = {}
 
     def log(self, gram: str) -> float:
         """log p(gram[2] | gram[:2])"""
         p = self.known.get(gram)
         if p is None:
-            u = (self.uni[gram[2]] + 0.5) / (self.total + 200)
-            b = (self.bi[gram[1:]] + 5 * u) / (self.bi_ctx[gram[1]] + 5)
-            p = math.log((self.tri[gram] + 5 * b) / (self.tri_ctx[gram[:2]] + 5))
+            x, y, z = map(ord, gram)
+            u = (int(self.uni[_place(SINGLES, z)]) + 0.5) / (self.total + 200)
+            b = (int(self.bi[_place(BIGRAMS, y, z)]) + 5 * u) / (int(self.bi_ctx[_place(SINGLES, y)]) + 5)
+            p = math.log((int(self.tri[_place(TRIGRAMS, x, y, z)]) + 5 * b) / (int(self.tri_ctx[_place(BIGRAMS, x, y)]) + 5))
             if len(self.known) < CACHED:
                 self.known[gram] = p
         return p
@@ -120,25 +149,27 @@ class Readings:
             return [core]
         words = _WORD.findall(core)
         # symbols at the ends may stand for letters too: both readings count
-        for form in {core, low.rstrip(".,;:?\"'")} if low != core and len(low) <= 64 else {core}:
+        for form in {core, low.rstrip(".,;:?\"'")}:
             if disguised(form):
                 words += _WORD.findall(self.model.restore(form))
         return words
 
-    def spaced(self, tokens: list[str]) -> list[str]:
-        """Restored runs of three or more letters that stand alone, perhaps with separators between them."""
-        out, run = [], []
-        for t in [*tokens, ""]:
-            core = t.strip(".,-_*")
-            if len(core) == 1 and (core.isalpha() or core in LOOKS):
-                run.append(core.lower())
-                continue
-            if t and not core:
-                continue
-            if len(run) >= 3:
-                out.append(self.model.restore("".join(run)))
-            run = []
-        return out
+
+def reduced(text: str | None) -> tuple[list[str], list[str]]:
+    """What scoring needs of a text: its distinct tokens, and its runs of three or more letters that stand alone (perhaps with
+    separators between them)."""
+    tokens, runs, run = (text or "").split(), [], []
+    for t in [*tokens, ""]:
+        core = t.strip(".,-_*")
+        if len(core) == 1 and (core.isalpha() or core in LOOKS):
+            run.append(core.lower())
+            continue
+        if t and not core:
+            continue
+        if len(run) >= 3:
+            runs.append("".join(run))
+        run = []
+    return sorted(set(tokens)), runs
 
 
 def beginnings(word: str) -> list[str]:
@@ -146,20 +177,18 @@ def beginnings(word: str) -> list[str]:
 
 
 class Model:
-    def __init__(self, rows: list[tuple[int, str, int]], odds: float | None = None):
-        """rows: id, text, label; odds: logarithm of the odds of label 1 where the rows were sampled from."""
-        words = Counter()
-        for _, t, _ in rows:
-            words.update(w for w in (t or "").lower().split() if w.isalpha())
-        self.readings = Readings(CharModel(words))
+    def __init__(self, rows: list[tuple[tuple[list[str], list[str]], int]], chars: np.ndarray, odds: float | None = None):
+        """rows: a text as reduced() gives it, and its label; chars: gram_counts() of the corpus; odds: logarithm of the odds of
+        label 1 where the rows were sampled from."""
+        self.readings = Readings(CharModel(chars))
         self.index: dict[str, int] = {}
         self.lengths: list[int] = []
         self.weights, self.alone, self.bias, self.temperature = np.zeros(0), np.zeros(0), -50.0, 1.0
         self.table = _Tokens(self)
-        labels = np.array([y for _, _, y in rows], np.int64)
+        labels = np.array([y for _, y in rows], np.int64)
         if len(set(labels.tolist())) < 2:
             return
-        held_by = [np.fromiter(map(hash, {f for w in self._words(t) for f in beginnings(w)}), np.int64) for _, t, _ in rows]  # hashes: the strings would fill the driver
+        held_by = [np.fromiter(map(hash, {f for w in self._words(t) for f in beginnings(w)}), np.int64) for t, _ in rows]  # hashes: the strings would fill the driver
         n = np.bincount(labels, minlength=2)
         shift = 0.0 if odds is None else odds - math.log(n[1] / n[0])
         odds = math.log(n[1] / n[0]) + shift
@@ -173,11 +202,11 @@ class Model:
         del held_by
         good = ((toxic + 0.5) / n[1]) / ((clean + 0.5) / n[0]) >= MIN_RATIO
         facts = dict(zip(keys[good].tolist(), zip(toxic[good].tolist(), clean[good].tolist(), strict=True), strict=True))
-        found = {f for _, t, y in rows if y == 1 for w in self._words(t) for f in beginnings(w) if hash(f) in facts}
+        found = {f for t, y in rows if y == 1 for w in self._words(t) for f in beginnings(w) if hash(f) in facts}
         self.index = {f: i for i, f in enumerate(sorted(found))}
         self.lengths = sorted({len(f) for f in found if f[0] != "^" and len(f) >= 3})
         self.table = _Tokens(self)
-        examples = [self.features(t) for _, t, _ in rows]
+        examples = [self.features(t) for t, _ in rows]
         held = np.arange(len(rows)) % HELD_BACK == 0
         fitted = Ftrl(len(self.index) + 1, 2, alpha=0.3, l1=0.05, l2=0.05).fit([(at, np.ones(len(at))) for at, h in zip(examples, held, strict=True) if not h], labels[~held], EPOCHS)
         w = fitted.weights()
@@ -191,14 +220,14 @@ class Model:
         raw = np.array([self.raw(at) for at, h in zip(examples, held, strict=True) if h])
         self.temperature = max(1.0, temperature_of(np.stack([np.zeros(len(raw)), raw], axis=1), labels[held]))
 
-    def _words(self, text: str | None) -> set[str]:
-        tokens = (text or "").split()
-        return {w for t in set(tokens) for w in self.readings.token(t)} | set(self.readings.spaced(tokens))
+    def _words(self, text: tuple[list[str], list[str]]) -> set[str]:
+        tokens, runs = text
+        return {w for t in tokens for w in self.readings.token(t)} | {self.readings.model.restore(r) for r in runs}
 
-    def features(self, text: str | None) -> np.ndarray:
-        tokens = (text or "").split()
-        found = set().union(*map(self.table.__getitem__, set(tokens)))
-        for word in self.readings.spaced(tokens):  # a run may hold several words
+    def features(self, text: tuple[list[str], list[str]]) -> np.ndarray:
+        tokens, runs = text
+        found = set().union(*map(self.table.__getitem__, tokens))
+        for word in map(self.readings.model.restore, runs):  # a run may hold several words
             found.update(self.index[word[i : i + n]] for n in self.lengths for i in range(len(word) - n + 1) if word[i : i + n] in self.index)
         return np.array(sorted(found), np.int64)
 
@@ -209,7 +238,7 @@ class Model:
     def score(self, text: str | None) -> float:
         if not len(self.weights):
             return 0.0
-        return float(softmax(np.array([[0.0, self.raw(self.features(text))]]), self.temperature)[0, 1])
+        return float(softmax(np.array([[0.0, self.raw(self.features(reduced(text)))]]), self.temperature)[0, 1])
 
 
 class _Tokens(dict):
@@ -222,23 +251,37 @@ class _Tokens(dict):
         if len(self) > CACHED:
             self.clear()
         index = self.model.index
-        found = self[token] = tuple(index[f] for w in self.model.readings.token(token) for f in beginnings(w) if f in index)
+        found = tuple(index[f] for w in self.model.readings.token(token) for f in beginnings(w) if f in index)
+        if len(token) <= KEPT:
+            self[token] = found
         return found
 
     def __reduce__(self):
         return (_Tokens, (self.model,))
 
 
+def _reduce(batches):
+    for batch in batches:
+        found = [reduced(t) for t in batch.column("text").to_pylist()]
+        lists = [pa.array([x[k] for x in found], pa.list_(pa.string())) for k in (0, 1)]
+        yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("y"), *lists], ["doc_id", "y", "tokens", "runs"])
+
+
 def train(docs: DataFrame, labels: DataFrame, learn: Column, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic") -> Model:
-    """A model of about PER_CLASS labelled rows of each class; `learn` selects rows of labels."""
-    own = labels.where(learn & F.col(label_col).isin(0, 1)).groupBy(F.col(id_col).cast("long").alias("doc_id")).agg(F.max(label_col).cast("int").alias("y"))
+    """A model of about PER_CLASS labelled rows of each class; `learn` selects, by id alone, rows of labels and the rows of docs whose
+    characters count."""
+    labels = c.distinct_names(labels, id_col, label_col).where(learn & F.col(label_col).isin(0, 1))
+    own = labels.groupBy(F.col(id_col).cast("long").alias("doc_id")).agg(F.max(label_col).cast("int").alias("y")).where("doc_id is not null")
     sizes = {r["y"]: r["count"] for r in own.groupBy("y").count().collect()}
     chance = F.pmod(F.xxhash64(F.lit("sample"), "doc_id"), F.lit(1 << 30)) / (1 << 30)
     most = F.when(F.col("y") == 1, PER_CLASS[1] / max(1, sizes.get(1, 0))).otherwise(PER_CLASS[0] / max(1, sizes.get(0, 0)))
     sample = F.broadcast(own.where(chance < most))  # about PER_CLASS rows of two numbers
-    texts = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text")).join(sample, "doc_id")
+    texts = c.id_and_text(docs, id_col, text_col).join(sample, "doc_id").groupBy("doc_id").agg(F.min("text").alias("text"), F.first("y").alias("y"))
+    rows = texts.mapInArrow(_reduce, "doc_id long, y int, tokens array<string>, runs array<string>").collect()
+    corpus = c.distinct_names(docs, id_col, text_col).where(learn).select(F.coalesce(text_col, F.lit("")).alias("text"))
+    chars = c.summed_counts(corpus, lambda batch: sum(gram_counts(part.column("text").to_pylist()) for part in c.slices(batch)), int(_PARTS[-1]))
     odds = math.log(sizes[1] / sizes[0]) if sizes.get(0) and sizes.get(1) else None
-    return Model(sorted((r["doc_id"], r["text"] or "", r["y"]) for r in texts.collect()), odds)
+    return Model([((r["tokens"], r["runs"]), r["y"]) for r in sorted(rows, key=lambda r: r["doc_id"])], chars, odds)
 
 
 def toxicity(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -250,4 +293,17 @@ def toxicity(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: st
         for batch in batches:
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array([own.score(t) for t in batch.column("text").to_pylist()], pa.float64())], ["doc_id", "score"])
 
-    return docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text")).mapInArrow(run, SCHEMA)
+    return c.id_and_text(docs, id_col, text_col).mapInArrow(run, SCHEMA)
+
+
+def without_toxic(docs: DataFrame, model: Model, text_col: str = "text", threshold: float = THRESHOLD) -> DataFrame:
+    """The rows of docs, all columns as they are, that score less than the threshold; ids play no part."""
+    held, names = docs.sparkSession.sparkContext.broadcast(model), docs.columns
+    flat, text = docs.toDF(*[f"c{i}" for i in range(len(names))]), names.index(text_col)
+
+    def run(batches):
+        own = held.value
+        for batch in batches:
+            yield batch.filter(pa.array([own.score(t) < threshold for t in batch.column(text).to_pylist()], pa.bool_()))
+
+    return flat.mapInArrow(run, flat.schema).toDF(*names)
