@@ -95,3 +95,13 @@ def test_repeated_rows_fill_no_block(spark):
     rows = [(1, "a b c d e f g")] * 500 + [(None, "h i j k l m")] * 300
     out = jaccard.similarity_join(spark.createDataFrame(rows, "doc_id long, text string")).collect()
     assert {tuple(r) for r in out} == {(1, 3, 1, 499), (None, 2, None, 299)} and len(out) == 800
+
+
+def test_rows_that_stay(spark):
+    base = " ".join(f"w{i}" for i in range(40))
+    rows = [(9, base, 1), (None, base, 2), (7, base + " x", 3), (7, "a b", 4), (7, "a b", 5), (None, "zz", 6), (None, "zz", 7), (3, "zz", 8), (1, None, 9), (1, "", 10), (1, " \n", 11), (None, "q w e r t y", 12), (5, "solo", 13)]
+    left = jaccard.without_copies(spark.createDataFrame(rows, "doc_id long, text string, n int"))
+    assert left.columns == ["doc_id", "text", "n"]
+    have = sorted(r.n for r in left.collect())
+    assert have[0] == 3 and have[1] in (4, 5) and have[2:] == [8, 9, 10, 11, 12, 13]
+    assert jaccard.without_copies(left.limit(0)).collect() == []

@@ -41,6 +41,10 @@ COUNTED = 0.5
 CHUNK_TOKENS, TASK_TOKENS = 1_500_000, 1_500_000
 BLOCK_BYTES, SHARD_BYTES = 12 << 20, 24 << 20
 
+#: SQL of a text's digest, and of whether it has no word.
+_DIGEST = "md5(cast(coalesce(text, '') as binary))"
+_WORDLESS = r"coalesce(text, '') rlike r'\A[\x20\x09-\x0D]*\z'"
+
 _U = np.uint64
 _LIMIT = _U(int(COUNTED * (1 << 64)))
 
@@ -221,18 +225,17 @@ def _open_bucket(group: pa.Table) -> pa.Table:
     return pa.table({"a": pa.array(a, pa.int64()), "b": pa.array(b, pa.int64()), "links": pa.array(n, pa.int64())})
 
 
-def similarity_join(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """Rows doc_id, n_shingles, component_id, n_links (rows linked directly, copies included), one for each row of docs."""
-    since, docs = c.mark(), c.id_and_text(docs, id_col, text_col)
+def _classes(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Of rows doc_id, text: each row's doc_id and class th; for each class th, rep (its least doc_id), mult (its rows), n (its set's
+    size), k and component (numbers), least (the component's least doc_id), links (rows of other classes linked directly)."""
     blocks = c.blocks_of(docs, "text", BLOCK_BYTES)
     shards = max(1, -(-blocks * BLOCK_BYTES // SHARD_BYTES) * 2)
-    digest = F.md5(F.coalesce("text", F.lit("")).cast("binary"))
-    ids = c.materialize(docs.select("doc_id", digest.alias("th")), "ids")
+    ids = c.materialize(docs.select("doc_id", F.expr(_DIGEST).alias("th")), "ids")
     classes = ids.groupBy("th").agg(F.min("doc_id").alias("rep"), F.count("*").alias("mult"))
     classes = c.materialize(classes.withColumn("k", F.monotonically_increasing_id()), "classes")
     # by id and text: neither a recurring or missing id nor a repeated text fills a block
     block = F.pmod(F.xxhash64("doc_id", "th"), F.lit(blocks)).cast("int").alias("block")
-    texts = docs.select("doc_id", "text", digest.alias("th"))
+    texts = docs.select("doc_id", "text", F.expr(_DIGEST).alias("th"))
     placed = texts.mapInArrow(_once, texts.schema).select("*", block)
     reps = classes.select(F.col("rep").alias("doc_id"), "th", "k", "mult").select("*", block)
     asked = placed.groupBy("block").cogroup(reps.groupBy("block")).applyInArrow(_ask(shards), REQUEST)
@@ -246,9 +249,16 @@ def similarity_join(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     components = c.connected_components(linked.select("a", "b"))
     # a component is named after its smallest doc_id; a class without any id has none
     named = components.join(classes.select(F.col("k").alias("node"), "rep"), "node")
-    named = components.join(named.groupBy("component").agg(F.min("rep").alias("least")), "component").select(F.col("node").alias("k"), "least")
+    named = components.join(named.groupBy("component").agg(F.min("rep").alias("least")), "component").select(F.col("node").alias("k"), "component", "least")
     degrees = linked.groupBy(F.col("a").alias("k")).agg(F.sum("links").alias("links"))
     facts = classes.join(found.select("k", "n"), "k").join(named, "k", "left").join(degrees, "k", "left")
+    return ids, facts.withColumn("component", F.coalesce("component", "k"))
+
+
+def similarity_join(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """Rows doc_id, n_shingles, component_id, n_links (rows linked directly, copies included), one for each row of docs."""
+    since = c.mark()
+    ids, facts = _classes(c.id_and_text(docs, id_col, text_col))
     empty = F.col("n") == 0
     rows = ids.join(facts, "th").select(
         "doc_id",
@@ -259,6 +269,25 @@ def similarity_join(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     return c.settle(rows, "similar", since)
 
 
+def without_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """Of each component one row, all columns as they are: that of the least doc_id (null is the largest), then of the first text digest.
+
+    Rows without words all stay.  The texts are shuffled once, by id and text, so neither a group of copies nor a recurring id is hot.
+    """
+    since, names = c.mark(), docs.columns
+    flat = docs.toDF(*[f"c{i}" for i in range(len(names))])
+    row = F.struct(*flat.columns).alias("row")
+    flat = flat.select(F.col(f"c{names.index(id_col)}").cast("long").alias("doc_id"), F.col(f"c{names.index(text_col)}").alias("text"), row)
+    _, facts = _classes(flat.select("doc_id", "text"))
+    first = F.min(F.struct(F.col("rep").isNull().alias("none"), "rep", "th")).alias("w")
+    kept = facts.where("n > 0").groupBy("component").agg(first).select(F.col("w.rep").alias("rep"), F.col("w.th").alias("kept"))
+    kept = c.settle(kept, "kept", since)
+    rows = flat.where(f"not ({_WORDLESS})").select("doc_id", F.expr(_DIGEST).alias("th"), "row")
+    same = F.col("doc_id").eqNullSafe(F.col("rep")) & (F.col("th") == F.col("kept"))
+    one = rows.join(kept, same).groupBy("doc_id", "th").agg(F.first("row").alias("row")).select("row.*")
+    return one.unionAll(flat.where(_WORDLESS).select("row.*")).toDF(*names)
+
+
 def _links(found: DataFrame) -> DataFrame:
     meta = found.where("gkey is not null").select("k", "n", "gkey", "sig", "prefix")
     sizes = meta.groupBy("gkey").agg(F.ceil(F.sum("n") / CHUNK_TOKENS).cast("long").alias("chunks"))
