@@ -1,12 +1,13 @@
 """Corpus pipeline: five stages over documents, each written as Parquet and read again as the next one's input.
 
 toxicity         rows that the toxicity operator rejects (score of THRESHOLD or more) go
-near_duplicates  of each group of linked documents the one with the smallest doc_id stays; documents without words stay too
+near_duplicates  of each group of linked documents one row stays: that of the smallest doc_id (then of the first text); rows without words stay
 benchmark        rows with words inside an occurring benchmark window go
 personal_data    spans of personal data are replaced by their kind, n_chars follows the new text
 tokens           token ids (packed) of what is left, and the text they decode to
 
-Where a doc_id occurs in several rows, the decisions hold for each of its rows; of repeated rows one stays in near_duplicates.
+Rows are judged one by one, by their text: a null or recurring doc_id plays no part but in the choice of the row that stays of a group
+(a null id counts as the largest).  Null and empty texts pass all stages and have no tokens.
 """
 
 from __future__ import annotations
@@ -26,19 +27,15 @@ ORACLE_SQL = None
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     labels = common.table(spark, sf_dir, "labels")
     model = toxicity.train(docs, labels, F.crc32(F.col("doc_id").cast("string")) % 3 != 1)
-    rejected = toxicity.toxicity(docs, model).where(F.col("score") >= toxicity.THRESHOLD).select("doc_id").distinct()
-    return docs.join(rejected, "doc_id", "left_anti").select(docs.columns)
+    return toxicity.without_toxic(docs, model)
 
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    found = jaccard.similarity_join(docs)
-    copies = found.where("component_id <> doc_id").select("doc_id").distinct()
-    return docs.join(copies, "doc_id", "left_anti").select(docs.columns).dropDuplicates()
+    return jaccard.without_copies(docs)
 
 
 def drop_contaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    found = decontaminate.contamination(docs, common.table(spark, sf_dir, "benchmark"))
-    return docs.join(found.where("contaminated").select("doc_id").distinct(), "doc_id", "left_anti").select(docs.columns)
+    return decontaminate.without_contaminated(docs, common.table(spark, sf_dir, "benchmark"))
 
 
 def redact_personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -60,7 +57,12 @@ STAGES: list[tuple[str, Callable[[SparkSession, DataFrame, str], DataFrame]]] =
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = common.table(spark, sf_dir, "documents")
+    """Rows doc_id, n_tokens, ids, decoded of the documents that stay; each stage's own tables go once its output is written."""
+    docs, previous = common.table(spark, sf_dir, "documents"), None
     for name, stage in STAGES:
-        docs = common.materialize(stage(spark, docs, sf_dir), name)
+        since = common.mark()
+        docs = common.settle(stage(spark, docs, sf_dir), name, since)
+        if previous is not None:
+            common.discard(spark, previous, previous + 1)
+        previous = common.mark() - 1
     return docs
