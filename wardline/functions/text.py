@@ -8,6 +8,47 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+#: Elements of a run of a fold, and characters of a text's pieces: neither changes a result.
+RUN, PIECE = 128, 1024
+
+
+def let(value: Column, body) -> Column:
+    """body(value) with the value evaluated once (inside lambdas a plain expression would be evaluated for each element)."""
+    return F.transform(F.array(value), body)[0]
+
+
+def fold(items: Column, start: Column, empty: Column, step, finish=None) -> Column:
+    """A fold that carries a state and puts out elements: step(a, x) gives struct(at: the state, out: the elements so far).
+
+    Appending to an array copies it, so elements are folded in runs of RUN, whose outputs are joined at the end: time goes with the
+    number of elements, not with its square.  finish(state, elements) gives the result; by default the elements.
+    """
+
+    def runs_of(xs: Column) -> Column:
+        last = F.greatest(F.floor((F.size(xs) - 1) / RUN).cast("int"), F.lit(0))
+        return F.transform(F.sequence(F.lit(0), last), lambda b: F.slice(xs, b * RUN + 1, RUN))
+
+    def one_run(a, run):
+        inner = F.aggregate(run, F.struct(a["at"].alias("at"), empty.alias("out")), step)
+        return let(inner, lambda r: F.struct(r["at"].alias("at"), F.concat(a["out"], F.array(r["out"])).alias("out")))
+
+    done = finish or (lambda at, out: out)
+    begin = F.struct(start.alias("at"), F.array(empty).alias("out"))
+    return let(items, lambda xs: F.aggregate(runs_of(xs), begin, one_run, lambda a: done(a["at"], F.flatten(a["out"]))))
+
+
+def pieces_of(text: Column) -> Column:
+    """The text in pieces of PIECE characters, for piece(): substring() walks from the text's beginning each time."""
+    return F.regexp_extract_all(text, F.lit(f"(?s).{{1,{PIECE}}}"), F.lit(0))
+
+
+def piece(pieces: Column, start: Column, length: Column) -> Column:
+    """Substring (start from 0) of a text given in pieces."""
+    first = F.floor(start / PIECE).cast("int")
+    parts = F.slice(pieces, first + 1, F.greatest(F.floor((start + length) / PIECE).cast("int") - first, F.lit(0)) + 1)
+    return F.substring(F.array_join(parts, ""), start - first * PIECE + 1, length)
+
+
 SPAN = "struct<entity_type:string,start:int,end:int,score:double,pattern:string,text:string,ord:int>"
 
 
@@ -44,11 +85,14 @@ def match_spans(text: Column | str, java: str, group: str | None = "value") -> C
     pieces = F.zip_with(F.arrays_zip(gaps.alias("g"), found.alias("m")), values, lambda x, v: F.struct(F.length(x["g"]).alias("gap"), F.length(x["m"]).alias("len"), v.alias("v")))
     pieces = F.filter(pieces, lambda x: x["v"].isNotNull() & x["len"].isNotNull())
     empty = F.array().cast("array<struct<start:int,end:int,text:string>>")
-    step = lambda a, x: F.struct(
-        (a["at"] + x["gap"] + x["len"]).alias("at"),
-        F.concat(a["out"], F.array(F.struct((a["at"] + x["gap"] + x["len"] - F.length(x["v"])).alias("start"), (a["at"] + x["gap"] + x["len"]).alias("end"), x["v"].alias("text")))).alias("out"),
-    )
-    spans = F.aggregate(pieces, F.struct(F.lit(0).alias("at"), empty.alias("out")), step, lambda a: a["out"])
+
+
+    def step(a, x):
+        end = a["at"] + x["gap"] + x["len"]
+        span = F.struct((end - F.length(x["v"])).alias("start"), end.alias("end"), x["v"].alias("text"))
+        return F.struct(end.alias("at"), F.concat(a["out"], F.array(span)).alias("out"))
+
+    spans = F.when(F.size(found) > 0, fold(pieces, F.lit(0), empty, step))
     return F.coalesce(F.filter(spans, lambda s: s["start"] < s["end"]), empty)
 
 
@@ -97,7 +141,22 @@ def coerce_label(value: Column) -> Column:
     return F.when(v.isin("true", "1", "yes"), F.lit(True)).when(v.isin("false", "0", "no"), F.lit(False))
 
 
+#: Source registry: slug to whether it has images.
+SOURCES = {
+    "existing_repo_pii": False, "webpii": True, "local_vi_prompt_injection": False, "llmail_inject_challenge": False, "deepset_prompt_injections": False,
+    "cyberseceval3_visual_prompt_injection": True, "vihsd_topic_safety": False, "vlguard": True, "mm_safetybench": True, "unsafebench": True, "meddies_pii": False,
+}
+
+
+def known_source(slug: str) -> str:
+    if slug not in SOURCES:
+        raise ValueError(f"unknown source {slug!r}; there are {', '.join(sorted(SOURCES))}")
+    return slug
+
+
 def input_id(slug: str, index: Column) -> Column:
+    """safety_v0_<slug>_000001 and on; an unknown slug is an error."""
+    known_source(slug)
     return F.format_string(f"safety_v0_{slug}_%06d", index)
 
 

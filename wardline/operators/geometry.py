@@ -8,6 +8,8 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from ..functions.text import fold, let
+
 SEGMENT = "struct<box_id:string,text:string,start:int,end:int,box:array<double>>"
 #: Element keys that are never redacted (fixed values).
 UNREDACTED = ["PII_CARD_IMAGE", "PII_AVATAR", "PII_PO_NUMBER", "PII_JOB_CODE", "PII_PROMO_CODE"]
@@ -17,10 +19,13 @@ def full_text(segments: Column, separator: str = "\n") -> tuple[Column, Column]:
     """The segments' texts joined, and the segments with their exact offsets in it."""
     empty = F.array().cast("array<struct<text:string,start:int,end:int,box:array<double>>>")
     gap = len(separator)
-    step = lambda a, s: F.struct(
-        (a["at"] + F.length(s["text"]) + gap).alias("at"), F.concat(a["out"], F.array(F.struct(s["text"].alias("text"), a["at"].alias("start"), (a["at"] + F.length(s["text"])).alias("end"), s["box"].alias("box")))).alias("out")
-    )
-    laid = F.aggregate(segments, F.struct(F.lit(0).alias("at"), empty.alias("out")), step, lambda a: a["out"])
+
+    def step(a, s):
+        end = a["at"] + F.length(s["text"])
+        laid = F.struct(s["text"].alias("text"), a["at"].alias("start"), end.alias("end"), s["box"].alias("box"))
+        return F.struct((end + gap).alias("at"), F.concat(a["out"], F.array(laid)).alias("out"))
+
+    laid = fold(segments, F.lit(0), empty, step)
     return F.array_join(F.transform(segments, lambda s: s["text"]), separator), laid
 
 
@@ -107,14 +112,21 @@ def matching_ocr(source: Column, ocr_boxes: Column, min_ocr: float = 0.5, min_so
 
 
 def narrow(text: Column, start: Column, end: Column, wanted: Column) -> Column:
-    """struct<start, end>: where the wanted text first stands within a range (any case, flexible white space); else the range."""
-    part = F.substring(text, start + 1, end - start)
+    """struct<start, end>: where the wanted text first stands within a range (any case, flexible white space); else the range.
+
+    Offsets are code points: what stands before the hit is counted by length(), not by a pattern's own position.
+    """
     words = F.filter(F.split(F.trim(wanted), r"(?U)\s+"), lambda w: w != "")
-    rx = F.concat(F.lit("(?iuU)"), F.array_join(F.transform(words, lambda w: F.concat(F.lit(r"\Q"), F.replace(w, F.lit(r"\E"), F.lit(r"\E\\E\Q")), F.lit(r"\E"))), r"\s+"))
-    hit = F.when(F.size(words) > 0, F.regexp_instr(part, rx)).otherwise(F.lit(0))
-    size = F.length(F.regexp_extract_all(part, rx, F.lit(0))[0])
-    found = F.coalesce(hit, F.lit(0)) > 0
-    return F.struct(F.when(found, start + hit - 1).otherwise(start).alias("start"), F.when(found, start + hit - 1 + size).otherwise(end).alias("end"))
+    quoted = F.transform(words, lambda w: F.concat(F.lit(r"\Q"), F.replace(w, F.lit(r"\E"), F.lit(r"\E\\E\Q")), F.lit(r"\E")))
+    rx = F.concat(F.lit("(?iuU)"), F.array_join(quoted, r"\s+"))
+
+    def within(part: Column) -> Column:
+        hit = F.when(F.size(words) > 0, F.regexp_substr(part, rx))
+        begin = start + F.length(F.split(part, rx, 2)[0])
+        found = F.coalesce(F.length(hit), F.lit(0)) > 0
+        return F.struct(F.when(found, begin).otherwise(start).alias("start"), F.when(found, begin + F.length(hit)).otherwise(end).alias("end"))
+
+    return let(F.substring(text, start + 1, end - start), within)
 
 
 def align_source_boxes(source_boxes: Column, ocr_boxes: Column, ocr_text: Column, existing: Column) -> Column:

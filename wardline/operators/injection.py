@@ -6,11 +6,13 @@ them.  Leave-one-out never refits: a document's own counts are taken off the tot
 
 from __future__ import annotations
 
+from collections import Counter
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.patterns import BENIGN_MARKERS, RULES, TOPIC_MARKERS, Rule
-from ..functions.text import char_ngrams, match_spans
+from ..functions.text import match_spans
 from .spans import folded, holds_any
 
 WARN, BLOCK = 0.45, 0.75
@@ -75,15 +77,64 @@ def detect_rules(docs: DataFrame, text_col: str = "text", rules: list[Rule] = RU
 # ---------------------------------------------------------------- naive Bayes
 
 
-def gram_counts(docs: DataFrame, id_col: str, text_col: str = "text") -> DataFrame:
-    """Rows (id, gram, n)."""
-    return docs.select(id_col, F.explode(char_ngrams(F.col(text_col))).alias("gram")).groupBy(id_col, "gram").agg(F.count("*").alias("n"))
+LOW, HIGH = 3, 5  # lengths of character n-grams
+
+
+def text_gram_counts(text: str) -> tuple[list[str], list[int]]:
+    """Distinct character n-grams of a text (stripped, lower-cased, white space runs as one blank, one blank at each side) with counts."""
+    import numpy as np
+
+    text = " " + " ".join(text.lower().split()) + " "
+    points = np.frombuffer(text.encode("utf-32-le", "surrogatepass"), np.uint32)
+    alphabet, code = np.unique(points, return_inverse=True)
+    bits = max(1, int(len(alphabet) - 1).bit_length())
+    grams, counts = [], []
+    for n in range(LOW, HIGH + 1):
+        m = len(points) - n + 1
+        if m <= 0:
+            continue
+        if n * bits > 63:  # a text of very many different characters
+            found = Counter(text[i : i + n] for i in range(m))
+            grams += found.keys()
+            counts += found.values()
+            continue
+        key = np.zeros(m, np.int64)
+        for k in range(n):
+            key = key << bits | code[k : k + m]
+        _, first, size = np.unique(key, return_index=True, return_counts=True)
+        grams += [text[i : i + n] for i in first.tolist()]
+        counts += size.tolist()
+    return grams, counts
+
+
+def gram_counts(docs: DataFrame, id_col: str, text_col: str = "text", keep: tuple[str, ...] = ()) -> DataFrame:
+    """Rows (id, the kept columns, gram, n): counted within each text, so nothing is shuffled."""
+    import numpy as np
+    import pyarrow as pa
+
+    names = [id_col, *keep]
+    own = docs.select(*names, F.col(text_col).alias("_text"))
+
+    def run(batches):
+        for batch in batches:
+            for lo in range(0, batch.num_rows, 64):
+                part = batch.slice(lo, 64)
+                found = [text_gram_counts(t) if t is not None else ([], []) for t in part.column(len(names)).to_pylist()]
+                row = pa.array(np.repeat(np.arange(part.num_rows), [len(g) for g, _ in found]))
+                lists = [pa.array([g for x, _ in found for g in x], pa.string()), pa.array([n for _, x in found for n in x], pa.int64())]
+                yield pa.RecordBatch.from_arrays([*(part.column(i).take(row) for i in range(len(names))), *lists], [*names, "gram", "n"])
+
+    fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in own.schema.fields[:-1])
+    return own.mapInArrow(run, f"{fields}, gram string, n long")
 
 
 def fit(docs: DataFrame, text_col: str = "text", label_col: str = "label") -> DataFrame:
     """Rows (gram, n0, n1): how often each class has the gram."""
-    grams = docs.select(label_col, F.explode(char_ngrams(F.col(text_col))).alias("gram"))
-    count = lambda y: F.count(F.when(F.col(label_col) == y, 1)).alias(f"n{y}")
+    return _model(gram_counts(docs, label_col, text_col), label_col)
+
+
+def _model(grams: DataFrame, label_col: str) -> DataFrame:
+    count = lambda y: F.coalesce(F.sum(F.when(F.col(label_col) == y, F.col("n"))), F.lit(0)).alias(f"n{y}")
     return grams.groupBy("gram").agg(count(0), count(1))
 
 
@@ -114,19 +165,23 @@ def predict_leave_one_out(docs: DataFrame, id_col: str, text_col: str = "text",
     The document's grams, its one document and its class total come off the counts; a gram that only it has leaves the vocabulary.
     """
     a = smoothing
-    model = fit(docs, text_col, label_col)
+    own = gram_counts(docs, id_col, text_col, (label_col,))
+    model = _model(own, label_col)
     facts = class_facts(docs, model, label_col)
-    own = gram_counts(docs, id_col, text_col).join(docs.select(id_col, label_col), id_col).join(model, "gram")
-    per_doc = own.groupBy(id_col).agg(F.sum("n").alias("own_total"), F.count(F.when(F.col("n") == F.col("n0") + F.col("n1"), 1)).alias("own_only"))
-    full = own.join(per_doc, id_col).crossJoin(F.broadcast(facts))
     mine = lambda y: (F.col(label_col) == y).cast("long")
-    logs = lambda y: F.ln((F.col(f"n{y}") - F.col("n") * mine(y) + a) / (F.col(f"total{y}") - F.col("own_total") * mine(y) + a * F.greatest(F.lit(1), F.col("vocabulary") - F.col("own_only"))))
-    sums = full.groupBy(id_col).agg(*[F.sum(F.col("n") * logs(y)).alias(f"s{y}") for y in (0, 1)])
-    prior = lambda y: F.ln((F.col(f"docs{y}") - mine(y) + a) / (F.col("docs0") + F.col("docs1") - 1 + 2 * a))
-    return (
-        docs.select(id_col, label_col).join(sums, id_col, "left").crossJoin(F.broadcast(facts))
-        .select(id_col, label_col, _posterior(F.coalesce("s0", F.lit(0.0)) + prior(0), F.coalesce("s1", F.lit(0.0)) + prior(1)).alias("score"))
-    )
+    # the denominators are the same for all grams of a document, so one pass over its grams gives all sums
+    share = lambda y: F.sum(F.col("n") * F.ln(F.col(f"n{y}") - F.col("n") * mine(y) + a)).alias(f"s{y}")
+    only = F.count(F.when(F.col("n") == F.col("n0") + F.col("n1"), 1)).alias("own_only")
+    sums = own.join(model, "gram").groupBy(id_col, label_col).agg(share(0), share(1), F.sum("n").alias("own_total"), only)
+    zero = lambda k: F.coalesce(k, F.lit(0))
+    words = a * F.greatest(F.lit(1), F.col("vocabulary") - zero("own_only"))
+
+    def log_odds(y: int) -> Column:
+        prior = F.ln((F.col(f"docs{y}") - mine(y) + a) / (F.col("docs0") + F.col("docs1") - 1 + 2 * a))
+        return prior + zero(f"s{y}") - zero("own_total") * F.ln(F.col(f"total{y}") - zero("own_total") * mine(y) + words)
+
+    rows = docs.select(id_col, label_col).join(sums, [id_col, label_col], "left").crossJoin(F.broadcast(facts))
+    return rows.select(id_col, label_col, _posterior(log_odds(0), log_odds(1)).alias("score"))
 
 
 def evidence_grams(docs: DataFrame, model: DataFrame, facts: DataFrame, id_col: str, text_col: str = "text", top: int = 8, smoothing: float = 1.0) -> DataFrame:

@@ -73,23 +73,28 @@ def action_accuracy(rows: DataFrame, action: str = "action", expected: str = "ex
 
 
 def threshold_sweep(rows: DataFrame, step: float = 0.05, score: str = "score", label: str = "label") -> DataFrame:
-    """Confusion counts at score >= t for a grid of thresholds and every observed score (rounded to 6 places).
+    """Confusion counts at score >= t for a grid of thresholds (rounded to 4 places) and every observed score rounded to 6 places.
 
-    One pass: counts by score, then sums over all scores from t up; never thresholds times rows.
+    The scores themselves aren't rounded.  Rows are counted by rounded score first, of which there are a million and one at most, and
+    whether the score reaches it; a threshold then sums over all larger rounded scores and its own.
     """
     spark = rows.sparkSession
-    grid = spark.range(round(1 / step) + 1).select(F.round(F.col("id") * step, 6).alias("t"))
-    seen = rows.select(F.col(score).alias("t"), (F.col(label) == 1).cast("long").alias("pos"), (F.col(label) == 0).cast("long").alias("neg"))
-    points = grid.select("t", F.lit(0).alias("pos"), F.lit(0).alias("neg"), F.lit(True).alias("asked")).unionAll(
-        seen.select(F.round("t", 6), "pos", "neg", F.lit(True))
+    grid = spark.range(int(1 / step) + 1).select(F.round(F.col("id") * step, 4).alias("t"))
+    seen = rows.select(F.round(F.col(score), 6).alias("t"), (F.col(score) >= F.round(F.col(score), 6)).alias("reached"), (F.col(label) == 1).alias("pos"), (F.col(label) == 0).alias("neg"))
+    count = lambda cond: F.count(F.when(cond, 1))
+    by = seen.groupBy("t").agg(
+        count(F.col("pos")).alias("pos"), count(F.col("neg")).alias("neg"), count(F.col("pos") & ~F.col("reached")).alias("pos_below"), count(F.col("neg") & ~F.col("reached")).alias("neg_below")
     )
-    by = points.groupBy("t").agg(F.sum("pos").alias("pos"), F.sum("neg").alias("neg"))
-    down = Window.orderBy(F.desc("t")).rowsBetween(Window.unboundedPreceding, 0)  # distinct scores only
+    none = F.lit(0).cast("long")
+    by = by.unionAll(grid.select("t", none, none, none, none)).groupBy("t").agg(*[F.sum(k).alias(k) for k in ("pos", "neg", "pos_below", "neg_below")])
+    down = Window.orderBy(F.desc("t")).rowsBetween(Window.unboundedPreceding, 0)
     every = Window.partitionBy()
-    counts = by.select("t", F.sum("pos").over(down).alias("tp"), F.sum("neg").over(down).alias("fp"), F.sum("pos").over(every).alias("all_pos"), F.sum("neg").over(every).alias("all_neg"))
-    counts = counts.select(F.col("t").alias("threshold"), "tp", "fp", (F.col("all_pos") - F.col("tp")).alias("fn"), (F.col("all_neg") - F.col("fp")).alias("tn"))
+    reach = lambda k: (F.sum(k).over(down) - F.col(f"{k}_below"))
+    counts = by.select(F.col("t").alias("threshold"), reach("pos").alias("tp"), reach("neg").alias("fp"), F.sum("pos").over(every).alias("all_pos"), F.sum("neg").over(every).alias("all_neg"))
+    counts = counts.select("threshold", "tp", "fp", (F.col("all_pos") - F.col("tp")).alias("fn"), (F.col("all_neg") - F.col("fp")).alias("tn"))
     p, r = _share(F.col("tp"), F.col("tp") + F.col("fp"), 0.0), _share(F.col("tp"), F.col("tp") + F.col("fn"), 0.0)
-    return counts.select("threshold", "tp", "fp", "fn", "tn", F.round(p, 6).alias("precision"), F.round(r, 6).alias("recall"), F.round(_share(2 * p * r, p + r, 0.0), 6).alias("f1"))
+    f1 = _share(2 * p * r, p + r, 0.0)
+    return counts.select("threshold", "tp", "fp", "fn", "tn", F.round(p, 6).alias("precision"), F.round(r, 6).alias("recall"), F.round(f1, 6).alias("f1"))
 
 
 def best_threshold(sweep: DataFrame) -> DataFrame:

@@ -6,11 +6,29 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 
+#: Ranges into which distinct values are dealt before they are ranked; how good they are never changes a result.
+RANGES = 64
+
+
 def _ranked(rows: DataFrame, value: str, by: list[str]) -> DataFrame:
-    """Values with counts and how many values are no larger, by group: one row for each distinct value."""
+    """Values with counts and how many values are no larger, by group: one row for each distinct value.
+
+    Values are dealt into ranges, ranked within each range, and the ranges' totals are added: no task sorts all values of a group.
+    """
     counts = rows.where(F.col(value).isNotNull()).groupBy(*by, F.col(value).alias("v")).agg(F.count("*").alias("c"))
-    w = Window.partitionBy(*by).orderBy("v")
-    return counts.withColumn("upto", F.sum("c").over(w.rowsBetween(Window.unboundedPreceding, 0))).withColumn("n", F.sum("c").over(Window.partitionBy(*by)))
+    cuts = counts.agg(F.percentile_approx("v", F.array(*[F.lit(k / RANGES) for k in range(1, RANGES)]), F.lit(1000)).alias("q")).first()["q"] or []
+    cuts = sorted(set(cuts))
+    bucket = F.size(F.filter(F.array(*map(F.lit, cuts)), lambda q: q <= F.col("v"))) if cuts else F.lit(0)
+    counts = counts.withColumn("b", bucket)
+    totals = counts.groupBy(*by, "b").agg(F.sum("c").alias("bc"))
+    whole = Window.partitionBy(*by) if by else Window.partitionBy(F.lit(0))
+    totals = totals.withColumn("before", F.sum("bc").over(whole.orderBy("b").rowsBetween(Window.unboundedPreceding, 0)) - F.col("bc")).withColumn("n", F.sum("bc").over(whole))
+    own = Window.partitionBy(*by, "b").orderBy("v").rowsBetween(Window.unboundedPreceding, 0)
+    ranked = counts.withColumn("upto", F.sum("c").over(own)).alias("x")
+    same = F.col("x.b") == F.col("t.b")
+    for k in by:
+        same = same & F.col(f"x.{k}").eqNullSafe(F.col(f"t.{k}"))
+    return ranked.join(totals.alias("t"), same).select(*[F.col(f"x.{k}").alias(k) for k in by], "v", "c", (F.col("upto") + F.col("before")).alias("upto"), "n")
 
 
 def _at(index: Column) -> Column:
@@ -37,10 +55,15 @@ def length_buckets(rows: DataFrame, value: str, by: list[str] | None = None) ->
 
 def describe(rows: DataFrame, value: str, by: list[str]) -> DataFrame:
     """Exact percentiles with linear interpolation."""
-    points = [0.25, 0.5, 0.75, 0.9, 0.95, 0.99]
-    p = F.percentile(value, F.array(*[F.lit(x) for x in points]))
-    stats = rows.groupBy(*by).agg(F.count(value).alias("count"), F.avg(value).alias("mean"), F.min(value).alias("min"), F.max(value).alias("max"), p.alias("p"))
-    return stats.select(*by, "count", "mean", "min", "max", *[F.get("p", F.lit(i)).alias(f"p{round(x * 100)}") for i, x in enumerate(points)])
+
+    def point(share: float) -> Column:
+        at = share * (F.col("n") - 1)
+        low, high = _at(F.floor(at)), _at(F.ceil(at))
+        return low + (high - low) * F.max(at - F.floor(at))
+
+    points = [point(x).alias(f"p{round(x * 100)}") for x in (0.25, 0.5, 0.75, 0.9, 0.95, 0.99)]
+    mean = F.sum(F.col("v") * F.col("c")) / F.max("n")
+    return _ranked(rows, value, by).groupBy(*by).agg(F.max("n").alias("count"), mean.alias("mean"), F.min("v").alias("min"), F.max("v").alias("max"), *points)
 
 
 def value_share(rows: DataFrame, column: str, places: int = 4) -> DataFrame:
@@ -72,7 +95,7 @@ def label_breakdown(labels: DataFrame, mapping: DataFrame) -> DataFrame:
 
 def mapped_counts(labels: DataFrame, mapping: DataFrame, unmapped: str = "UNMAPPED") -> DataFrame:
     """Counts by entity type; labels without a type count as unmapped."""
-    return labels.join(F.broadcast(mapping), "label", "left").groupBy(F.coalesce("entity_type", F.lit(unmapped)).alias("entity_type")).agg(F.count("*").alias("n"))
+    return labels.join(mapping, "label", "left").groupBy(F.coalesce("entity_type", F.lit(unmapped)).alias("entity_type")).agg(F.count("*").alias("n"))
 
 
 def true_counts(rows: DataFrame, json: str) -> DataFrame:
@@ -107,7 +130,8 @@ def sample_ids(rows: DataFrame, id_col: str, n: int, seed: int = 42) -> DataFram
 def split(rows: DataFrame, id_col: str, shares: dict[str, float], seed: int = 42) -> DataFrame:
     """Adds part: the first names take max(1, round(n share)) rows each in hash order, the last name the rest.
 
-    The cut points are two order statistics of the hash, found by a bounded top-k; no single task sorts all rows.
+    The cut points are two order statistics of the hash, found by a bounded top-k; no single task sorts all rows.  Rows of one id
+    stay together.
     """
     names = list(shares)
     n = rows.count()
@@ -134,7 +158,7 @@ def _nth(keyed: DataFrame, id_col: str, k: int) -> tuple[str, str] | None:
         return None
     prefix = ""
     while True:
-        size = len(prefix) + 3
+        size = min(32, len(prefix) + 3)
         own = keyed.where(F.col("_h").startswith(prefix)) if prefix else keyed
         for row in own.groupBy(F.substring("_h", 1, size).alias("b")).count().orderBy("b").collect():  # 4096 rows at most
             if k < row["count"]:
@@ -143,7 +167,9 @@ def _nth(keyed: DataFrame, id_col: str, k: int) -> tuple[str, str] | None:
         else:
             return None
         prefix = row["b"]
-        if row["count"] <= 10_000 or size >= 30:
+        if size >= 32:  # rows of one id
+            return prefix, keyed.where(F.col("_h") == prefix).agg(F.min(F.col(id_col).cast("string"))).first()[0]
+        if row["count"] <= 10_000:
             found = keyed.where(F.col("_h").startswith(prefix)).select("_h", F.col(id_col).cast("string").alias("i")).orderBy("_h", "i").limit(k + 1).collect()[-1]
             return found["_h"], found["i"]
 
@@ -172,4 +198,4 @@ def in_manifest_order(rows: DataFrame, id_col: str, ids: list[str]) -> DataFrame
     """The rows that a manifest names, in its order; repeated ids count once, where they first stand."""
     first = list(dict.fromkeys(ids))
     wanted = rows.sparkSession.createDataFrame([(x, i) for i, x in enumerate(first)], f"{id_col} string, place int")
-    return rows.join(F.broadcast(wanted), id_col).orderBy("place")
+    return rows.join(wanted, id_col).orderBy("place")

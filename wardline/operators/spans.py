@@ -11,7 +11,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.patterns import BASE_BANK, RECALL_BANK, VIE_BANK, Pattern
-from ..functions.text import SPAN, match_spans, slice_text
+from ..functions.text import SPAN, fold, let, match_spans, piece, pieces_of
 
 EMPTY = f"cast(array() as array<{SPAN}>)"
 #: Case-folded literals one of which every match of a pattern holds: a cheap guard before the pattern runs.
@@ -132,36 +132,44 @@ def _ordered(spans: Column, *keys) -> Column:
 def remove_contained(spans: Column) -> Column:
     """Drops repeated spans, those of score 0, and those inside a better span of their type.
 
-    Order: score descending, start, length descending, then type and pattern place.  Containment is transitive, so looking at
-    earlier spans alone equals the sequential rule.
+    Order: score descending, start, length descending, then type and pattern place.  Containment is transitive, so a span goes if any
+    better one holds it.  The fold goes by start and falling end and carries the spans that are still open.
     """
-    ranked = _ordered(F.array_distinct(F.filter(spans, lambda s: s["score"] > 0)), lambda s: -s["score"], lambda s: s["start"], lambda s: s["start"] - s["end"], lambda s: s["entity_type"], lambda s: s["ord"])
-    numbered = F.transform(ranked, lambda s, i: F.struct(s.alias("s"), i.alias("i")))
-    inside = lambda x, y: (y["i"] < x["i"]) & (y["s"]["entity_type"] == x["s"]["entity_type"]) & (y["s"]["start"] <= x["s"]["start"]) & (y["s"]["end"] >= x["s"]["end"])
-    return F.transform(F.filter(numbered, lambda x: ~F.exists(numbered, lambda y: inside(x, y))), lambda x: x["s"])
+    better = (lambda s: -s["score"], lambda s: s["start"], lambda s: s["start"] - s["end"], lambda s: s["entity_type"], lambda s: s["ord"], lambda s: s["pattern"])
+    every = _ordered(F.filter(spans, lambda s: s["score"] > 0), *better)
+    # repeated spans are neighbours now (array_distinct compares all pairs of structs)
+    ranked = let(every, lambda xs: F.filter(xs, lambda s, i: (i == 0) | ~s.eqNullSafe(F.get(xs, i - 1))))
+    placed = F.transform(ranked, lambda s, i: F.struct(s["start"].alias("start"), (-s["end"]).alias("back"), i.alias("i"), s["end"].alias("end"), s["entity_type"].alias("kind")))
+    kind = "array<struct<start:int,back:int,i:int,end:int,kind:string>>"
+
+    def step(a, x):
+        held = F.filter(a["at"], lambda y: y["end"] > x["start"])
+        inside = F.exists(held, lambda y: (y["kind"] == x["kind"]) & (y["end"] >= x["end"]) & (y["i"] < x["i"]))
+        return F.struct(F.concat(held, F.array(x)).alias("at"), F.when(inside, a["out"]).otherwise(F.concat(a["out"], F.array(x["i"]))).alias("out"))
+
+    kept = fold(F.array_sort(placed.cast(kind)), F.array().cast(kind), F.array().cast("array<int>"), step)
+    return let(ranked, lambda r: F.transform(F.array_sort(kept), lambda i: F.get(r, i)))
 
 
 def dedupe_exact(spans: Column) -> Column:
     """Of spans with one start and end the best (the first of equals), by start and end."""
-    numbered = F.transform(spans, lambda s, i: F.struct(s.alias("s"), i.alias("i")))
-    beats = lambda x, y: (y["s"]["start"] == x["s"]["start"]) & (y["s"]["end"] == x["s"]["end"]) & ((y["s"]["score"] > x["s"]["score"]) | ((y["s"]["score"] == x["s"]["score"]) & (y["i"] < x["i"])))
-    kept = F.transform(F.filter(numbered, lambda x: ~F.exists(numbered, lambda y: beats(x, y))), lambda x: x["s"])
-    return _ordered(kept, lambda s: s["start"], lambda s: s["end"])
+    ordered = _ordered(spans, lambda s: s["start"], lambda s: s["end"], lambda s: -s["score"])
+    same = lambda x, y: (x["start"] == y["start"]) & (x["end"] == y["end"])
+    return let(ordered, lambda xs: F.filter(xs, lambda s, i: (i == 0) | ~F.coalesce(same(s, F.get(xs, i - 1)), F.lit(False))))
 
 
 def merge_overlaps(spans: Column, span_type: str = SPAN) -> Column:
     """By start and falling score: a span that overlaps the last kept one replaces it if its score is higher, else it goes."""
-    ordered = _ordered(spans, lambda s: s["start"], lambda s: -s["score"])
-    empty = F.array().cast(f"array<{span_type}>")
+    ordered = _ordered(spans, lambda s: s["start"], lambda s: -s["score"]).cast(f"array<{span_type}>")
 
-    def step(kept, s):
-        last = F.element_at(kept, -1)
-        overlaps = (F.size(kept) > 0) & (s["start"] < F.when(F.size(kept) > 0, last["end"]).otherwise(F.lit(-1)))
-        better = s["score"] > F.when(F.size(kept) > 0, last["score"]).otherwise(F.lit(0.0))
-        one = F.array(s)
-        return F.when(~overlaps, F.concat(kept, one)).when(better, F.concat(F.slice(kept, 1, F.size(kept) - 1), one)).otherwise(kept)
+    def step(a, s):
+        last = a["at"]
+        apart = last.isNull() | (s["start"] >= last["end"])
+        out = F.when(apart & last.isNotNull(), F.concat(a["out"], F.array(last))).otherwise(a["out"])
+        return F.struct(F.when(apart | (s["score"] > last["score"]), s).otherwise(last).alias("at"), out.alias("out"))
 
-    return F.aggregate(ordered, empty, step)
+    empty = F.array().cast(f"array<{span_type}>")
+    return fold(ordered, F.lit(None).cast(span_type), empty, step, lambda last, out: F.when(last.isNull(), out).otherwise(F.concat(out, F.array(last))))
 
 
 def intersection(spans: Column, others: Column) -> Column:
@@ -177,10 +185,16 @@ def anonymize(text: Column, spans: Column, guarded: bool = False) -> Column:
     if guarded:
         spans = F.filter(spans, lambda s: (s["start"] >= 0) & (s["start"] < s["end"]) & (s["end"] <= F.length(text)))
     ordered = _ordered(spans, lambda s: s["start"], lambda s: s["end"])
-    step = lambda a, s: F.when(s["start"] < a["at"], a).otherwise(
-        F.struct(s["end"].alias("at"), F.concat(a["out"], slice_text(text, a["at"], s["start"]), F.lit("<"), s["entity_type"], F.lit(">")).alias("out"))
-    )
-    return F.aggregate(ordered, F.struct(F.lit(0).alias("at"), F.lit("").alias("out")), step, lambda a: F.concat(a["out"], slice_text(text, a["at"], F.length(text))))
+
+    def put(parts: Column) -> Column:
+        def step(a, s):
+            shown = F.concat(piece(parts, a["at"], s["start"] - a["at"]), F.lit("<"), s["entity_type"], F.lit(">"))
+            return F.when(s["start"] < a["at"], a).otherwise(F.struct(s["end"].alias("at"), F.concat(a["out"], F.array(shown)).alias("out")))
+
+        tail = lambda at: piece(parts, at, F.greatest(F.length(text) - at, F.lit(0)))
+        return fold(ordered, F.lit(0), F.array().cast("array<string>"), step, lambda at, out: F.concat(F.array_join(out, ""), tail(at)))
+
+    return F.when(F.size(spans) > 0, let(pieces_of(text), put)).otherwise(text)
 
 
 def anonymize_right(text: Column, spans: Column, default: str = "MISC") -> Column:
@@ -229,8 +243,10 @@ def parse_markup(text: Column) -> tuple[Column, Column]:
     gaps, values, labels = F.split(text, rx, -1), F.regexp_extract_all(text, F.lit(rx), F.lit(1)), F.regexp_extract_all(text, F.lit(rx), F.lit(2))
     pieces = F.zip_with(F.arrays_zip(F.slice(gaps, 1, F.size(values)).alias("g"), values.alias("v")), labels, lambda x, y: F.struct(x["g"].alias("g"), x["v"].alias("v"), y.alias("label")))
     empty = F.array().cast("array<struct<start:int,end:int,label:string,value:string>>")
-    step = lambda a, x: F.struct(
-        (a["at"] + F.length(x["g"]) + F.length(x["v"])).alias("at"),
-        F.concat(a["out"], F.array(F.struct((a["at"] + F.length(x["g"])).alias("start"), (a["at"] + F.length(x["g"]) + F.length(x["v"])).alias("end"), x["label"].alias("label"), x["v"].alias("value")))).alias("out"),
-    )
-    return clean, F.aggregate(pieces, F.struct(F.lit(0).alias("at"), empty.alias("out")), step, lambda a: a["out"])
+
+    def step(a, x):
+        start = a["at"] + F.length(x["g"])
+        span = F.struct(start.alias("start"), (start + F.length(x["v"])).alias("end"), x["label"].alias("label"), x["v"].alias("value"))
+        return F.struct((start + F.length(x["v"])).alias("at"), F.concat(a["out"], F.array(span)).alias("out"))
+
+    return clean, fold(pieces, F.lit(0), empty, step)

@@ -99,15 +99,8 @@ def pii_redacted_emails(spark, sf):
     return documents(spark, sf).select("doc_id", F.md5(spans.anonymize(text, spans.find_spans("text", [EMAIL])).cast("binary")).alias("redacted_md5"))
 
 
-@query(f"SELECT doc_id, md5(regexp_replace(text, '{_EMAIL_SQL}', '<EMAIL_ADDRESS>', 'g')) AS redacted_md5 FROM documents WHERE contains(text, '@')")
-def pii_redacted_right(spark, sf):
-    docs = documents(spark, sf).where(F.contains("text", F.lit("@")))
-    return docs.select("doc_id", F.md5(spans.anonymize_right(F.col("text"), spans.find_spans("text", [EMAIL])).cast("binary")).alias("redacted_md5"))
-
-
 @query(ORACLES["pii_redacted_emails"])
-def pii_redacted_right_all(spark, sf):
-    """pii_redacted_right over all documents."""
+def pii_redacted_right(spark, sf):
     return documents(spark, sf).select("doc_id", F.md5(spans.anonymize_right(F.col("text"), spans.find_spans("text", [EMAIL])).cast("binary")).alias("redacted_md5"))
 
 
@@ -248,20 +241,11 @@ def round_robin_pick(spark, sf):
     return profile.round_robin(documents(spark, sf).select("lang", "doc_id"), "lang", "doc_id", 25)
 
 
-@query(
-    f"""WITH g AS (SELECT doc_id, toxic = 1 AS y FROM labels WHERE doc_id < 300 AND (toxic = 1 OR doc_id % 40 = 0)), w AS (SELECT doc_id, FALSE AS y FROM labels WHERE doc_id >= 300 AND toxic = 0)
-       SELECT doc_id, y, TRUE AS gold FROM g UNION ALL (SELECT doc_id, y, FALSE FROM w ORDER BY {_HASH}, doc_id LIMIT greatest(0, (SELECT count(*) FILTER (WHERE y) - count(*) FILTER (WHERE NOT y) FROM g)))"""
-)
-def balanced_eval(spark, sf):
-    lab = read(spark, sf, "labels").select("doc_id", (F.col("toxic") == 1).alias("y"))
-    return profile.balanced_set(lab.where("doc_id < 300 and (y or doc_id % 40 = 0)"), lab.where("doc_id >= 300 and not y"), "doc_id", "y")
-
-
 @query(
     f"""WITH g AS (SELECT doc_id, toxic = 1 AS y FROM labels WHERE toxic = 1 OR quality = 0), w AS (SELECT doc_id, FALSE AS y FROM labels WHERE NOT (toxic = 1 OR quality = 0))
        SELECT doc_id, y, TRUE AS gold FROM g UNION ALL (SELECT doc_id, y, FALSE FROM w ORDER BY {_HASH}, doc_id LIMIT greatest(0, (SELECT count(*) FILTER (WHERE y) - count(*) FILTER (WHERE NOT y) FROM g)))"""
 )
-def balanced_eval_all(spark, sf):
+def balanced_eval(spark, sf):
     """Gold: toxic or of low quality; weak: all others. Every labelled row is in one of the two."""
     lab = read(spark, sf, "labels").select("doc_id", (F.col("toxic") == 1).alias("y"), (F.col("quality") == 0).alias("low"))
     return profile.balanced_set(lab.where("y or low").drop("low"), lab.where("not (y or low)").drop("low"), "doc_id", "y")
@@ -280,67 +264,30 @@ def resume_missing(spark, sf):
 
 # ------------------------------------------------------------ n-gram naive Bayes
 
-_NB_DOCS = "SELECT d.doc_id, toxic AS label, ' ' || trim(regexp_replace(lower(left(text, 160)), '\\s+', ' ', 'g')) || ' ' AS t FROM documents d JOIN labels l ON l.doc_id = d.doc_id"
-_NB_GRAMS = f"SELECT doc_id, label, gram, count(*) AS n FROM (SELECT doc_id, label, substr(t, i, k) AS gram FROM (SELECT *, unnest(range(1, length(t) - k + 2)) AS i FROM ({_NB_DOCS}), (VALUES (3), (4), (5)) AS ks(k))) GROUP BY 1, 2, 3"
-_NB = f"""WITH docs AS ({_NB_DOCS}), own AS ({_NB_GRAMS}), model AS (SELECT gram, coalesce(sum(n) FILTER (WHERE label = 0), 0) AS n0, coalesce(sum(n) FILTER (WHERE label = 1), 0) AS n1 FROM own GROUP BY 1),
- facts AS (SELECT (SELECT count(*) FROM docs WHERE label = 0) AS docs0, (SELECT count(*) FROM docs WHERE label = 1) AS docs1, (SELECT sum(n0) FROM model) AS total0, (SELECT sum(n1) FROM model) AS total1, (SELECT count(*) FROM model) AS v)"""
+# DuckDB takes minutes over whole texts, so tests hold these against plain Python
 
 
 def _nb_docs(spark, sf):
-    return documents(spark, sf).select("doc_id", F.substring("text", 1, 160).alias("text")).join(read(spark, sf, "labels").select("doc_id", F.col("toxic").alias("label")), "doc_id")
+    return documents(spark, sf).select("doc_id", "text").join(read(spark, sf, "labels").select("doc_id", F.col("toxic").alias("label")), "doc_id")
 
 
-@query(f"{_NB} SELECT gram, CAST(n0 AS BIGINT) AS n0, CAST(n1 AS BIGINT) AS n1 FROM model")
+@query()
 def nb_fit_counts(spark, sf):
     return injection.fit(_nb_docs(spark, sf))
 
 
-@query(
-    f"""{_NB} SELECT o.doc_id, round(1 / (1 + exp(ln((docs0 + 1.0) / (docs0 + docs1 + 2)) + sum(n * ln((n0 + 1.0) / (total0 + v))) - ln((docs1 + 1.0) / (docs0 + docs1 + 2)) - sum(n * ln((n1 + 1.0) / (total1 + v))))), 4) AS score
-        FROM own o JOIN model m ON m.gram = o.gram, facts GROUP BY o.doc_id, docs0, docs1"""
-)
+@query()
 def nb_predict(spark, sf):
     docs = _nb_docs(spark, sf)
     model = injection.fit(docs)
     return injection.predict(docs, model, injection.class_facts(docs, model), "doc_id").select("doc_id", F.round("score", 4).alias("score"))
 
 
-@query(
-    f"""{_NB}, mine AS (SELECT o.doc_id, sum(n) AS own_total, count(*) FILTER (WHERE n = n0 + n1) AS own_only FROM own o JOIN model m ON m.gram = o.gram GROUP BY 1)
-        SELECT o.doc_id, o.label, round(1 / (1 + exp(
-          ln((docs0 - (o.label = 0)::INT + 1.0) / (docs0 + docs1 + 1)) + sum(n * ln((n0 - n * (o.label = 0)::INT + 1.0) / (total0 - own_total * (o.label = 0)::INT + v - own_only)))
-          - ln((docs1 - (o.label = 1)::INT + 1.0) / (docs0 + docs1 + 1)) - sum(n * ln((n1 - n * (o.label = 1)::INT + 1.0) / (total1 - own_total * (o.label = 1)::INT + v - own_only))))), 4) AS score
-        FROM own o JOIN model m ON m.gram = o.gram JOIN mine i ON i.doc_id = o.doc_id, facts GROUP BY o.doc_id, o.label, docs0, docs1"""
-)
+@query()
 def nb_leave_one_out(spark, sf):
     return injection.predict_leave_one_out(_nb_docs(spark, sf), "doc_id").select("doc_id", "label", F.round("score", 4).alias("score"))
 
 
-# the same over whole texts: the oracles above, which stay as they are, end at 160 characters; DuckDB takes minutes over
-# whole texts, so tests hold these against plain Python
-
-
-def _nb_whole_docs(spark, sf):
-    return documents(spark, sf).select("doc_id", "text").join(read(spark, sf, "labels").select("doc_id", F.col("toxic").alias("label")), "doc_id")
-
-
-@query()
-def nb_fit_counts_whole(spark, sf):
-    return injection.fit(_nb_whole_docs(spark, sf))
-
-
-@query()
-def nb_predict_whole(spark, sf):
-    docs = _nb_whole_docs(spark, sf)
-    model = injection.fit(docs)
-    return injection.predict(docs, model, injection.class_facts(docs, model), "doc_id").select("doc_id", F.round("score", 4).alias("score"))
-
-
-@query()
-def nb_leave_one_out_whole(spark, sf):
-    return injection.predict_leave_one_out(_nb_whole_docs(spark, sf), "doc_id").select("doc_id", "label", F.round("score", 4).alias("score"))
-
-
 # ------------------------------------------------------------ confusion and sweeps
 
 _CELLS = "count(*) FILTER (WHERE y AND p) AS tp, count(*) FILTER (WHERE NOT y AND p) AS fp, count(*) FILTER (WHERE y AND NOT p) AS fn, count(*) FILTER (WHERE NOT y AND NOT p) AS tn"
@@ -359,14 +306,14 @@ def pi_action_accuracy(spark, sf):
     return metrics.action_accuracy(rows)
 
 
-_SCORED = "(SELECT round((doc_id * 37 % 101) / 100, 6) AS s, toxic AS y FROM labels)"
+_SCORED = "(SELECT (doc_id * 37 % 100003) / 100003.0::DOUBLE AS s, toxic AS y FROM labels)"
 _SWEEP = f"""SELECT t AS threshold, tp, fp, fn, tn, {_RATES} FROM (SELECT t, count(*) FILTER (WHERE y = 1 AND s >= t) AS tp, count(*) FILTER (WHERE y = 0 AND s >= t) AS fp, count(*) FILTER (WHERE y = 1 AND s < t) AS fn, count(*) FILTER (WHERE y = 0 AND s < t) AS tn
-  FROM (SELECT round(i * 0.05, 6)::DOUBLE AS t FROM range(0, 21) r(i) UNION SELECT s FROM {_SCORED}) ts, {_SCORED} GROUP BY t)"""
+  FROM (SELECT round(i * 0.06, 4)::DOUBLE AS t FROM range(0, 17) r(i) UNION SELECT round(s, 6) FROM {_SCORED}) ts, {_SCORED} GROUP BY t)"""
 
 
 def _sweep(spark, sf):
-    rows = read(spark, sf, "labels").select(F.round((F.col("doc_id") * 37 % 101) / 100, 6).alias("score"), F.col("toxic").alias("label"))
-    return metrics.threshold_sweep(rows)
+    rows = read(spark, sf, "labels").select((F.col("doc_id") * 37 % 100003 / F.lit(100003.0)).alias("score"), F.col("toxic").alias("label"))
+    return metrics.threshold_sweep(rows, 0.06)
 
 
 @query(_SWEEP)
@@ -419,28 +366,12 @@ def latest_override(spark, sf):
     return review.latest(read(spark, sf, "events").select("user_id", "event_id", "event_type"), "user_id", "event_id")
 
 
-@query(
-    """SELECT doc_id, coalesce(h.event_type, a.event_type, CASE WHEN toxic = 1 THEN 'reject' END) AS action, CASE WHEN h.event_type IS NOT NULL THEN 'human' WHEN a.event_type IS NOT NULL THEN 'api' WHEN toxic = 1 THEN 'source' END AS source
-       FROM labels LEFT JOIN (SELECT user_id, arg_max(event_type, event_id) AS event_type FROM events WHERE user_id % 2 = 0 GROUP BY 1) a ON a.user_id = doc_id
-       LEFT JOIN (SELECT user_id, arg_max(event_type, event_id) AS event_type FROM events WHERE user_id % 3 = 0 GROUP BY 1) h ON h.user_id = doc_id"""
-)
-def layer_merge(spark, sf):
-    null = [F.lit(None).cast("boolean").alias(r) for r in review.RISKS]
-    action = F.when(F.col("toxic") == 1, "reject")
-    rows = read(spark, sf, "labels").select(
-        F.col("doc_id").alias("input_id"), F.struct(action.alias("action"), *null).alias("labels"), F.struct(F.when(action.isNotNull(), "source").alias("action"), *[F.lit(None).cast("string").alias(r) for r in review.RISKS]).alias("label_source"), F.lit(None).cast("string").alias("review")
-    )
-    records = read(spark, sf, "events").select(F.col("user_id").alias("input_id"), F.struct(F.col("event_type").alias("action"), *null).alias("labels"), F.col("event_id").alias("seq"))
-    done = review.layered(rows, records.where("input_id % 2 = 0"), records.where("input_id % 3 = 0"))
-    return done.select(F.col("input_id").alias("doc_id"), "labels.action", F.col("label_source.action").alias("source"))
-
-
 @query(
     """SELECT doc_id, coalesce(h.event_type, a.event_type, CASE WHEN toxic = 1 THEN 'reject' END) AS action, CASE WHEN h.event_type IS NOT NULL THEN 'human' WHEN a.event_type IS NOT NULL THEN 'api' WHEN toxic = 1 THEN 'source' END AS source
        FROM labels LEFT JOIN (SELECT user_id, arg_max(event_type, event_id) AS event_type FROM events WHERE event_type NOT IN ('click', 'purchase') GROUP BY 1) a ON a.user_id = doc_id
        LEFT JOIN (SELECT user_id, arg_max(event_type, event_id) AS event_type FROM events WHERE event_type IN ('click', 'purchase') GROUP BY 1) h ON h.user_id = doc_id"""
 )
-def layer_merge_all(spark, sf):
+def layer_merge(spark, sf):
     """Events of all ids: clicks and purchases are the human layer, all other types the API's."""
     null = [F.lit(None).cast("boolean").alias(r) for r in review.RISKS]
     action = F.when(F.col("toxic") == 1, "reject")

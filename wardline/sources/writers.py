@@ -5,13 +5,9 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..functions.text import SOURCES
 from ..operators.canonical import quarantine
 
-#: Source registry: slug to (has images).
-SOURCES = {
-    "existing_repo_pii": False, "webpii": True, "local_vi_prompt_injection": False, "llmail_inject_challenge": False, "deepset_prompt_injections": False, "cyberseceval3_visual_prompt_injection": True,
-    "vihsd_topic_safety": False, "vlguard": True, "mm_safetybench": True, "unsafebench": True, "meddies_pii": False,
-}
 STAGES = ["raw", "converted", "augmented", "ocr", "redacted", "weak", "review/api_labels", "review/queue", "review/overrides", "final"]
 
 
