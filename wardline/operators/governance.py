@@ -24,6 +24,38 @@ def default_permissions(spark) -> DataFrame:
     return spark.createDataFrame([(t, r, [], a, d) for t, r, a, d in DEFAULTS], PERMISSION)
 
 
+_ENTRY = "struct<tool_name:string,required_roles:array<string>,required_permissions:array<string>,action:string,description:string>"
+#: Where a configuration is looked for, in order, if none is named.
+CONFIG_PLACES = ["config/permissions.json", ".permissions.json"]
+
+
+def permissions_json(permissions: DataFrame) -> DataFrame:
+    """The table of tools (a configuration's size) as one JSON object by tool name: a row (value)."""
+    entry = F.struct("tool_name", "required_roles", "required_permissions", "action", "description")
+    listed = F.map_from_entries(F.array_sort(F.collect_list(F.struct(F.col("tool_name").alias("key"), entry.alias("value")))))
+    return permissions.agg(F.to_json(listed).alias("value"))
+
+
+def permissions_from_json(documents: DataFrame, column: str = "value") -> DataFrame:
+    """The table of tools of a JSON object; absent fields: the key as name, no roles and permissions, allow, no description."""
+    entries = documents.select(F.explode(F.from_json(column, f"map<string,{_ENTRY}>")).alias("key", "p"))
+    none = F.array().cast("array<string>")
+    return entries.select(
+        F.coalesce("p.tool_name", "key").alias("tool_name"), F.coalesce("p.required_roles", none).alias("required_roles"), F.coalesce("p.required_permissions", none).alias("required_permissions"),
+        F.coalesce("p.action", F.lit("allow")).alias("action"), F.coalesce("p.description", F.lit("")).alias("description"),
+    )
+
+
+def load_permissions(spark, path: str | None = None) -> DataFrame:
+    """The configured table: of the named file, else of the first place that has one, else the default."""
+    import os
+
+    for place in [path] if path else CONFIG_PLACES:
+        if os.path.exists(place):
+            return permissions_from_json(spark.read.text(place, wholetext=True))
+    return default_permissions(spark)
+
+
 def user_context(headers: Column, force_deny: bool = False) -> Column:
     """struct<user_id, roles, permissions> of request headers (map): without a user id anonymous, with the role user unless denied."""
     parts = lambda k: F.filter(F.transform(F.split(F.coalesce(headers[k], F.lit("")), ","), lambda x: F.trim(x)), lambda x: x != "")

@@ -127,6 +127,49 @@ def sample_ids(rows: DataFrame, id_col: str, n: int, seed: int = 42) -> DataFram
     return rows.select(id_col).orderBy(hash_order(id_col, seed), id_col).limit(n)
 
 
+#: Named sample sizes (fixed values).
+TIERS = {"train_dev_5k": 5000, "llm_smoke_50": 50, "llm_iter_300": 300, "llm_ab_500": 500, "llm_final_1000": 1000}
+
+
+def parse_tiers(specs: list[str]) -> dict[str, int]:
+    """Sizes of samples given as NAME:SIZE; without any, the fixed tiers."""
+    out = {}
+    for spec in specs:
+        name, _, size = (x.strip() for x in spec.partition(":"))
+        if not name or not size.isdigit() or int(size) <= 0:
+            raise ValueError(f"a sample is NAME:SIZE with a positive size, not {spec!r}")
+        out[name] = int(size)
+    return out or dict(TIERS)
+
+
+def tiered_samples(rows: DataFrame, id_col: str, tiers: dict[str, int], seed: int = 42) -> DataFrame:
+    """Rows (tier, id): nested samples, as all take the first ids in one hash order; the table is sorted once for the largest."""
+    most = sample_ids(rows, id_col, max(tiers.values()), seed)
+    place = F.row_number().over(Window.partitionBy(F.lit(0)).orderBy(hash_order(id_col, seed), id_col))  # over the largest sample only
+    sizes = F.explode(F.array(*[F.struct(F.lit(k).alias("tier"), F.lit(v).alias("size")) for k, v in tiers.items()])).alias("t")
+    return most.withColumn("place", place).select(id_col, "place", sizes).where("place <= t.size").select("t.tier", id_col)
+
+
+def capped_mix(rows: DataFrame, source: str, id_col: str, caps: dict[str, int], most: int = 10_000, group: str | None = None, shares: dict[str, float] | None = None, seed: int = 42) -> DataFrame:
+    """A mix of sources under caps (sources without one give nothing) and `most` rows in all, with a split by group that keeps a
+    group's rows together: the hash of the group falls into the shares' ranges."""
+    limit = F.create_map(*[F.lit(x) for kv in caps.items() for x in kv])[F.col(source)]
+    turn = F.row_number().over(Window.partitionBy(source).orderBy(hash_order(id_col, seed), id_col))
+    picked = rows.withColumn("_n", turn).where(F.col("_n") <= limit).orderBy("_n", hash_order(id_col, seed), id_col).limit(most).drop("_n")
+    at = F.conv(F.substring(hash_order(group or id_col, seed), 1, 8), 16, 10).cast("long") / (1 << 32)
+    part, below = F.lit(None).cast("string"), 0.0
+    for name, share in (shares or {"train": 0.8, "val": 0.1, "test": 0.1}).items():
+        below += share
+        part = F.coalesce(part, F.when(at < below, F.lit(name)))
+    return picked.withColumn("part", F.coalesce(part, F.lit(name)))
+
+
+def unique_first(rows: DataFrame, key: str, order: str) -> DataFrame:
+    """Of the rows of each key the first."""
+    rest = [c for c in rows.columns if c != key]
+    return rows.groupBy(key).agg(F.min_by(F.struct(*rest), F.struct(order, *[c for c in rest if c != order and c in rows.columns])).alias("_r")).select(key, "_r.*").select(*rows.columns)
+
+
 def split(rows: DataFrame, id_col: str, shares: dict[str, float], seed: int = 42) -> DataFrame:
     """Adds part: the first names take max(1, round(n share)) rows each in hash order, the last name the rest.
 

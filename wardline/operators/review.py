@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .canonical import ACTIONS, LABELS, RISKS
+from .spans import anonymize_right
 
 VISUAL = ["sexual", "violence", "blood_gore"]
 
@@ -73,6 +74,18 @@ def edit_spans(spans: Column, deleted: Column, added: Column) -> Column:
     return F.concat(F.filter(spans, lambda s: ~F.exists(deleted, lambda d: same(s, d))), added)
 
 
+def edited(text: Column, spans: Column, deleted: Column, added: Column, sanitized: Column) -> Column:
+    """struct<spans, sanitized, errors>: spans after edits; the text is sanitized anew where they changed.
+
+    An added span has to lie in the text (0 <= start < end <= length) and have a type; one that doesn't is left out and named in errors.
+    """
+    good = lambda s: F.coalesce((s["start"] >= 0) & (s["start"] < s["end"]) & (s["end"] <= F.length(text)) & (F.coalesce(s["entity_type"], F.lit("")) != ""), F.lit(False))
+    after = edit_spans(spans, deleted, F.filter(added, good))
+    errors = F.transform(F.filter(added, lambda s: ~good(s)), lambda s: F.format_string("bad span %s [%d, %d)", F.coalesce(s["entity_type"], F.lit("none")), s["start"], s["end"]))
+    changed = (F.size(deleted) > 0) | (F.size(F.filter(added, good)) > 0)
+    return F.struct(after.alias("spans"), F.when(changed, anonymize_right(text, after)).otherwise(sanitized).alias("sanitized"), errors.alias("errors"))
+
+
 def is_pii_gap() -> Column:
     """Spans of personal data without the label saying so."""
     return (F.size("detections.pii_spans") > 0) & ~F.coalesce(F.col("labels.pii_visible"), F.lit(False))
@@ -127,8 +140,25 @@ def render_router_text(package: Column, modality: Column) -> Column:
     return F.concat_ws("\n", line("input_id", package["input_id"]), F.concat(F.lit("modalities: "), F.array_join(kinds, ", ")), line("text", package["text"]), line("ocr_text", package["ocr_text"]), line("pii_spans", listed(package["pii"])), line("prompt_injection_spans", listed(package["attacks"])), line("redactions", package["redactions"].cast("string")))
 
 
+# States, names and words of errors that may pass.
+RETRY_STATUS = (429, 500, 502, 503, 504)
+RETRY_NAMES = ("RateLimitError", "InternalServerError", "APITimeoutError")
+RETRY_WORDS = ("rate limit", "resource_exhausted", "overloaded", "unavailable", "high demand", "try again", "timeout", "timed out")
+
+
+def may_pass(error: Exception) -> bool:
+    """Whether an error of a service is worth another try."""
+    status = getattr(error, "status_code", None) or getattr(error, "code", None)
+    text = str(error).lower()
+    return type(error).__name__ in RETRY_NAMES or status in RETRY_STATUS or any(str(s) in text for s in RETRY_STATUS) or any(w in text for w in RETRY_WORDS)
+
+
 def route(rows: DataFrame, call, text_col: str = "payload", retries: int = 5, sleep=None, fallback=None) -> DataFrame:
-    """Adds router_answer by an injected callable (text -> text) in Arrow batches, with retries and one fallback; failures give null."""
+    """Adds router_answer by an injected callable (text -> text) in Arrow batches; failures give null.
+
+    Errors that may pass are tried again (after 8, 16, 32 seconds and so on, 60 at most), then the fallback once; other errors give
+    null at once.
+    """
     import time
 
     import pyarrow as pa
@@ -139,7 +169,9 @@ def route(rows: DataFrame, call, text_col: str = "payload", retries: int = 5, sl
         for k in range(retries):
             try:
                 return call(text)
-            except Exception:  # noqa: BLE001  the callable's own errors decide nothing here
+            except Exception as error:  # noqa: BLE001  of the callable
+                if not may_pass(error):
+                    return None
                 if k + 1 < retries:
                     pause(min(60, 8 * 2**k))
         try:

@@ -2,12 +2,12 @@
 
 from __future__ import annotations
 
-from . import fixtures, tables
+from . import cases, fixtures, stages, tables
 
 
 def queries() -> dict:
-    return tables.QUERIES | fixtures.QUERIES
+    return tables.QUERIES | stages.QUERIES | fixtures.QUERIES | cases.QUERIES
 
 
 def oracle_sql() -> dict[str, str]:
-    return tables.ORACLES | fixtures.ORACLES
+    return tables.ORACLES | stages.ORACLES | fixtures.ORACLES | cases.ORACLES

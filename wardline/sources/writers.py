@@ -2,20 +2,69 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..functions.text import SOURCES
+from ..functions.text import known_source
 from ..operators.canonical import quarantine
 
-STAGES = ["raw", "converted", "augmented", "ocr", "redacted", "weak", "review/api_labels", "review/queue", "review/overrides", "final"]
+# Kinds of folders of one source, and of folders that all sources share.
+SOURCE_KINDS = ["raw", "samples", "inspection", "converted", "rendered", "ocr", "redacted", "augmented", "weak", "verified"]
+SHARED_KINDS = ["review/queue", "review/human_overrides", "review/api_labels", "final", "manifests", "eval"]
+#: Names of the files of stages within a source's folder.
+STAGE_FILES = {"converted": "source_canonical.jsonl", "ocr": "ocr.jsonl", "redacted": "redacted.jsonl", "augmented": "augmented.jsonl", "weak": "weak_labeled.jsonl"}
+
+
+def source_dir(root: str, kind: str, slug: str) -> str:
+    if kind not in SOURCE_KINDS:
+        raise ValueError(f"unknown kind {kind!r}; there are {', '.join(SOURCE_KINDS)}")
+    return f"{root}/{kind}/{known_source(slug)}"
+
+
+def shared_dir(root: str, kind: str, name: str = "") -> str:
+    if kind not in SHARED_KINDS:
+        raise ValueError(f"unknown kind {kind!r}; there are {', '.join(SHARED_KINDS)}")
+    return f"{root}/{kind}" + (f"/{name}" if name else "")
+
+
+def stage_file(root: str, stage: str, slug: str) -> str:
+    """A stage's rows of a source."""
+    return f"{source_dir(root, stage, slug)}/{STAGE_FILES[stage]}"
+
+
+def review_file(root: str, kind: str, slug: str) -> str:
+    """Queue or overrides of a source."""
+    return f"{shared_dir(root, f'review/{kind}')}/{known_source(slug)}.jsonl"
 
 
 def stage_path(root: str, stage: str, slug: str) -> str:
-    """Where a stage's rows of a source lie; stage and slug are partition values, so that readers prune by them."""
-    if stage not in STAGES or slug not in SOURCES:
-        raise ValueError(f"unknown stage or source: {stage}, {slug}")
-    return f"{root}/stage={stage.replace('/', '_')}/slug={slug}"
+    """Where a stage's rows of a source lie in a partitioned table; stage and slug are partition values, so that readers prune by them."""
+    if stage not in (*SOURCE_KINDS, *SHARED_KINDS):
+        raise ValueError(f"unknown stage {stage!r}; there are {', '.join((*SOURCE_KINDS, *SHARED_KINDS))}")
+    return f"{root}/stage={stage.replace('/', '_')}/slug={known_source(slug)}"
+
+
+def run_id(at: Column | None = None) -> Column:
+    """Id of a run by its time in UTC: 20240131T235959Z."""
+    return F.date_format(F.to_utc_timestamp(F.current_timestamp() if at is None else at, F.current_timezone()), "yyyyMMdd'T'HHmmss'Z'")
+
+
+def write_metrics(document: DataFrame, root: str, pipeline: str, run: str) -> str:
+    """metrics.json of a run (one row) under root/pipeline/run; an earlier one is replaced."""
+    path = f"{root}/{pipeline}/{run}/metrics.json"
+    document.coalesce(1).write.mode("overwrite").json(path)
+    return path
+
+
+def request_record(rows: DataFrame, kind: str, with_text: bool = False) -> DataFrame:
+    """Records of served requests (id, at, user_id, text, action): the text only if asked for, its length always."""
+    text = F.col("text") if with_text else F.lit(None).cast("string")
+    return rows.select("id", F.lit(kind).alias("kind"), F.date_format("at", "yyyy-MM-dd'T'HH:mm:ss'Z'").alias("at"), "user_id", F.length("text").alias("text_length"), text.alias("text"), "action")
+
+
+def clear_log(spark: SparkSession, path: str, schema: str) -> None:
+    """Leaves an empty log."""
+    spark.createDataFrame([], schema).write.mode("overwrite").json(path)
 
 
 def prediction_log(rows: DataFrame, run_id: str, pipeline: str, language: str = "vi", threshold: float = 0.0, with_text: bool = False, with_values: bool = True) -> DataFrame:

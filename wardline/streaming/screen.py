@@ -7,7 +7,8 @@ from pyspark.sql import functions as F
 
 from ..functions.patterns import Pattern
 from ..operators.injection import detect_rules
-from ..operators.spans import PIPELINES, anonymize, find_spans, find_spans_arrow, remove_contained
+from ..operators.pipelines import get_pipeline
+from ..operators.spans import anonymize, find_spans, find_spans_arrow, remove_contained
 
 
 def screen(docs: DataFrame, id_col: str, text_col: str = "text", bank: list[Pattern] | None = None, threshold: float = 0.0) -> DataFrame:
@@ -15,7 +16,7 @@ def screen(docs: DataFrame, id_col: str, text_col: str = "text", bank: list[Patt
 
     Whole banks run in one pass over Arrow batches (measured faster than three native passes a pattern); small ones natively.
     """
-    bank = PIPELINES["regex_only"] if bank is None else bank
+    bank = list(get_pipeline("regex_only").bank) if bank is None else bank
     found = find_spans_arrow(docs, bank, text_col) if len(bank) > 4 else docs.withColumn("spans", find_spans(F.coalesce(F.col(text_col), F.lit("")), bank))
     found = found.withColumn("spans", F.filter(remove_contained(F.col("spans")), lambda s: s["score"] >= threshold))
     found = detect_rules(found, text_col)
