@@ -15,8 +15,12 @@ No step holds more than a block or a shard, whose number grows with the input; a
 dealt over several shards by its successors.  Each successor is in one shard, so the shards' own counts sum to the exact T(v),
 which goes back to the blocks.  Nothing is collected or broadcast but three sums and these T(v), one number for HOT_CONTEXT tokens at most.
 
-A null text counts as empty: it has only the end token.  Rows with equal ids and texts give equal rows.  Without training rows
-every token has c = 0 and N = V = 0.  An empty table gives no rows.  Further columns are ignored.
+A block sends a message only to the shards that its pairs fall into, so the number of messages is at most the number of distinct pairs
+of all blocks, whatever the number of shards.  Words are known by 64-bit hashes; a successor's key is its word's number, which is exact.
+
+A null text counts as empty: it has only the end token.  Rows with equal ids and texts give equal rows, a null id stays null.  Without
+training rows every token has c = 0 and N = V = 0.  An empty table gives no rows.  Further columns are ignored, also those whose names
+differ only in case.
 """
 
 from __future__ import annotations
@@ -43,7 +47,6 @@ BLOCK_BYTES = 12 << 20
 DECADES = 9.0
 _U = np.uint64
 END, START = _U(0x454E44), _U(0x535441)
-_KEY = _U((1 << 40) - 1)
 
 MESSAGE = "kind int, shard int, block int, data binary, more binary, tokens long, types long"
 _FIELDS = [("kind", pa.int32()), ("shard", pa.int32()), ("block", pa.int32()), ("data", pa.binary()), ("more", pa.binary()), ("tokens", pa.int64()), ("types", pa.int64())]
@@ -88,12 +91,9 @@ def _unigrams(h: np.ndarray, to: np.ndarray, train: np.ndarray) -> tuple[np.ndar
 def _ask_unigrams(shards: int):
     def ask(left: pa.Table) -> pa.Table:
         words, counts = _unigrams(*_tokens(left))
+        counts, block = counts.astype(np.uint32), left["block"][0].as_py()
         shard = (words % _U(shards)).astype(np.int32)
-        rows = []
-        for s in range(shards):
-            if (own := shard == s).any():
-                rows.append((1, s, left["block"][0].as_py(), c.pack(words[own]), c.pack(counts[own].astype(np.uint32)), None, None))
-        return _messages(rows)
+        return _messages([(1, s, block, c.pack(words[own]), c.pack(counts[own]), None, None) for s, own in c.by_shard(shard)])
 
     return ask
 
@@ -107,7 +107,10 @@ def _answer_unigrams(group: pa.Table) -> pa.Table:
         total[np.searchsorted(words, k)] += np.frombuffer(n, np.uint32)
     real = total[(words != START) & (total > 0)]
     shard = group["shard"][0].as_py()
-    rows = [(1, shard, b, c.pack(total[np.searchsorted(words, k)]), None, None, None) for b, k in zip(group["block"].to_pylist(), keys, strict=True)]
+    rows = []
+    for b, k in zip(group["block"].to_pylist(), keys, strict=True):
+        at = np.searchsorted(words, k)  # a word's place in its shard is its number there
+        rows.append((1, shard, b, c.pack(total[at]), c.pack(at.astype(np.uint32)), None, None))
     return _messages([*rows, (2, shard, None, None, None, int(real.sum()), len(real))])
 
 
@@ -118,9 +121,11 @@ class _Block:
         h, self.to, self.train = _tokens(left)
         self.words, self.own = _unigrams(h, self.to, self.train)
         shard = (self.words % _U(shards)).astype(np.int32)
-        self.counts = np.zeros(len(self.words), np.int64)
-        for s, x in zip(answers["shard"].to_pylist(), answers["data"].to_pylist(), strict=True):
-            self.counts[shard == s] = np.frombuffer(x, np.int64)
+        self.counts, self.ids = np.zeros(len(self.words), np.int64), np.zeros(len(self.words), _U)
+        own = dict(c.by_shard(shard))
+        for s, x, at in zip(*(answers[k].to_pylist() for k in ("shard", "data", "more")), strict=True):
+            self.counts[own[s]] = np.frombuffer(x, np.int64)
+            self.ids[own[s]] = np.frombuffer(at, np.uint32).astype(_U) * _U(shards) + _U(s)
         self.word = np.searchsorted(self.words, h)
         before = np.empty_like(self.word)
         before[1:] = self.word[:-1]
@@ -156,33 +161,30 @@ def _ask_pairs(shards: int, hot: int):
         seen, n = c.uniques_counts(b.pair[learn])
         own = np.zeros(len(b.pairs), np.int64)
         own[np.searchsorted(b.pairs, seen)] = n
-        order = np.argsort(b.shard, kind="stable")
-        edges = np.searchsorted(b.shard[order], np.arange(shards + 1))
-        rows = []
-        for s in range(shards):
-            at = order[edges[s] : edges[s + 1]]
-            if not len(at):
-                continue
+        rows, block = [], left["block"][0].as_py()
+        for s, at in c.by_shard(b.shard):
             first = b.first[at]
             start = np.flatnonzero(np.concatenate([[True], first[1:] != first[:-1]]))
-            ctx = first[start]
+            ctx, hot_ = first[start], b.hot[at[start]]
             succ = np.diff(np.append(start, len(at)))
-            key = b.words[b.second[at]] & _KEY
-            head = np.array([len(ctx), len(at)], np.int64)
-            data = c.pack(head) + c.pack(b.words[ctx]) + c.pack(b.counts[ctx].astype(np.float32)) + c.pack(b.hot[at[start]].astype(np.uint8)) + c.pack(key.astype(np.uint32)) + c.pack((key >> _U(32)).astype(np.uint8))
-            rows.append((1, s, left["block"][0].as_py(), data, _small(succ) + _small(own[at]), None, None))
+            key = b.ids[b.second[at]]
+            parts = [np.array([len(ctx), len(at), hot_.sum()], np.int64), b.words[ctx], b.counts[ctx[hot_]], hot_.astype(np.uint8), key.astype(np.uint32), (key >> _U(32)).astype(np.uint8)]
+            rows.append((1, s, block, b"".join(map(c.pack, parts)), _small(succ) + _small(own[at]), None, None))
         return _messages(rows)
 
     return ask
 
 
 def _unpack(data: bytes, more: bytes) -> tuple[np.ndarray, ...]:
-    n_ctx, n = np.frombuffer(data, np.int64, 2).tolist()
-    at, out = 16, []
-    for kind, size in ((_U, n_ctx), (np.float32, n_ctx), (np.uint8, n_ctx), (np.uint32, n), (np.uint8, n)):
+    """Contexts, their counts (of hot ones; 0 of others), which are hot, their numbers of successors, successors' keys and own counts."""
+    n_ctx, n, n_hot = np.frombuffer(data, np.int64, 3).tolist()
+    at, out = 24, []
+    for kind, size in ((_U, n_ctx), (np.int64, n_hot), (np.uint8, n_ctx), (np.uint32, n), (np.uint8, n)):
         out.append(np.frombuffer(data, kind, size, at))
         at += size * np.dtype(kind).itemsize
-    ctx, count, hot, low, high = out
+    ctx, told, hot, low, high = out
+    count = np.zeros(n_ctx, np.int64)
+    count[hot > 0] = told
     succ = _unsmall(more, n_ctx)
     own = _unsmall(more[n_ctx + 4 * int((succ >= 255).sum()) :], n)
     return ctx, count, hot, succ, low.astype(_U) | high.astype(_U) << _U(32), own
@@ -257,7 +259,9 @@ def _answer_pairs(decades: float):
         handle, path = tempfile.mkstemp(prefix="trie-")
         os.close(handle)
         try:
-            trie, types = build_trie(path, ctx, total.astype(np.float64), rank[learnt], key[learnt], n[learnt], decades)
+            # all successors of a context that isn't hot are here, so its count is theirs
+            total = np.where(hot > 0, total, np.bincount(rank[learnt], n[learnt], len(ctx)))
+            trie, types = build_trie(path, ctx, total, rank[learnt], key[learnt], n[learnt], decades)
             del every, order, rank, key, n
             shard = group["shard"][0].as_py()
             rows = [(4, shard, None, None, None, v, t) for v, t in zip(ctx[hot > 0].view(np.int64).tolist(), types[hot > 0].tolist(), strict=True)]
@@ -286,10 +290,9 @@ def _finish(shards: int, hot: int, n_tokens: int, n_types: int, hot_types: dict[
         b = _Block(left, right.take(pa.array(np.flatnonzero(kind == 1))), shards, hot)
         alpha, gamma = np.zeros(len(b.pairs), np.uint8), np.full(len(b.pairs), 255, np.uint8)
         answers = right.take(pa.array(np.flatnonzero(kind == 3)))
-        order = np.argsort(b.shard, kind="stable")
-        edges = np.searchsorted(b.shard[order], np.arange(shards + 1))
+        own = dict(c.by_shard(b.shard))
         for s, x, g in zip(answers["shard"].to_pylist(), answers["data"].to_pylist(), answers["more"].to_pylist(), strict=True):
-            at = order[edges[s] : edges[s + 1]]
+            at = own[s]
             alpha[at] = np.frombuffer(x, np.uint8)
             first = b.first[at]
             start = np.concatenate([[True], first[1:] != first[:-1]])
@@ -314,18 +317,17 @@ def score(docs: DataFrame, train: Column, id_col: str = "doc_id", text_col: str
 
     Returns doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score.
     """
-    docs = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"), F.coalesce(train, F.lit(False)).alias("train"))
+    since = c.mark()
+    docs = c.distinct_names(docs, id_col, text_col).select(F.col(id_col).cast("long").alias("doc_id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"), F.coalesce(train, F.lit(False)).alias("train"))
     blocks = c.blocks_of(docs, "text", BLOCK_BYTES)
     shards = 2 * blocks
     placed = docs.withColumn("block", F.pmod(F.xxhash64("doc_id", "text"), F.lit(blocks)).cast("int")).groupBy("block")
     one = c.materialize(placed.applyInArrow(_ask_unigrams(shards), MESSAGE).groupBy("shard").applyInArrow(_answer_unigrams, MESSAGE), "unigrams")
-    c.release(docs.sparkSession)
     n_tokens, n_types = (int(x or 0) for x in one.where("kind = 2").agg(F.sum("tokens"), F.sum("types")).first())
     one = one.where("kind = 1")
     asked = placed.cogroup(one.groupBy("block")).applyInArrow(_ask_pairs(shards, HOT_CONTEXT), MESSAGE)
     two = c.materialize(asked.groupBy("shard").applyInArrow(_answer_pairs(decades_of(n_tokens)), MESSAGE), "pairs")
-    c.release(docs.sparkSession)
     hot_types = {r["tokens"]: r["types"] for r in two.where("kind = 4").groupBy("tokens").agg(F.sum("types").alias("types")).collect()}
-    return placed.cogroup(one.unionAll(two.where("kind = 3")).groupBy("block")).applyInArrow(
-        _finish(shards, HOT_CONTEXT, n_tokens, n_types, hot_types), "doc_id long, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double"
-    )
+    kind = "doc_id long, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double"
+    scored = placed.cogroup(one.unionAll(two.where("kind = 3")).groupBy("block")).applyInArrow(_finish(shards, HOT_CONTEXT, n_tokens, n_types, hot_types), kind)
+    return c.settle(scored, "scores", since)
