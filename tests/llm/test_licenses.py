@@ -27,7 +27,7 @@ def test_headers_files_and_inheritance(spark):
         1: ("Apache-2.0", "file"), 2: ("Apache-2.0", "inherited"), 3: ("GPL-3.0", "header"), 4: ("MIT", "inherited"), 5: ("MIT", "file"), 6: ("GPL-3.0", "file"),
         7: ("GPL-3.0", "inherited"), 8: (None, "none"), 9: ("MIT", "inherited"), 10: ("MIT", "inherited"),
     }
-    weights, idf = licenses._weights()
+    weights, idf = licenses.weights(licenses.TEMPLATES)
     want = cosine(GPL, licenses.TEMPLATES["GPL-3.0/short"], idf, math.log(1 + len(licenses.TEMPLATES)) + 1)
     assert abs(next(r.score for r in found if r.doc_id == 3) - want) < 1e-8
     assert licenses.scan_licenses(df.limit(0)).collect() == []
@@ -44,3 +44,13 @@ def test_wrapped_headers_identifiers_and_long_files(spark):
         1: ("MPL-2.0", "header"), 2: ("GPL-3.0", "header"), 3: ("Apache-2.0", "file"), 4: ("Apache-2.0", "inherited"), 5: ("GPL-3.0", "file"),
         10: ("MIT", "header"), 11: ("Apache-2.0", "header"), 12: ("GPL-3.0", "header"), 13: (None, "none"), 14: (None, "none"),
     }
+
+
+def test_full_texts_null_ids_and_clashing_names(spark, tmp_path):
+    own = "Own licence. Everybody may use this software and its documentation for any purpose under the terms of this licence. " * 400
+    (tmp_path / "Own-1.0.txt").write_text(own)
+    templates = licenses.read_templates(spark, str(tmp_path))
+    rows = [(1, "a/LICENSE", own), (None, "a/b/x.txt", "no word of it"), (None, "a/b/x.txt", None), (2, "c/LICENSE", licenses.TEMPLATES["MIT/full"] + "\n" + licenses.TEMPLATES["MIT/full"]), (3, None, "x")]
+    df = spark.createDataFrame(rows, "doc_id long, path string, text string").selectExpr("*", "'no' as TEXT", "1 as key", "2 as license")
+    have = sorted((tuple(r[:4]) for r in licenses.scan_licenses(df, templates=templates).collect()), key=str)
+    assert have == sorted([(1, "a/LICENSE", "Own-1.0", "file"), (None, "a/b/x.txt", "Own-1.0", "inherited"), (None, "a/b/x.txt", "Own-1.0", "inherited"), (2, "c/LICENSE", "MIT", "file"), (3, None, None, "none")], key=str)

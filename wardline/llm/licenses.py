@@ -12,7 +12,8 @@
 Only DataFrame functions are used.  The templates are a fixed table of a few rows, so their terms may be broadcast.
 
 Null and empty texts have no licence of their own but inherit; a null path is no directory's member and inherits nothing.
-Repeated rows give repeated rows; an empty table gives none; further columns are ignored.  Of several licence files in a
+Repeated rows give repeated rows, a null id stays null; an empty table gives none; further columns are ignored, also those whose names
+differ only in case.  Of several licence files in a
 directory the best cosine wins, then the licence's name, then the path.
 """
 
@@ -22,10 +23,12 @@ import math
 import re
 from collections import Counter
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-#: Short statements of public licences (fixed values).
+from . import common as c
+
+#: Statements and short full texts of public licences (fixed values); read_templates() adds a folder of longer ones.
 TEMPLATES = {
     "Apache-2.0": 'Licensed under the Apache License, Version 2.0 (the "License"); you may not use this file except in compliance with the License. You may obtain a copy of the License at http://www.apache.org/licenses/LICENSE-2.0',
     "Apache-2.0/short": "Licensed under the Apache License, Version 2.0.",
@@ -38,6 +41,9 @@ TEMPLATES = {
     "CC-BY-4.0": "This work is licensed under a Creative Commons Attribution 4.0 International License.",
     "CC-BY-NC-4.0": "This work is licensed under a Creative Commons Attribution-NonCommercial 4.0 International License.",
     "CC-BY-NC-4.0/short": "Licensed under CC BY-NC 4.0.",
+    "MIT/full": "Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation files (the \"Software\"), to deal in the Software without restriction, including without limitation the rights to use, copy, modify, merge, publish, distribute, sublicense, and/or sell copies of the Software, and to permit persons to whom the Software is furnished to do so, subject to the following conditions: The above copyright notice and this permission notice shall be included in all copies or substantial portions of the Software. THE SOFTWARE IS PROVIDED \"AS IS\", WITHOUT WARRANTY OF ANY KIND, EXPRESS OR IMPLIED, INCLUDING BUT NOT LIMITED TO THE WARRANTIES OF MERCHANTABILITY, FITNESS FOR A PARTICULAR PURPOSE AND NONINFRINGEMENT. IN NO EVENT SHALL THE AUTHORS OR COPYRIGHT HOLDERS BE LIABLE FOR ANY CLAIM, DAMAGES OR OTHER LIABILITY, WHETHER IN AN ACTION OF CONTRACT, TORT OR OTHERWISE, ARISING FROM, OUT OF OR IN CONNECTION WITH THE SOFTWARE OR THE USE OR OTHER DEALINGS IN THE SOFTWARE.",
+    "BSD-3-Clause/full": "Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following conditions are met: 1. Redistributions of source code must retain the above copyright notice, this list of conditions and the following disclaimer. 2. Redistributions in binary form must reproduce the above copyright notice, this list of conditions and the following disclaimer in the documentation and/or other materials provided with the distribution. 3. Neither the name of the copyright holder nor the names of its contributors may be used to endorse or promote products derived from this software without specific prior written permission. THIS SOFTWARE IS PROVIDED BY THE COPYRIGHT HOLDERS AND CONTRIBUTORS \"AS IS\" AND ANY EXPRESS OR IMPLIED WARRANTIES, INCLUDING, BUT NOT LIMITED TO, THE IMPLIED WARRANTIES OF MERCHANTABILITY AND FITNESS FOR A PARTICULAR PURPOSE ARE DISCLAIMED. IN NO EVENT SHALL THE COPYRIGHT HOLDER OR CONTRIBUTORS BE LIABLE FOR ANY DIRECT, INDIRECT, INCIDENTAL, SPECIAL, EXEMPLARY, OR CONSEQUENTIAL DAMAGES.",
+    "ISC/full": "Permission to use, copy, modify, and/or distribute this software for any purpose with or without fee is hereby granted, provided that the above copyright notice and this permission notice appear in all copies. THE SOFTWARE IS PROVIDED \"AS IS\" AND THE AUTHOR DISCLAIMS ALL WARRANTIES WITH REGARD TO THIS SOFTWARE INCLUDING ALL IMPLIED WARRANTIES OF MERCHANTABILITY AND FITNESS. IN NO EVENT SHALL THE AUTHOR BE LIABLE FOR ANY SPECIAL, DIRECT, INDIRECT, OR CONSEQUENTIAL DAMAGES OR ANY DAMAGES WHATSOEVER RESULTING FROM LOSS OF USE, DATA OR PROFITS, WHETHER IN AN ACTION OF CONTRACT, NEGLIGENCE OR OTHER TORTIOUS ACTION, ARISING OUT OF OR IN CONNECTION WITH THE USE OR PERFORMANCE OF THIS SOFTWARE.",
     "CC0-1.0": "To the extent possible under law, the author has waived all copyright and related or neighboring rights to this work. Public domain dedication CC0 1.0",
 }
 CUE = r"(?i)licen[cs]|copyright|spdx|public domain|permission is hereby|redistribution and use|free software"
@@ -45,34 +51,45 @@ TERM = r"[a-z0-9]+(?:[.][0-9]+)?"
 CUTOFF, FILE_CUTOFF = 0.55, 0.6
 #: SPDX identifiers (lower case) and their licences; others, also other versions, have none.
 SPDX = {x.lower(): x for x in ("Apache-2.0", "MIT", "BSD-3-Clause", "MPL-2.0", "CC-BY-4.0", "CC-BY-NC-4.0", "CC0-1.0")} | {x: "GPL-3.0" for x in ("gpl-3.0", "gpl-3.0+", "gpl-3.0-only", "gpl-3.0-or-later")}
-_SPDX = r"(?i)(SPDX-License-Identifier:[ \t]*\(?([a-z0-9.+-]*[a-z0-9+]))"
-_MARKS = r"(?m)^[ \t]*(?:/\*+|\*+/?|//+|#+|;+|%+|--+|<!--)?[ \t]*|[ \t]*(?:\*+/|-->)?[ \t\r]*$"
+SPDX_MARK = r"(?i)(SPDX-License-Identifier:[ \t]*\(?([a-z0-9.+-]*[a-z0-9+]))"
+MARKS = r"(?m)^[ \t]*(?:/\*+|\*+/?|//+|#+|;+|%+|--+|<!--)?[ \t]*|[ \t]*(?:\*+/|-->)?[ \t\r]*$"
 _SENTENCE = r"(?<=[.!?])\s+(?=[A-Z])"
 
 
-def _weights() -> tuple[list[tuple[str, str, float]], dict[str, float]]:
+def unknown_idf(templates: dict[str, str]) -> float:
+    """Weight of a term that no template has."""
+    return math.log(1 + len(templates)) + 1
+
+
+def weights(templates: dict[str, str]) -> tuple[list[tuple[str, str, float]], dict[str, float]]:
     """Rows (term, template, weight of the unit vector) and each term's idf."""
-    terms = {name: Counter(re.findall(TERM, text.lower())) for name, text in TEMPLATES.items()}
-    df = Counter(t for c in terms.values() for t in c)
+    terms = {name: Counter(re.findall(TERM, text.lower())) for name, text in templates.items()}
+    df = Counter(t for own in terms.values() for t in own)
     idf = {t: math.log((1 + len(terms)) / (1 + n)) + 1 for t, n in df.items()}
     rows = []
-    for name, c in terms.items():
-        norm = math.sqrt(sum((n * idf[t]) ** 2 for t, n in c.items()))
-        rows += [(t, name, n * idf[t] / norm) for t, n in sorted(c.items())]
+    for name, own in terms.items():
+        norm = math.sqrt(sum((n * idf[t]) ** 2 for t, n in own.items()))
+        rows += [(t, name, n * idf[t] / norm) for t, n in sorted(own.items())]
     return rows, idf
 
 
-def scan_licenses(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", path_col: str = "path") -> DataFrame:
+def read_templates(spark: SparkSession, folder: str) -> dict[str, str]:
+    """TEMPLATES and the texts of a folder of licence files, such as full licences, by file name (without the suffix .txt)."""
+    files = spark.read.format("text").option("wholetext", True).load(folder).select(F.regexp_extract(F.input_file_name(), r"([^/]+?)(?:\.txt)?$", 1).alias("name"), "value")
+    return TEMPLATES | {f"{r['name']}/file": r["value"] for r in files.collect()}  # a few hundred licences
+
+
+def scan_licenses(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", path_col: str = "path", templates: dict[str, str] = TEMPLATES) -> DataFrame:
     """Rows doc_id, path, license (null: none), method (header, file, inherited, none), score, evidence (a passage or a directory)."""
     spark = docs.sparkSession
-    weights, idf = _weights()
-    values = ", ".join(f"('{t}', '{n}', {w!r}D, {idf[t]!r}D)" for t, n, w in weights)
+    found, idf = weights(templates)
+    values = ", ".join(f"('{t}', '{n}', {w!r}D, {idf[t]!r}D)" for t, n, w in found)
     terms = spark.sql(f"SELECT * FROM VALUES {values} AS t(term, template, weight, idf)")
-    unknown = math.log(1 + len(TEMPLATES)) + 1
-    docs = docs.select(F.col(id_col).alias("doc_id"), F.col(path_col).alias("path"), F.col(text_col).alias("text"))
+    unknown = unknown_idf(templates)
+    docs = c.distinct_names(docs, id_col, text_col, path_col).select(F.col(id_col).alias("doc_id"), F.col(path_col).alias("path"), F.col(text_col).alias("text"))
     cued = lambda parts: F.filter(F.transform(parts, lambda part: F.trim(part)), lambda part: part.rlike(CUE))
     lines = cued(F.split("text", "\n"))
-    paragraphs = cued(F.transform(F.split(F.regexp_replace("text", _MARKS, ""), r"\n\s*\n"), lambda part: F.regexp_replace(part, r"\s+", " ")))
+    paragraphs = cued(F.transform(F.split(F.regexp_replace("text", MARKS, ""), r"\n\s*\n"), lambda part: F.regexp_replace(part, r"\s+", " ")))
     sentences = cued(F.flatten(F.transform(paragraphs, lambda part: F.split(part, _SENTENCE))))
     headers = F.transform(F.concat(lines, paragraphs, sentences), lambda part: F.struct(F.lit("header").alias("method"), part.alias("passage")))
     whole = F.array(F.struct(F.lit("file").alias("method"), F.col("text").alias("passage")))
@@ -90,8 +107,8 @@ def scan_licenses(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
     cosines = dots.join(weighted.groupBy("key").agg(norms.alias("norm")), "key").select("key", F.substring_index("template", "/", 1).alias("license"), F.round(F.col("dot") / F.col("norm"), 9).alias("score"))
     near = cosines.where(F.col("score") >= min(CUTOFF, FILE_CUTOFF)).join(passages, "key").select("doc_id", "path", "method", "passage", "license", "score")
     strong = near.where(F.col("score") >= F.when(F.col("method") == "file", FILE_CUTOFF).otherwise(CUTOFF))
-    said = docs.where(F.col("text").rlike(_SPDX)).select("doc_id", "path", F.explode(F.regexp_extract_all("text", F.lit(_SPDX), F.lit(1))).alias("passage"))
-    named = F.create_map(*[F.lit(x) for pair in SPDX.items() for x in pair])[F.lower(F.regexp_extract("passage", _SPDX, 2))]
+    said = docs.where(F.col("text").rlike(SPDX_MARK)).select("doc_id", "path", F.explode(F.regexp_extract_all("text", F.lit(SPDX_MARK), F.lit(1))).alias("passage"))
+    named = F.create_map(*[F.lit(x) for pair in SPDX.items() for x in pair])[F.lower(F.regexp_extract("passage", SPDX_MARK, 2))]
     strong = strong.unionByName(said.select("doc_id", "path", F.lit("header").alias("method"), "passage", named.alias("license"), F.lit(1.0).alias("score")).where("license is not null"))
     best = F.min_by(F.struct("license", "method", "score", "passage"), F.struct(-F.col("score"), "method", "license", "passage")).alias("b")
     own = strong.groupBy("doc_id", "path").agg(best).select("doc_id", "path", "b.license", F.col("b.method").alias("method"), "b.score", F.col("b.passage").alias("evidence"))
@@ -107,7 +124,7 @@ def scan_licenses(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
         above.join(files.withColumnRenamed("dir", "ancestor"), "ancestor").groupBy("dir")
         .agg(F.max_by(F.struct("license", "score", "ancestor"), "depth").alias("b")).select("dir", F.col("b.license").alias("d_license"), F.col("b.score").alias("d_score"), F.col("b.ancestor").alias("d_from"))
     )
-    same = (F.col("o.doc_id") == F.col("x.doc_id")) & F.col("o.path").eqNullSafe(F.col("x.path"))
+    same = F.col("o.doc_id").eqNullSafe(F.col("x.doc_id")) & F.col("o.path").eqNullSafe(F.col("x.path"))
     rows = docs.select("doc_id", "path", folder.alias("dir")).alias("x").join(own.alias("o"), same, "left").select("x.doc_id", "x.path", "x.dir", "o.license", "o.method", "o.score", "o.evidence")
     rows = rows.join(inherited, "dir", "left")
     return rows.select(
