@@ -29,7 +29,7 @@ from . import common as c
 #: White space as the tokenizers' patterns see it (fixed values: the Unicode White_Space property).
 WHITE = "\\t-\\r \\x85\\xa0\\u1680\\u2000-\\u200a\\u2028\\u2029\\u202f\\u205f\\u3000"
 #: Entries of the word caches and of the compatibility table beyond which a worker starts them anew; characters of the longest key kept.
-CACHED, KEPT = 400_000, 200
+CACHED, KEPT = 150_000, 200
 SCHEMA = "doc_id long, n_tokens long, ids binary, decoded string"
 _TAIL = "\x00"
 

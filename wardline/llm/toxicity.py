@@ -33,7 +33,7 @@ from .features import Ftrl, softmax, temperature_of
 
 PER_CLASS = (4000, 2000)
 MIN_ROWS, MIN_RATIO, PREFIX = 3, 3.0, range(3, 9)
-EPOCHS, HELD_BACK, CACHED, KEPT = 8, 5, 400_000, 200
+EPOCHS, HELD_BACK, CACHED, KEPT = 8, 5, 150_000, 200
 THRESHOLD = 0.7
 SCHEMA = "doc_id long, score double"
 #: Letters that a character imitates (fixed values).
@@ -279,7 +279,7 @@ def train(docs: DataFrame, labels: DataFrame, learn: Column, id_col: str = "doc_
     texts = c.id_and_text(docs, id_col, text_col).join(sample, "doc_id").groupBy("doc_id").agg(F.min("text").alias("text"), F.first("y").alias("y"))
     rows = texts.mapInArrow(_reduce, "doc_id long, y int, tokens array<string>, runs array<string>").collect()
     corpus = c.distinct_names(docs, id_col, text_col).where(learn).select(F.coalesce(text_col, F.lit("")).alias("text"))
-    chars = c.summed_counts(corpus, lambda batch: sum(gram_counts(part.column("text").to_pylist()) for part in c.slices(batch)), int(_PARTS[-1]))
+    chars = c.summed_counts(corpus, lambda batch: sum(gram_counts(part.column("text").to_pylist()) for part in c.slices(batch, most=1 << 19)), int(_PARTS[-1]))
     odds = math.log(sizes[1] / sizes[0]) if sizes.get(0) and sizes.get(1) else None
     return Model([((r["tokens"], r["runs"]), r["y"]) for r in sorted(rows, key=lambda r: r["doc_id"])], chars, odds)
 
