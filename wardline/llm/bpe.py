@@ -28,8 +28,8 @@ from . import common as c
 
 #: White space as the tokenizers' patterns see it (fixed values: the Unicode White_Space property).
 WHITE = "\\t-\\r \\x85\\xa0\\u1680\\u2000-\\u200a\\u2028\\u2029\\u202f\\u205f\\u3000"
-#: Entries of the word caches and of the compatibility table beyond which a worker starts them anew; characters of the longest key kept.
-CACHED, KEPT = 150_000, 200
+#: Entries of a generation of the word table, and of the compatibility table, which is started anew beyond them.
+CACHED = 100_000
 SCHEMA = "doc_id long, n_tokens long, ids binary, decoded string"
 _TAIL = "\x00"
 
@@ -145,21 +145,6 @@ class Encoder:
         return [self.merger.ids[t] for t in taken]
 
 
-class _Words(dict):
-    """Ids, as packed bytes, of the pieces of text between white space; filled as they come up."""
-
-    def __init__(self, tokenizer: Tokenizer):
-        self.tokenizer = tokenizer
-
-    def __missing__(self, chunk: str) -> bytes:
-        if len(self) > CACHED:
-            self.clear()
-        ids = np.array(self.tokenizer.encode_chunk(chunk), "<u4").tobytes()
-        if len(chunk) <= KEPT:
-            self[chunk] = ids
-        return ids
-
-
 class Tokenizer:
     """A tokenizer file's pipeline around the backtracking encoder."""
 
@@ -174,8 +159,8 @@ class Tokenizer:
         pattern = next((p["pattern"]["Regex"] for p in (spec["pre_tokenizer"].get("pretokenizers") or []) if p["type"] == "Split"), None)
         self.pattern = regex.compile((pattern or "'s|'t|'re|'ve|'m|'ll|'d| ?\\p{L}+| ?\\p{N}+| ?[^\\s\\p{L}\\p{N}]+|\\s+(?!\\S)|\\s+").replace("[^\\s", f"[^{WHITE}").replace("\\s", f"[{WHITE}]").replace("\\S", f"[^{WHITE}]"))
         self.blank = regex.compile(f"[{WHITE}]+")
-        self.chunks = _Words(self)
-        self.pieces: dict[str, list[int]] = {}
+        self.chunks = c.Recent(lambda chunk: np.array(self.encode_chunk(chunk), "<u4").tobytes(), CACHED)  # between white space
+        self.pieces = c.Recent(lambda piece: self.encoder.encode("".join([self.bytes[b] for b in piece.encode()])), CACHED // 2)
         vocab = {i: t for t, i in spec["model"]["vocab"].items()} | {i: t for t, i in self.special.items()}
         size = max(vocab) + 1
         blob = [(vocab.get(i, "") + " ").encode() if self.word_level else self._raw(vocab.get(i, "")) for i in range(size)]
@@ -186,17 +171,6 @@ class Tokenizer:
         back = {ch: b for b, ch in enumerate(self.bytes)}
         return bytes(back[ch] for ch in token) if all(ch in back for ch in token) else token.encode()
 
-    def encode_piece(self, piece: str) -> list[int]:
-        ids = self.pieces.get(piece)
-        if ids is None:
-            if len(self.pieces) > CACHED // 2:
-                self.pieces.clear()
-            alphabet = self.bytes
-            ids = self.encoder.encode("".join([alphabet[b] for b in piece.encode()]))
-            if len(piece) <= KEPT:
-                self.pieces[piece] = ids
-        return ids
-
     def encode_chunk(self, chunk: str) -> list[int]:
         out: list[int] = []
         for part in self.split_special.split(chunk) if self.split_special else [chunk]:
@@ -206,7 +180,7 @@ class Tokenizer:
                 if self.word_level:
                     part = lower_each(unicodedata.normalize("NFC", part))
                 for piece in self.pattern.findall(part):
-                    out += self.encode_piece(piece)
+                    out += self.pieces[piece]
         return out
 
     def encode(self, text: str) -> bytes:

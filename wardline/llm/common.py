@@ -334,6 +334,32 @@ def connected_components(edges: DataFrame) -> DataFrame:
     return e.select(F.col("u").alias("node"), F.col("v").alias("component")).unionAll(roots)
 
 
+class Recent(dict):
+    """Values computed for strings, of which the recently used ones are kept: two generations of at most `most` entries each.
+
+    A full generation becomes the old one; what is asked for again moves from it to the new one.  Strings of more than `longest`
+    characters aren't kept, so the table is bounded in bytes too.
+    """
+
+    def __init__(self, make, most: int, longest: int = 200):
+        super().__init__()
+        self.make, self.most, self.longest, self.old = make, most, longest, {}
+
+    def __missing__(self, key: str):
+        value = self.old.pop(key, None)
+        if value is None:
+            value = self.make(key)
+        if len(key) <= self.longest:
+            if len(self) >= self.most:
+                self.old = dict(self)
+                self.clear()
+            self[key] = value
+        return value
+
+    def __reduce__(self):
+        return (Recent, (self.make, self.most, self.longest))
+
+
 def slices(batch: pa.RecordBatch, column: str = "text", most: int = 4 << 20):
     """Slices of a batch with about `most` bytes of text each, one row at least."""
     _, off = text_buffers(batch.column(batch.schema.get_field_index(column)))

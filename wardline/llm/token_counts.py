@@ -23,8 +23,9 @@ from pyspark.sql import DataFrame
 from . import common as c
 from .bpe import WHITE, Merger, _Spec, byte_alphabet
 
-#: Entries of a worker's table of counts, and characters of the longest key that it keeps.
-CACHED, KEPT = 500_000, 200
+#: Entries of a worker's table of counts beyond which it becomes the old one, whose entries move back as they are asked for; characters of
+#: the longest key that it keeps.
+CACHED, KEPT = 250_000, 200
 LIMIT = 1024
 #: Symbols of a sequence beyond which it is merged by itself: one round over a long sequence for each rank would take too long.
 LONG = 256
@@ -134,6 +135,7 @@ class Counter:
         self.pattern = regex.compile(f"'s|'t|'re|'ve|'m|'ll|'d| ?\\p{{L}}+| ?\\p{{N}}+| ?[^{WHITE}\\p{{L}}\\p{{N}}]+|{blank}+(?!{full})|{blank}+")
         self.cut = regex.compile("(" + "|".join(map(regex.escape, sorted(self.special, key=len, reverse=True))) + ")") if self.special else None
         self.known: dict[str, int] = {}
+        self.old: dict[str, int] = {}
 
     def _learn(self, chunks: list[str]) -> None:
         """Counts chunks that aren't in the table yet."""
@@ -178,11 +180,14 @@ class Counter:
             split.append(chunks)
             extra.append(specials)
         if len(self.known) > CACHED:
-            self.known.clear()
+            self.known, self.old = {}, self.known
         new: set[str] = set()
         for chunks in split:
             new.update(chunks)
         new.difference_update(self.known)
+        again = new & self.old.keys()
+        self.known.update((x, self.old.pop(x)) for x in again)
+        new -= again
         if new:
             self._learn(list(new))
         look = self.known.__getitem__

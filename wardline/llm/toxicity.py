@@ -33,7 +33,7 @@ from .features import Ftrl, softmax, temperature_of
 
 PER_CLASS = (4000, 2000)
 MIN_ROWS, MIN_RATIO, PREFIX = 3, 3.0, range(3, 9)
-EPOCHS, HELD_BACK, CACHED, KEPT = 8, 5, 150_000, 200
+EPOCHS, HELD_BACK, CACHED = 8, 5, 100_000
 THRESHOLD = 0.7
 SCHEMA = "doc_id long, score double"
 #: Letters that a character imitates (fixed values).
@@ -184,7 +184,7 @@ class Model:
         self.index: dict[str, int] = {}
         self.lengths: list[int] = []
         self.weights, self.alone, self.bias, self.temperature = np.zeros(0), np.zeros(0), -50.0, 1.0
-        self.table = _Tokens(self)
+        self.table = c.Recent(self._of_token, CACHED)
         labels = np.array([y for _, y in rows], np.int64)
         if len(set(labels.tolist())) < 2:
             return
@@ -205,7 +205,7 @@ class Model:
         found = {f for t, y in rows if y == 1 for w in self._words(t) for f in beginnings(w) if hash(f) in facts}
         self.index = {f: i for i, f in enumerate(sorted(found))}
         self.lengths = sorted({len(f) for f in found if f[0] != "^" and len(f) >= 3})
-        self.table = _Tokens(self)
+        self.table = c.Recent(self._of_token, CACHED)
         examples = [self.features(t) for t, _ in rows]
         held = np.arange(len(rows)) % HELD_BACK == 0
         fitted = Ftrl(len(self.index) + 1, 2, alpha=0.3, l1=0.05, l2=0.05).fit([(at, np.ones(len(at))) for at, h in zip(examples, held, strict=True) if not h], labels[~held], EPOCHS)
@@ -220,6 +220,10 @@ class Model:
         raw = np.array([self.raw(at) for at, h in zip(examples, held, strict=True) if h])
         self.temperature = max(1.0, temperature_of(np.stack([np.zeros(len(raw)), raw], axis=1), labels[held]))
 
+    def _of_token(self, token: str) -> tuple[int, ...]:
+        """Features of a token."""
+        return tuple(self.index[f] for w in self.readings.token(token) for f in beginnings(w) if f in self.index)
+
     def _words(self, text: tuple[list[str], list[str]]) -> set[str]:
         tokens, runs = text
         return {w for t in tokens for w in self.readings.token(t)} | {self.readings.model.restore(r) for r in runs}
@@ -241,25 +245,6 @@ class Model:
         return float(softmax(np.array([[0.0, self.raw(self.features(reduced(text)))]]), self.temperature)[0, 1])
 
 
-class _Tokens(dict):
-    """Features of tokens as they come up, of bounded size."""
-
-    def __init__(self, model: Model | None = None):
-        self.model = model
-
-    def __missing__(self, token: str) -> tuple[int, ...]:
-        if len(self) > CACHED:
-            self.clear()
-        index = self.model.index
-        found = tuple(index[f] for w in self.model.readings.token(token) for f in beginnings(w) if f in index)
-        if len(token) <= KEPT:
-            self[token] = found
-        return found
-
-    def __reduce__(self):
-        return (_Tokens, (self.model,))
-
-
 def _reduce(batches):
     for batch in batches:
         found = [reduced(t) for t in batch.column("text").to_pylist()]
