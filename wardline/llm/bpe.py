@@ -29,7 +29,7 @@ from . import common as c
 #: White space as the tokenizers' patterns see it (fixed values: the Unicode White_Space property).
 WHITE = "\\t-\\r \\x85\\xa0\\u1680\\u2000-\\u200a\\u2028\\u2029\\u202f\\u205f\\u3000"
 #: Entries of a generation of the word table, and of the compatibility table, which is started anew beyond them.
-CACHED = 100_000
+CACHED, PAIRS = 120_000, 500_000
 SCHEMA = "doc_id long, n_tokens long, ids binary, decoded string"
 _TAIL = "\x00"
 
@@ -97,7 +97,7 @@ class Encoder:
     def compatible(self, a: str, b: str) -> bool:
         ok = self.pairs.get((a, b))
         if ok is None:
-            if len(self.pairs) > CACHED:
+            if len(self.pairs) > PAIRS:
                 self.pairs.clear()
             ok = self.pairs[a, b] = self.merger.merge(a + b) == [a, b]
         return ok
@@ -112,13 +112,23 @@ class Encoder:
         """Ids of one word, given in the byte alphabet."""
         text = word + _TAIL if self.merger.suffix else word
         size = len(text)
+        # most words need no step back: the longest match at each place, one after another
+        taken, at = [], 0
+        for end, token in self.trie.iter_long(text):
+            if end + 1 - len(token) != at or not self.reachable(token) or (taken and not self.compatible(taken[-1], token)):
+                break
+            at = end + 1
+            taken.append(token)
+        if at == size:
+            ids = self.merger.ids
+            return [ids[t] for t in taken]
         fits: list[list[str]] = [[] for _ in range(size)]  # by place, shorter tokens first
         last = size - 2 if self.merger.suffix else size
         for end, token in self.trie.iter(text):
             if self.merger.suffix and end == last:
                 continue  # the last character and the end of the word are one symbol
             fits[end + 1 - len(token)].append(token)
-        taken: list[str] = []
+        taken = []
         tried: list[int] = [len(fits[0])]
         dead: set[tuple[int, str]] = set()
         at = 0
