@@ -16,6 +16,7 @@ rows, a null id stays null; a table without rows gives none; further columns are
 from __future__ import annotations
 
 import json
+import struct
 import unicodedata
 
 import ahocorasick
@@ -32,6 +33,8 @@ WHITE = "\\t-\\r \\x85\\xa0\\u1680\\u2000-\\u200a\\u2028\\u2029\\u202f\\u205f\\u
 CACHED, PAIRS = 120_000, 500_000
 SCHEMA = "doc_id long, n_tokens long, ids binary, decoded string"
 _TAIL = "\x00"
+#: Marks that always are a piece of their own behind a word.
+_MARKS = frozenset(".,;:!?")
 
 
 def byte_alphabet() -> list[str]:
@@ -72,13 +75,18 @@ class Merger:
 
     def merge(self, text: str) -> list[str]:
         parts = [*text[:-2], text[-2:]] if text.endswith(_TAIL) else [*text]
-        rank = self.rank
-        while len(parts) > 1:
-            best = min((rank.get(p, 1 << 60), i) for i, p in enumerate(zip(parts, parts[1:], strict=False)))
-            if best[0] == 1 << 60:
-                break
-            i = best[1]
+        if len(parts) < 2:
+            return parts
+        rank, never = self.rank.get, 1 << 60
+        ranks = [rank(p, never) for p in zip(parts, parts[1:], strict=False)]
+        while ranks and (low := min(ranks)) < never:
+            i = ranks.index(low)
             parts[i : i + 2] = [parts[i] + parts[i + 1]]
+            del ranks[i]
+            if i:
+                ranks[i - 1] = rank((parts[i - 1], parts[i]), never)
+            if i < len(ranks):
+                ranks[i] = rank((parts[i], parts[i + 1]), never)
         return parts
 
 
@@ -169,8 +177,8 @@ class Tokenizer:
         pattern = next((p["pattern"]["Regex"] for p in (spec["pre_tokenizer"].get("pretokenizers") or []) if p["type"] == "Split"), None)
         self.pattern = regex.compile((pattern or "'s|'t|'re|'ve|'m|'ll|'d| ?\\p{L}+| ?\\p{N}+| ?[^\\s\\p{L}\\p{N}]+|\\s+(?!\\S)|\\s+").replace("[^\\s", f"[^{WHITE}").replace("\\s", f"[{WHITE}]").replace("\\S", f"[^{WHITE}]"))
         self.blank = regex.compile(f"[{WHITE}]+")
-        self.chunks = c.Recent(lambda chunk: np.array(self.encode_chunk(chunk), "<u4").tobytes(), CACHED)  # between white space
-        self.pieces = c.Recent(lambda piece: self.encoder.encode("".join([self.bytes[b] for b in piece.encode()])), CACHED // 2)
+        self.chunks = c.Recent(self.encode_chunk, CACHED)  # what stands between white space
+        self.pieces = c.Recent(self.encode_piece, CACHED)
         vocab = {i: t for t, i in spec["model"]["vocab"].items()} | {i: t for t, i in self.special.items()}
         size = max(vocab) + 1
         blob = [(vocab.get(i, "") + " ").encode() if self.word_level else self._raw(vocab.get(i, "")) for i in range(size)]
@@ -181,22 +189,33 @@ class Tokenizer:
         back = {ch: b for b, ch in enumerate(self.bytes)}
         return bytes(back[ch] for ch in token) if all(ch in back for ch in token) else token.encode()
 
-    def encode_chunk(self, chunk: str) -> list[int]:
-        out: list[int] = []
+    def encode_piece(self, piece: str) -> bytes:
+        """Packed ids of a piece that the splitting pattern gives."""
+        ids = self.encoder.encode("".join([self.bytes[b] for b in piece.encode()]))
+        return struct.pack(f"<{len(ids)}I", *ids)
+
+    def encode_chunk(self, chunk: str) -> bytes:
+        """Packed ids of a text."""
+        if self.word_level:  # a word, perhaps with a point or comma behind: one piece, or two
+            word, mark = (chunk[:-1], chunk[-1]) if chunk[-1:] in _MARKS else (chunk, "")
+            if word.isalpha() and unicodedata.is_normalized("NFC", word):
+                low = lower_each(word)
+                if low.isalpha():
+                    return self.pieces[low] + self.pieces[mark] if mark else self.pieces[low]
+        out = []
         for part in self.split_special.split(chunk) if self.split_special else [chunk]:
             if part in self.special:
-                out.append(self.special[part])
+                out.append(struct.pack("<I", self.special[part]))
             elif part:
                 if self.word_level:
                     part = lower_each(unicodedata.normalize("NFC", part))
-                for piece in self.pattern.findall(part):
-                    out += self.pieces[piece]
-        return out
+                out += [self.pieces[piece] for piece in self.pattern.findall(part)]
+        return b"".join(out)
 
     def encode(self, text: str) -> bytes:
         """Ids of a text, packed as little-endian unsigned 32-bit integers."""
         if not self.word_level:
-            return self.chunks[text] if len(text) < 64 else np.array(self.encode_chunk(text), "<u4").tobytes()
+            return self.chunks[text] if len(text) < 64 else self.encode_chunk(text)
         # white space never joins two pieces, so what stands between it is encoded apart
         odd = any(ch in text for ch in "\x1c\x1d\x1e\x1f")  # str.split() would split there
         return b"".join(map(self.chunks.__getitem__, self.blank.split(text) if odd else text.split()))
