@@ -22,8 +22,19 @@ ANCHORS = {
     "vn_province_location": ["tỉnh", "tp."], "country_after_vn_address": ["tỉnh", "tp."], "vn_person_labeled_name": ["họ", "tên", "bệnh", "bác", "người", "nhân"], "vn_person_split_surname": ["họ"],
     "vn_person_split_given_name": ["tên"], "vn_person_honorific_narrative": ["ông", "bà"], "vn_person_honorific_surname": ["ông", "bà"], "vn_person_honorific_given_name": ["ông", "bà"],
     "vn_organization_labeled": ["tên", "đơn", "ngân", "viện", "bank"], "vn_bank_account": ["khoản", "stk", "a/c"], "url": ["http", "www."], "ipv4": ["."], "ipv6": [":"], "mac_address": [":", "-"],
-    "crypto_ethereum": ["0x"], "credit_card_context": ["thẻ", "card"], "card_cvv_context": ["cvv", "cvc", "mật"],
+    "crypto_ethereum": ["0x"], "crypto_bitcoin": ["1", "3"], "credit_card_context": ["thẻ", "card"], "card_cvv_context": ["cvv", "cvc", "mật"],
+    "recall_date_labeled": ["ngày"], "recall_date_today_clause": ["ngày"], "recall_context_year": ["năm"], "recall_context_month_duration": ["tháng"], "recall_employee_id": ["nhân"], "recall_transaction_id": ["giao"],
+    "recall_business_tax_id": ["mã", "đkdn"], "recall_document_number": ["cccd", "căn", "gttt", "hộ", "passport"], "recall_bank_account": ["khoản", "ví"], "recall_country_labeled": ["quốc", "country"],
+    "recall_country_after_address": ["tỉnh", "tp.", "phố"], "recall_special_ward": ["khu"], "recall_organization_labeled": ["tên", "chức", "kính", "nhánh", "bên"],
+    "recall_person_labeled_roles": ["người", "tên", "nhân", "đại", "bác", "receiver", "delivered", "a/c", "signature"], "vie_pii_company_name": ["ty", "đoàn", "viện", "sạn", "phẩm", "trường", "học", "hàng", "thuốc"],
+    "vie_pii_labeled_company_name": ["tên", "name", "hệ"], "vie_pii_international_phone_context": ["số", "phone", "fax", "gọi", "hệ"],
 }
+#: Patterns that match nothing without a digit.
+NEEDS_DIGIT = frozenset(
+    """vn_mobile_phone vn_cccd_cmnd vn_cccd_loose_number vn_tax_id vn_employee_id vn_passport_id vn_transaction_id vn_context_date vn_context_year vn_context_month_duration vn_birth_year vn_birth_month
+    vn_house_number vn_bank_account ipv4 mac_address credit_card_grouped credit_card_context card_cvv_context recall_date_labeled recall_date_today_clause recall_context_year
+    recall_context_month_duration recall_employee_id recall_business_tax_id recall_document_number recall_bank_account vie_pii_labeled_datetime vie_pii_international_phone_context""".split()
+)
 
 
 def folded(text: Column) -> Column:
@@ -67,6 +78,8 @@ def find_spans(text: Column | str, bank: Iterable[Pattern], validators: dict | N
         spans = F.transform(found, _as_span(p, k))
         if p.name in ANCHORS:
             spans = F.when(holds_any(folded(text), ANCHORS[p.name]), spans).otherwise(F.expr(EMPTY))
+        if p.name in NEEDS_DIGIT:
+            spans = F.when(text.rlike(r"(?U)\d"), spans).otherwise(F.expr(EMPTY))
         parts.append(spans.cast(f"array<{SPAN}>"))
     return F.concat(*parts)
 
@@ -80,22 +93,30 @@ def find_spans_arrow(docs: DataFrame, bank: list[Pattern], text_col: str = "text
     records = [(p.name, p.entity_type, p.score, p.regex, re.IGNORECASE if p.ignore_case else 0) for p in bank]
     span = pa.struct([("entity_type", pa.string()), ("start", pa.int32()), ("end", pa.int32()), ("score", pa.float64()), ("pattern", pa.string()), ("text", pa.string()), ("ord", pa.int32())])
 
+    literals = sorted({a for n, *_ in records for a in ANCHORS.get(n, ())})
+    place = {a: i for i, a in enumerate(literals)}
+
     def run(batches):
-        compiled = [(k, n, e, s, re.compile(rx, flags)) for k, (n, e, s, rx, flags) in enumerate(records)]
+        digit = re.compile(r"\d")
+        compiled = [(k, n, e, s, re.compile(rx, flags), [place[a] for a in ANCHORS.get(n, ())], n in NEEDS_DIGIT) for k, (n, e, s, rx, flags) in enumerate(records)]
         for batch in batches:
-            rows = []
+            found, ends = [], [0]
             for text in batch.column(batch.schema.get_field_index(text_col)).to_pylist():
-                own = []
-                low = text.casefold().replace("ı", "i") if text else ""
-                for k, name, entity, score, rx in compiled if text else ():
-                    if name in ANCHORS and not any(a in low for a in ANCHORS[name]):
-                        continue
-                    for m in rx.finditer(text):
-                        a, b = m.span("value")
-                        if a < b:
-                            own.append((entity, a, b, score, name, text[a:b], k))
-                rows.append([dict(zip(("entity_type", "start", "end", "score", "pattern", "text", "ord"), x, strict=True)) for x in own])
-            yield batch.append_column(out, pa.array(rows, pa.list_(span)))
+                if text:
+                    low = text.casefold().replace("ı", "i")
+                    have = [a in low for a in literals]  # each literal is looked for once
+                    digits = digit.search(text) is not None
+                    for k, name, entity, score, rx, anchors, needs in compiled:
+                        if (needs and not digits) or (anchors and not any(have[i] for i in anchors)):
+                            continue
+                        for m in rx.finditer(text):
+                            a, b = m.span("value")
+                            if a < b:
+                                found.append((entity, a, b, score, name, text[a:b], k))
+                ends.append(len(found))
+            columns = list(zip(*found, strict=True)) or [()] * len(span)
+            flat = pa.StructArray.from_arrays([pa.array(c, f.type) for c, f in zip(columns, span, strict=True)], fields=list(span))
+            yield batch.append_column(out, pa.ListArray.from_arrays(pa.array(ends, pa.int32()), flat))
 
     from pyspark.sql.types import StructType
 
