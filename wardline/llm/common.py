@@ -19,6 +19,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 CHUNK = 1 << 20
+# buffers go back to the system when they are freed: pooled ones would add up in workers that serve one stage after another
+pa.set_memory_pool(pa.system_memory_pool())
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:

@@ -126,10 +126,14 @@ def _marks(index: Index, texts) -> tuple[np.ndarray, np.ndarray, np.ndarray, dic
     return wo, hit, total[wo[1:]] - total[wo[:-1]], items
 
 
+def _text_bytes(benchmark: DataFrame, text_col: str) -> int:
+    return int(benchmark.agg(F.sum(F.octet_length(text_col))).first()[0] or 0)
+
+
 def _parts(benchmark: DataFrame, id_col: str, text_col: str) -> list[list[tuple[str, str | None]]]:
     """The items in parts of bounded size, one part at a time on the driver."""
     items = benchmark.select(F.col(id_col).cast("string").alias("i"), F.col(text_col).alias("t"))
-    n = max(1, -(-int(items.agg(F.sum(F.octet_length("t"))).first()[0] or 0) // PART_BYTES))
+    n = max(1, -(-_text_bytes(items, "t") // PART_BYTES))
     for p in range(n):
         part = items if n == 1 else items.where(F.pmod(F.xxhash64("i", "t"), F.lit(n)) == p)
         yield n, [(r["i"], r["t"]) for r in part.collect()]
@@ -147,8 +151,14 @@ def contamination(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id",
 def without_contaminated(docs: DataFrame, benchmark: DataFrame, text_col: str = "text", item_col: str = "item_id", item_text: str = "text") -> DataFrame:
     """The rows of docs, all columns as they are, that have no word in an occurring window; ids play no part."""
     names = docs.columns
+    flat, at = docs.toDF(*[f"c{i}" for i in range(len(names))]), names.index(text_col)
+    size = _text_bytes(benchmark, item_text)
+    if size <= PART_BYTES:
+        items = c.distinct_names(benchmark, item_col, item_text)
+        index = docs.sparkSession.sparkContext.broadcast(Index(next(_parts(items, item_col, item_text))[1]))
+        return flat.mapInArrow(_clean(index, at), flat.schema).toDF(*names)
     held = F.struct(*[f"c{i}" for i in range(len(names))]).alias("row")
-    flat = docs.toDF(*[f"c{i}" for i in range(len(names))]).select(held, F.col(f"c{names.index(text_col)}").alias("text"))
+    flat = flat.select(held, F.col(f"c{at}").alias("text"))
     clean = _found(flat, benchmark, item_col, item_text, keep="row").where("coalesce(n_hit, 0) = 0")
     return clean.select("row.*").toDF(*names)
 
@@ -189,6 +199,17 @@ def _whole(index, keep: str):
     return run
 
 
+def _clean(index, text: int):
+    """Rows whose text (the column of this number) has no hit."""
+
+    def run(batches):
+        for batch in batches:
+            for part in c.slices(batch, batch.schema.names[text]):
+                yield part.filter(pa.array(_marks(index.value, part.column(text))[2] == 0))
+
+    return run
+
+
 def _partial(index):
     def run(batches):
         for batch in batches:

@@ -172,13 +172,17 @@ def reduced(text: str | None) -> tuple[list[str], list[str]]:
     return sorted(set(tokens)), runs
 
 
+def _lists(text) -> tuple[list[str], list[str]]:
+    return tuple(x.split(" ") if x else [] for x in text) if isinstance(text[0], str) else text
+
+
 def beginnings(word: str) -> list[str]:
     return [word, *["^" + word[:k] for k in PREFIX if k <= len(word)]]
 
 
 class Model:
     def __init__(self, rows: list[tuple[tuple[list[str], list[str]], int]], chars: np.ndarray, odds: float | None = None):
-        """rows: a text as reduced() gives it, and its label; chars: gram_counts() of the corpus; odds: logarithm of the odds of
+        """rows: a text as reduced() gives it (or with each list as a string, its elements between blanks), and its label; chars: gram_counts() of the corpus; odds: logarithm of the odds of
         label 1 where the rows were sampled from."""
         self.readings = Readings(CharModel(chars))
         self.index: dict[str, int] = {}
@@ -224,12 +228,12 @@ class Model:
         """Features of a token."""
         return tuple(self.index[f] for w in self.readings.token(token) for f in beginnings(w) if f in self.index)
 
-    def _words(self, text: tuple[list[str], list[str]]) -> set[str]:
-        tokens, runs = text
+    def _words(self, text: tuple[list[str], list[str]] | tuple[str, str]) -> set[str]:
+        tokens, runs = _lists(text)
         return {w for t in tokens for w in self.readings.token(t)} | {self.readings.model.restore(r) for r in runs}
 
-    def features(self, text: tuple[list[str], list[str]]) -> np.ndarray:
-        tokens, runs = text
+    def features(self, text: tuple[list[str], list[str]] | tuple[str, str]) -> np.ndarray:
+        tokens, runs = _lists(text)
         found = set().union(*map(self.table.__getitem__, tokens))
         for word in map(self.readings.model.restore, runs):  # a run may hold several words
             found.update(self.index[word[i : i + n]] for n in self.lengths for i in range(len(word) - n + 1) if word[i : i + n] in self.index)
@@ -248,7 +252,7 @@ class Model:
 def _reduce(batches):
     for batch in batches:
         found = [reduced(t) for t in batch.column("text").to_pylist()]
-        lists = [pa.array([x[k] for x in found], pa.list_(pa.string())) for k in (0, 1)]
+        lists = [pa.array([" ".join(x[k]) for x in found], pa.string()) for k in (0, 1)]  # no element holds a blank
         yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("y"), *lists], ["doc_id", "y", "tokens", "runs"])
 
 
@@ -262,7 +266,7 @@ def train(docs: DataFrame, labels: DataFrame, learn: Column, id_col: str = "doc_
     most = F.when(F.col("y") == 1, PER_CLASS[1] / max(1, sizes.get(1, 0))).otherwise(PER_CLASS[0] / max(1, sizes.get(0, 0)))
     sample = F.broadcast(own.where(chance < most))  # about PER_CLASS rows of two numbers
     texts = c.id_and_text(docs, id_col, text_col).join(sample, "doc_id").groupBy("doc_id").agg(F.min("text").alias("text"), F.first("y").alias("y"))
-    rows = texts.mapInArrow(_reduce, "doc_id long, y int, tokens array<string>, runs array<string>").collect()
+    rows = texts.mapInArrow(_reduce, "doc_id long, y int, tokens string, runs string").collect()
     corpus = c.distinct_names(docs, id_col, text_col).where(learn).select(F.coalesce(text_col, F.lit("")).alias("text"))
     chars = c.summed_counts(corpus, lambda batch: sum(gram_counts(part.column("text").to_pylist()) for part in c.slices(batch, most=1 << 19)), int(_PARTS[-1]))
     odds = math.log(sizes[1] / sizes[0]) if sizes.get(0) and sizes.get(1) else None
