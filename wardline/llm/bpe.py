@@ -30,7 +30,7 @@ from . import common as c
 #: White space as the tokenizers' patterns see it (fixed values: the Unicode White_Space property).
 WHITE = "\\t-\\r \\x85\\xa0\\u1680\\u2000-\\u200a\\u2028\\u2029\\u202f\\u205f\\u3000"
 #: Entries of a generation of the word table, and of the compatibility table, which is started anew beyond them.
-CACHED, PAIRS = 120_000, 500_000
+CACHED, PAIRS = 100_000, 250_000
 SCHEMA = "doc_id long, n_tokens long, ids binary, decoded string"
 _TAIL = "\x00"
 #: Marks that always are a piece of their own behind a word.

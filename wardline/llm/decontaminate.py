@@ -204,7 +204,7 @@ def _clean(index, text: int):
 
     def run(batches):
         for batch in batches:
-            for part in c.slices(batch, batch.schema.names[text]):
+            for part in c.slices(batch, batch.schema.names[text], 1 << 20):
                 yield part.filter(pa.array(_marks(index.value, part.column(text))[2] == 0))
 
     return run

@@ -71,13 +71,14 @@ def shingle_sets(texts: pa.ChunkedArray, k: int = WORDS) -> list[np.ndarray]:
 def _once(batches):
     """Drops rows that a task has seen before with the same doc_id and text digest."""
     seen: set = set()
-    for batch in batches:
-        fresh = []
-        for i, key in enumerate(zip(batch.column("doc_id").to_pylist(), batch.column("th").to_pylist(), strict=True)):
-            if key not in seen:
-                seen.add(key)
-                fresh.append(i)
-        yield batch if len(fresh) == batch.num_rows else batch.take(pa.array(fresh, pa.int64()))
+    for whole in batches:
+        for batch in c.slices(whole, "text", 1 << 20):
+            fresh = []
+            for i, key in enumerate(zip(batch.column("doc_id").to_pylist(), batch.column("th").to_pylist(), strict=True)):
+                if key not in seen:
+                    seen.add(key)
+                    fresh.append(i)
+            yield batch if len(fresh) == batch.num_rows else batch.take(pa.array(fresh, pa.int64()))
 
 
 def _representatives(left: pa.Table, reps: pa.Table) -> tuple[list[int], list[int], list[np.ndarray]]:

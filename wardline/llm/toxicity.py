@@ -293,6 +293,7 @@ def without_toxic(docs: DataFrame, model: Model, text_col: str = "text", thresho
     def run(batches):
         own = held.value
         for batch in batches:
-            yield batch.filter(pa.array([own.score(t) < threshold for t in batch.column(text).to_pylist()], pa.bool_()))
+            for part in c.slices(batch, batch.schema.names[text], 1 << 20):  # small batches: Spark keeps the buffers of the largest
+                yield part.filter(pa.array([own.score(t) < threshold for t in part.column(text).to_pylist()], pa.bool_()))
 
     return flat.mapInArrow(run, flat.schema).toDF(*names)
