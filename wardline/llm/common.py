@@ -8,6 +8,7 @@ is known, but the hash has no secret key.
 
 from __future__ import annotations
 
+import ctypes
 import hashlib
 import tempfile
 import uuid
@@ -19,8 +20,20 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 CHUNK = 1 << 20
-# buffers go back to the system when they are freed: pooled ones would add up in workers that serve one stage after another
-pa.set_memory_pool(pa.system_memory_pool())
+#: Bytes from which a freed block goes back to the system at once (glibc would raise its limit to 32 MB and keep the rest).
+_RETURNED = 2 << 20
+
+
+def _return_freed_memory() -> None:
+    """Workers serve one stage after another: what pools and heaps keep of one would add up with the next."""
+    pa.set_memory_pool(pa.system_memory_pool())
+    try:
+        ctypes.CDLL("libc.so.6").mallopt(-3, _RETURNED)  # M_MMAP_THRESHOLD
+    except (OSError, AttributeError):
+        pass  # another C library
+
+
+_return_freed_memory()
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
