@@ -1,7 +1,7 @@
 """Images and their text: sizes, OCR output, and the stages that read, align, detect and redact.
 
-OCR engines are injected (path -> an engine's raw answer); pixels are changed only by an injected renderer, as no imaging
-library is at hand.  Everything between is expressions over one row.
+OCR engines are injected (path -> an engine's raw answer).  Pixels aren't changed, as no imaging library is at hand: redactions are boxes.
+Everything between is expressions over one row.
 """
 
 from __future__ import annotations
