@@ -43,6 +43,12 @@ def test_leave_one_out_moves_grams_of_blocks(spark, many):
     assert moved(spark, lambda: tables.QUERIES["nb_leave_one_out"](spark, sf)) < pairs / 5
 
 
+def test_prediction_moves_grams_of_blocks(spark, many):
+    sf, own = many
+    pairs = sum(map(len, own.values()))
+    assert moved(spark, lambda: tables.QUERIES["nb_predict"](spark, sf)) < pairs / 5
+
+
 def test_recurring_and_missing_ids_have_scores_of_their_own(spark):
     texts = [(1, "you are an idiot", 1), (1, "a calm garden", 0), (None, "such a moron", 1), (None, "", 0), (2, None, 1), (3, "a quiet joy", 0)]
     docs = spark.createDataFrame(texts, "doc_id long, text string, label int")
@@ -54,6 +60,16 @@ def test_recurring_and_missing_ids_have_scores_of_their_own(spark):
             assert a[0] == b[0] and a[1] == pytest.approx(b[1], abs=1e-5)
 
 
+def test_prediction_with_another_model(spark):
+    seen = [("abab abab", 1), ("xyz xyz", 0)]
+    model_docs = spark.createDataFrame(seen, "text string, label int")
+    model = injection.fit(model_docs)
+    texts = {"a": "abab", "b": "xyz", "c": "quite new", "d": ""}
+    have = {r.id: r.score for r in injection.predict(spark.createDataFrame(list(texts.items()), "id string, text string"), model, injection.class_facts(model_docs, model), "id").collect()}
+    want = {i: posterior(grams(t), [(grams(x), y) for x, y in seen]) for i, t in texts.items()}
+    assert have == {i: pytest.approx(p, abs=1e-5) for i, p in want.items()}
+
+
 @pytest.mark.parametrize("letters", ["ab c", "abcdefgh é🙂\x00 ", "".join(map(chr, range(0x4E00, 0x4E00 + 6000))) + " "])
 def test_blocks_of_any_alphabet(letters):
     rnd = random.Random(1)

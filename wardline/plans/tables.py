@@ -278,9 +278,7 @@ def nb_fit_counts(spark, sf):
 
 @query()
 def nb_predict(spark, sf):
-    docs = _nb_docs(spark, sf)
-    model = injection.fit(docs)
-    return injection.predict(docs, model, injection.class_facts(docs, model), "doc_id").select("doc_id", F.round("score", 4).alias("score"))
+    return injection.fit_predict(_nb_docs(spark, sf), "doc_id").select("doc_id", F.round("score", 4).alias("score"))
 
 
 @query()
