@@ -7,7 +7,7 @@ from collections import Counter
 import pytest
 
 from wardline.operators import injection
-from wardline.plans import tables
+from wardline.plans import stages, tables
 
 from .test_whole import grams, posterior
 
@@ -88,3 +88,16 @@ def test_blocks_of_any_alphabet(letters):
 def grams_of(text):
     t = " " + " ".join(text.lower().split()) + " "
     return [t[i : i + k] for k in (3, 4, 5) for i in range(len(t) - k + 1)]
+
+
+# ------------------------------------------------------------ languages
+
+
+def cuts(df) -> int:
+    """How often the plan cuts a text into words."""
+    return df._jdf.queryExecution().optimizedPlan().toString().count(r"\p{L}+")
+
+
+@pytest.mark.parametrize("name", ["convert_allowed_prompts"])
+def test_texts_are_cut_into_words_once(spark, many, name):
+    assert cuts(stages.QUERIES[name](spark, many[0])) == 1

@@ -7,6 +7,8 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from .text import let
+
 ALLOWED = ("en", "vi")
 #: Frequent words of each language, and letters that only Vietnamese writes; ties go to the language named first.
 COMMON = {
@@ -17,26 +19,38 @@ COMMON = {
     "es": ["el", "los", "las", "y", "que", "una", "por", "con", "para", "es", "del", "se", "como", "pero", "su"],
 }
 VIETNAMESE = "ăđơưạảấầẩẫậắằẳẵặẹẻẽếềểễệỉịọỏốồổỗộớờởỡợụủứừửữựỳỵỷỹ"
+#: One match for each word with such letters: from its first one to its end.  The bounds are looked at before the letters.
+_LETTERED = f"[{min(VIETNAMESE)}-{max(VIETNAMESE)}&&[{VIETNAMESE}]]\\p{{L}}*"
+_PLAIN = {k: [w for w in v if not (k == "vi" and set(w) & set(VIETNAMESE))] for k, v in COMMON.items()}
 
 
 def word_scores(text: Column) -> Column:
-    """array<int>, in the order of COMMON: how many words of the text are frequent ones of a language, or hold its letters."""
-    words = F.regexp_extract_all(F.lower(text), F.lit(r"\p{L}+"), F.lit(0))
+    """array<int>, in the order of COMMON: how many words of the text are frequent ones of a language, or hold its letters.
+
+    The text is folded and cut into words once; only the frequent words among them are looked at for each language.
+    """
+    known = sorted({w for v in _PLAIN.values() for w in v})
+
+    def among(words: Column, these: list[str]) -> Column:
+        return F.filter(words, lambda w: w.isin(these))
+
+    def counts(low: Column, hits: Column) -> Column:
+        size = {k: F.size(among(hits, v)) for k, v in _PLAIN.items()}
+        size["vi"] = size["vi"] + F.size(F.regexp_extract_all(low, F.lit(_LETTERED), F.lit(0)))
+        return F.array(*size.values())
 
-    def count(lang: str) -> Column:
-        if lang == "vi":
-            return F.size(F.filter(words, lambda w: w.isin(COMMON[lang]) | w.rlike(f"[{VIETNAMESE}]")))
-        return F.size(F.filter(words, lambda w: w.isin(COMMON[lang])))
+    def found(low: Column) -> Column:
+        words = F.regexp_extract_all(low, F.lit(r"\p{L}+"), F.lit(0))
+        return let(among(words, known), lambda hits: counts(low, hits))
 
-    return F.array(*map(count, COMMON))
+    return let(F.lower(text), found)
 
 
 def detect_language(text: Column) -> Column:
     """The language with the most of its words; null for blank text and where no language has any."""
-    scores = word_scores(F.coalesce(text, F.lit("")))
-    best = F.array_max(scores)
     names = F.array(*map(F.lit, COMMON))
-    return F.when(best > 0, F.element_at(names, F.array_position(scores, best).cast("int")))
+    first = lambda s: F.element_at(names, F.array_position(s, F.array_max(s)).cast("int"))
+    return let(word_scores(F.coalesce(text, F.lit(""))), lambda s: F.when(F.array_max(s) > 0, first(s)))
 
 
 def with_language(docs: DataFrame, text_col: str = "text", out: str = "language", detector: Callable[[str], str | None] | None = None) -> DataFrame:
@@ -55,7 +69,8 @@ def with_language(docs: DataFrame, text_col: str = "text", out: str = "language"
 
 
 def is_allowed(language: Column, allowed: tuple[str, ...] = ALLOWED, keep_undetectable: bool = False) -> Column:
-    return F.when(language.isNull(), F.lit(keep_undetectable)).otherwise(language.isin(*allowed))
+    # a filter takes the column's whole expression in, so it is named once
+    return let(language, lambda x: F.when(x.isNull(), F.lit(keep_undetectable)).otherwise(x.isin(*allowed)))
 
 
 def filtered(rows: DataFrame, keep: Column) -> tuple[DataFrame, DataFrame]:
