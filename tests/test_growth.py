@@ -98,6 +98,6 @@ def cuts(df) -> int:
     return df._jdf.queryExecution().optimizedPlan().toString().count(r"\p{L}+")
 
 
-@pytest.mark.parametrize("name", ["convert_allowed_prompts", "lang_allowed_rows"])
+@pytest.mark.parametrize("name", ["convert_allowed_prompts", "lang_allowed_rows", "lang_allowed_counts"])
 def test_texts_are_cut_into_words_once(spark, many, name):
     assert cuts(stages.QUERIES[name](spark, many[0])) == 1

@@ -76,4 +76,5 @@ def is_allowed(language: Column, allowed: tuple[str, ...] = ALLOWED, keep_undete
 def filtered(rows: DataFrame, keep: Column) -> tuple[DataFrame, DataFrame]:
     """The rows that stay, and one row (kept, dropped)."""
     keep = F.coalesce(keep, F.lit(False))
-    return rows.where(keep), rows.agg(F.count(F.when(keep, 1)).alias("kept"), F.count(F.when(~keep, 1)).alias("dropped"))
+    kept = rows.select(keep.alias("kept")).agg(F.count_if("kept").alias("kept"), F.count(F.lit(1)).alias("all"))
+    return rows.where(keep), kept.select("kept", (F.col("all") - F.col("kept")).alias("dropped"))
