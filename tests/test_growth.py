@@ -70,6 +70,23 @@ def test_prediction_with_another_model(spark):
     assert have == {i: pytest.approx(p, abs=1e-5) for i, p in want.items()}
 
 
+def test_fit_counts_in_blocks(spark, many):
+    """Python returns a block's distinct grams, not those of each text."""
+    sf, own = many
+    df = tables.QUERIES["nb_fit_counts"](spark, sf)
+    df.collect()
+
+    def nodes(plan):
+        inner = {"AdaptiveSparkPlanExec": "finalPhysicalPlan", "ShuffleQueryStageExec": "plan"}.get(plan.getClass().getSimpleName())
+        kids = plan.children()
+        yield plan
+        for k in [getattr(plan, inner)()] if inner else [kids.apply(i) for i in range(kids.size())]:
+            yield from nodes(k)
+
+    rows = [n.metrics().apply("pythonNumRowsReceived").value() for n in nodes(df._jdf.queryExecution().executedPlan()) if n.getClass().getSimpleName().startswith("MapInArrow")]
+    assert rows and sum(rows) < sum(map(len, own.values())) / 5
+
+
 @pytest.mark.parametrize("letters", ["ab c", "abcdefgh é🙂\x00 ", "".join(map(chr, range(0x4E00, 0x4E00 + 6000))) + " "])
 def test_blocks_of_any_alphabet(letters):
     rnd = random.Random(1)
