@@ -2,10 +2,12 @@
 
 import math
 import random
+import unicodedata
 from collections import Counter
 
 import pytest
 
+from wardline.functions import language
 from wardline.operators import injection
 from wardline.plans import stages, tables
 
@@ -115,6 +117,25 @@ def cuts(df) -> int:
     return df._jdf.queryExecution().optimizedPlan().toString().count(r"\p{L}+")
 
 
-@pytest.mark.parametrize("name", ["convert_allowed_prompts", "lang_allowed_rows", "lang_allowed_counts"])
+@pytest.mark.parametrize("name", ["convert_allowed_prompts", "lang_allowed_rows", "lang_allowed_counts", "lang_detected"])
 def test_texts_are_cut_into_words_once(spark, many, name):
     assert cuts(stages.QUERIES[name](spark, many[0])) == 1
+
+
+def test_words_against_plain_python(spark):
+    rnd = random.Random(5)
+    pieces = [w for v in language.COMMON.values() for w in v] + [*language.VIETNAMESE, "đường", "ĐƯỢC", "việtx", "xviệt", "The", "QUE", "le²", "le1", "ẹ", "naïve", "词", "_la_", "ạạ", "İs", "là", "la"]
+    texts = ["", None, " ", "123", *("".join(rnd.choice(pieces) + rnd.choice([" ", ", ", "-", "", "\n"]) for _ in range(rnd.randrange(1, 30))) for _ in range(300))]
+
+    def words(text):
+        return "".join(c if unicodedata.category(c)[0] == "L" else " " for c in text.lower()).split(" ")
+
+    def scores(text):
+        return [sum(w in v or (k == "vi" and bool(set(w) & set(language.VIETNAMESE))) for w in words(text)) for k, v in language.COMMON.items()]
+
+    from pyspark.sql import functions as F
+
+    rows = spark.createDataFrame(list(enumerate(texts)), "i int, text string").select("i", language.word_scores(F.coalesce("text", F.lit(""))).alias("s"), language.detect_language(F.col("text")).alias("l")).collect()
+    for r in rows:
+        want = scores(texts[r.i] or "")
+        assert list(r.s) == want and r.l == (list(language.COMMON)[want.index(max(want))] if max(want) else None)
