@@ -79,7 +79,7 @@ def detect_rules(docs: DataFrame, text_col: str = "text", rules: list[Rule] = RU
 
 
 LOW, HIGH = 3, 5  # lengths of character n-grams
-BLOCK = 1 << 22  # bytes of text whose grams are counted together
+BLOCK_BYTES = 1 << 23  # bytes of text whose grams are counted together
 
 
 def text_gram_counts(text: str) -> tuple[list[str], list[int]]:
@@ -164,12 +164,17 @@ def _grouped(code, letters: int, sizes, n: int, group, groups: int):
     ends = np.cumsum(sizes)
     for k in range(1, n):
         inside[ends - k] = False  # a text has two characters at least, so what lies before it is another text's end
-    at = np.flatnonzero(inside[:m])
-    both = np.repeat(group, sizes)[at] << width | key[at]
+    inside = inside[:m]
+    both = np.repeat(group, sizes)[:m]
+    both <<= width
+    both |= key
+    both = both[inside]
+    where = (key, np.flatnonzero(inside)) if ranked else ()
+    del key
     both.sort()
     first = np.flatnonzero(np.r_[True, both[1:] != both[:-1]][: len(both)])
     both, count = both[first], np.diff(np.r_[first, len(both)])
-    return both >> width, both & ((1 << width) - 1), count, *((key, at) if ranked else ())
+    return both >> width, both & ((1 << width) - 1), count, *where
 
 
 def _spelled(points, alphabet, distinct, n: int, key=None, at=None) -> list[str]:
@@ -233,7 +238,7 @@ def _class(label_col: str) -> Column:
 
 
 def _in_blocks(batches, text: int):
-    """Lists of record batches with texts of BLOCK bytes, and at most 2**16 rows."""
+    """Lists of record batches with texts of BLOCK_BYTES, and at most 2**16 rows."""
     import pyarrow.compute as pc
 
     held, size, rows = [], 0, 0
@@ -242,7 +247,7 @@ def _in_blocks(batches, text: int):
             part = batch.slice(lo, 64)
             held.append(part)
             size, rows = size + (pc.sum(pc.binary_length(part.column(text))).as_py() or 0), rows + part.num_rows
-            if size >= BLOCK or rows >= 1 << 16:
+            if size >= BLOCK_BYTES or rows >= 1 << 16:
                 yield held
                 held, size, rows = [], 0, 0
     if held:
@@ -281,30 +286,29 @@ def _blocks(docs: DataFrame, text_col: str, keep: list[Column]) -> DataFrame:
 
     Rows of a text have _text and the kept columns, the first of them _class; rows of a gram have gram, its place in the block's order, and n0, n1 within the block.
     """
-    import uuid
-
     import pyarrow as pa
+    from pyspark import TaskContext
 
     own = docs.select(F.coalesce(F.col(text_col), F.lit("")).alias("_text"), *keep)
     fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in own.schema.fields)
 
     def run(batches):
-        width = 0
-        for held in _in_blocks(batches, 0):
-            block, width = uuid.uuid4().hex, held[0].num_columns
+        first = TaskContext.get().partitionId() << 32
+        for block, held in enumerate(_in_blocks(batches, 0), first):
+            width = held[0].num_columns
             types = [c.type for c in held[0].columns]
             names = [*held[0].schema.names, "_block", "gram", "place", "n0", "n1"]
-            kinds = [*types, pa.string(), pa.string(), pa.int32(), pa.int64(), pa.int64()]
+            kinds = [*types, pa.int64(), pa.string(), pa.int32(), pa.int64(), pa.int64()]
             for b in held:
-                yield pa.RecordBatch.from_arrays([*b.columns, pa.array([block] * b.num_rows), *(pa.nulls(b.num_rows, t) for t in kinds[width + 1 :])], names)
+                yield pa.RecordBatch.from_arrays([*b.columns, pa.array([block] * b.num_rows, pa.int64()), *(pa.nulls(b.num_rows, t) for t in kinds[width + 1 :])], names)
             grams, n0, n1 = _counted(held, 0, 1)
             places = pa.array(range(len(grams)), pa.int32())
             rows = [pa.array(grams, pa.string()), places, pa.array(n0), pa.array(n1)]
             for lo in range(0, len(grams), 1 << 16):
                 size = min(1 << 16, len(grams) - lo)
-                yield pa.RecordBatch.from_arrays([*(pa.nulls(size, t) for t in types), pa.array([block] * size), *(x.slice(lo, size) for x in rows)], names)
+                yield pa.RecordBatch.from_arrays([*(pa.nulls(size, t) for t in types), pa.array([block] * size, pa.int64()), *(x.slice(lo, size) for x in rows)], names)
 
-    return _saved(own.mapInArrow(run, f"{fields}, _block string, gram string, place int, n0 long, n1 long"), "naive-bayes-blocks")
+    return _saved(own.mapInArrow(run, f"{fields}, _block long, gram string, place int, n0 long, n1 long"), "naive-bayes-blocks")
 
 
 def _own_grams(blocks: DataFrame) -> DataFrame:
